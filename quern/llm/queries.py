@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import quality, simhash
+from quern.llm import decontam, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("failed_rule").isNull()).alias("kept"))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents only, with the items that they hold."""
+    found = decontam.findings(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    each = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("share"), F.max("reparameterised").alias("reparameterised"))
+    return each.withColumn("n_items", F.size("item_ids").cast("long"))
+
+
 _OP5_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -46,5 +53,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_quality": op5_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op5_quality": op5_quality, "op8_decontam": op8_decontam}
 ORACLES = {"op5_quality": _OP5_SQL}
