@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, quality, simhash
+from quern.llm import decontam, quality, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("failed_rule").isNull()).alias("kept"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    counts = [count(rank).alias(f"n_{name}") for rank, name in enumerate(secret_scan.KINDS[: secret_scan.STRONG])]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.labels("base"), 256).alias("base_sha256"), secret_scan.labels("spans").alias("spans"))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contaminated documents only, with the items that they hold."""
     found = decontam.findings(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -53,5 +60,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_quality": op5_quality, "op8_decontam": op8_decontam}
+QUERIES = {"op1_simhash": op1_simhash, "op5_quality": op5_quality, "op7_secrets": op7_secrets, "op8_decontam": op8_decontam}
 ORACLES = {"op5_quality": _OP5_SQL}
