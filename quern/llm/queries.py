@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, quality, secret_scan, simhash
+from quern.llm import decontam, pieces, quality, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("failed_rule").isNull()).alias("kept"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents"))
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
@@ -60,5 +65,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_quality": op5_quality, "op7_secrets": op7_secrets, "op8_decontam": op8_decontam}
+QUERIES = {"op1_simhash": op1_simhash, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_decontam": op8_decontam}
 ORACLES = {"op5_quality": _OP5_SQL}
