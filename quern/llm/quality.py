@@ -143,6 +143,7 @@ def cascade(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sa
     first = F.lit(None).cast("string")
     for rule in reversed(ordered):
         first = F.when(_prefixed(rule.reject), F.lit(rule.name)).otherwise(first)
-    out = out.withColumn("failed_rule", first)
-    out = out.withColumns({x: F.col(PREFIX + x) for x in keep_measures})
-    return out.drop(*(c for c in out.columns if c.startswith(PREFIX)))
+    # filters on the results don't pass a generator; pushed below it, they would repeat the measures' expressions many times over
+    made = F.struct(first.alias("failed_rule"), *(F.col(PREFIX + x).alias(x) for x in keep_measures))
+    kept = [c for c in df.columns if c != "failed_rule" and c not in keep_measures]
+    return out.select(*kept, F.explode(F.array(made)).alias(PREFIX)).select(*kept, *(F.col(PREFIX)[x].alias(x) for x in ("failed_rule", *keep_measures)))

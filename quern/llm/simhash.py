@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,13 +106,31 @@ def links(fingerprints: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _labelled(known: DataFrame, head: Column) -> DataFrame:
+    """(fp, component, head) for every distinct fingerprint of known; head aggregates its rows."""
+    heads = stage(known.groupBy(F.col("fingerprint").alias("fp")).agg(head.alias("head")), "heads")
+    labels = components(links(heads.select("fp")))
+    return stage(heads.join(labels, heads.fp == labels.node, "left").select("fp", "head", F.coalesce("component", "fp").alias("component")), "ends")
+
+
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """df with fingerprint (long) and component_id, the smallest doc_id among all texts linked to it."""
-    known = stage(df.withColumn("fingerprint", fingerprint_udf(F.col(text).cast("string"))), "fingerprints")
-    heads = stage(known.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(doc_id).alias("head")), "heads")
-    labels = components(links(heads.select("fp")))
-    ends = heads.join(labels, heads.fp == labels.node, "left").select("fp", "head", F.coalesce("component", "fp").alias("component"))
-    ends = stage(ends, "ends")
+    known = stage(df.drop("component_id").withColumn("fingerprint", fingerprint_udf(F.col(text).cast("string"))), "fingerprints")
+    ends = _labelled(known, F.min(doc_id))
     lowest = ends.groupBy("component").agg(F.min("head").alias("component_id"))
     named = ends.join(lowest, "component").select(F.col("fp").alias("fingerprint"), "component_id")
     return known.join(named, "fingerprint")
+
+
+def first_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of df for each group of near duplicates: that of the smallest doc_id, nulls last.
+
+    Of rows that tie, repeated rows included, one stays.
+    """
+    known = df.withColumn("fingerprint", fingerprint_udf(F.col(text).cast("string"))) if "fingerprint" not in df.columns else df.withColumnRenamed("fingerprint", "__fingerprint").withColumn("fingerprint", fingerprint_udf(F.col(text).cast("string")))
+    # the numbers are fixed once the table is written
+    known = stage(known.withColumn("__row", F.monotonically_increasing_id()), "fingerprints")
+    ends = _labelled(known, F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("__row").alias("row"))))
+    first = ends.groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.row").alias("__row"))
+    kept = known.join(first, "__row", "left_semi").drop("__row", "fingerprint")
+    return kept.withColumnRenamed("__fingerprint", "fingerprint").select(*df.columns)
