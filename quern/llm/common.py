@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as a literal of characters and as a Java regex class.
 SPACE = " \t\n\x0b\x0c\r"
@@ -78,3 +81,23 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
     ends = edges.groupBy("u").agg(F.min("v").alias("c"))
     return ends.select(F.col("u").alias("node"), F.col("c").alias("component")).union(ends.select(F.col("c").alias("node"), F.col("c").alias("component")).distinct())
+
+
+def maybe_among(df: DataFrame, *columns: str, bits: int = 1 << 23):
+    """A test, for columns of the same names, that holds for every row whose values df has, and for few others.
+
+    What is broadcast has `bits` bits whatever df's size; where it fills up it only spares fewer rows.
+    """
+    bit = F.xxhash64(*columns).bitwiseAND(bits - 1)
+    bytes_ = df.select((bit / 8).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    held = np.zeros(bits // 8, np.uint8)
+    found = bytes_.toPandas()
+    held[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(held.tobytes())
+
+    @F.pandas_udf(T.BooleanType())
+    def test(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy(np.int64) & (bits - 1)
+        return pd.Series(np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+
+    return test(F.xxhash64(*columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import classlm, decontam, pieces, quality, secret_scan, simhash, template_html, toxicity
+from quern.llm import classlm, decontam, pieces, quality, secret_scan, simhash, suffix_dedup, template_html, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.withColumn("n_items", F.size("item_ids").cast("long"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 _OP5_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -86,5 +90,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_classlm": op3_classlm, "op4_html": op4_html, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_decontam": op8_decontam, "pipeline": pipeline}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_classlm": op3_classlm, "op4_html": op4_html, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_decontam": op8_decontam, "op10_suffixes": op10_suffixes, "pipeline": pipeline}
 ORACLES = {"op5_quality": _OP5_SQL}
