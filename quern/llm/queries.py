@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import classlm, decontam, pieces, quality, secret_scan, simhash, suffix_dedup, template_html, toxicity
+from quern.llm import classlm, decontam, passages, pieces, quality, secret_scan, simhash, suffix_dedup, template_html, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,13 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.withColumn("n_items", F.size("item_ids").cast("long"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a passage with another, their class and the words that repeat."""
+    found = passages.repeated_passages(_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("passages", lambda s: F.concat_ws(":", s["first"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "class_id", F.size("passages").cast("long").alias("n_passages"), spans.alias("passages"))
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
 
@@ -90,5 +97,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_classlm": op3_classlm, "op4_html": op4_html, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_decontam": op8_decontam, "op10_suffixes": op10_suffixes, "pipeline": pipeline}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_classlm": op3_classlm, "op4_html": op4_html, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_decontam": op8_decontam, "op9_passages": op9_passages, "op10_suffixes": op10_suffixes, "pipeline": pipeline}
 ORACLES = {"op5_quality": _OP5_SQL}
