@@ -24,6 +24,13 @@ def end_segments(tokens: Column, end: int) -> Column:
     return F.aggregate(tokens, start, step, lambda acc: acc["out"])
 
 
+def attended(segments: Column, window: int) -> Column:
+    """Pairs (query, key) of positions: the key not after the query, fewer than `window` before it, of its segment."""
+    seen = lambda s, i: F.slice(segments, F.greatest(i - (window - 2), F.lit(1)), F.least(i + 1, F.lit(window)))
+    each = F.transform(segments, lambda s, i: F.size(F.filter(seen(s, i), lambda k: k == s)).cast("long"))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def n_end_segments(tokens: Column, end: int) -> Column:
     """The number of segments that end_segments tells apart."""
     before_last = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))

@@ -77,9 +77,9 @@ def framed_and_pass_through(spark, sf_dir):
     return items.select("item_id", tokens.framed(F.col("text"), "BOS", "EOS").alias("framed"), tokens.pass_through_ids(line).alias("ids"))
 
 
-@query(f"WITH {_TOK} SELECT doc_id, list_concat(ids[1:256], list_transform(range(greatest(256 - len(ids), 0)), lambda x: 0::BIGINT))::INT[] AS padded, ids[greatest(len(ids) - 255, 1):]::INT[] AS kept FROM tok WHERE doc_id % 100 = 0")
+@query(f"WITH {_TOK} SELECT doc_id, list_concat(ids[1:256], list_transform(range(greatest(256 - len(ids), 0)), lambda x: 0::BIGINT))::INT[] AS padded, ids[greatest(len(ids) - 255, 1):]::INT[] AS kept FROM tok")
 def pad_and_truncate(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select("doc_id", tokens.word_hash_ids(F.col("text"), VOCABULARY).alias("ids"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", tokens.word_hash_ids(F.col("text"), VOCABULARY).alias("ids"))
     return docs.select("doc_id", tokens.padded(F.col("ids"), 256).alias("padded"), tokens.kept_right(F.col("ids"), 256).alias("kept"))
 
 
@@ -195,14 +195,12 @@ def first_fit_pack(spark, sf_dir):
     return packing.first_fit_packs(rows, 512, 8, 4, "shard", n="n")
 
 
-@query(f"""WITH {_TOK}, {_FLAT}, s AS (SELECT seq, pos, coalesce(sum((t = 32000)::INT) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM chunk WHERE seq % 20 = 0)
+@query(f"""WITH {_TOK}, {_FLAT}, s AS (SELECT seq, pos, coalesce(sum((t = 32000)::INT) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM chunk)
 SELECT q.seq::BIGINT AS seq, count(*)::BIGINT AS n_allowed FROM s q JOIN s k ON q.seq = k.seq AND k.pos <= q.pos AND q.pos - k.pos < 32 AND q.seg = k.seg GROUP BY q.seq""")
 def attention_mask(spark, sf_dir):
-    """Pairs that may attend in every 20th sequence: causal, within a window of 32, of one segment."""
-    seqs = sequences.concat_and_chunk(_tokens(spark, sf_dir, True), LENGTH).where("seq % 20 = 0")
-    at = seqs.select("seq", F.posexplode(arrays.end_segments(F.col("tokens"), END)).alias("pos", "seg"))
-    q, k = at.select("seq", F.col("pos").alias("q"), "seg"), at.select("seq", F.col("pos").alias("k"), "seg")
-    return q.join(k, ["seq", "seg"]).where("k <= q and q - k < 32").groupBy("seq").agg(F.count("*").alias("n_allowed"))
+    """Pairs that may attend in each sequence: causal, within a window of 32, of one segment."""
+    seqs = sequences.concat_and_chunk(_tokens(spark, sf_dir, True), LENGTH).select("seq", arrays.end_segments(F.col("tokens"), END).alias("segs"))
+    return seqs.select("seq", arrays.attended(F.col("segs"), 32).alias("n_allowed"))
 
 
 # rows by index
@@ -374,11 +372,11 @@ def bits_per_byte(spark, sf_dir):
 
 @query("""WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
 c AS (SELECT least(floor((l_extendedprice - lo) / ((hi - lo) / 32)), 31)::INT AS bin, count(*) AS n FROM lineitem, e GROUP BY 1)
-SELECT b::INT AS bin, round(lo + b * ((hi - lo) / 32), 4) AS low, round(lo + (b + 1) * ((hi - lo) / 32), 4) AS high, coalesce(n, 0)::BIGINT AS count
+SELECT b::INT AS bin, round(lo + b * ((hi - lo) / 32), 8) AS low, round(lo + (b + 1) * ((hi - lo) / 32), 8) AS high, coalesce(n, 0)::BIGINT AS count
 FROM e, range(32) AS r(b) LEFT JOIN c ON c.bin = b""")
 def histogram(spark, sf_dir):
     out = measures.histogram(_table(spark, sf_dir, "lineitem"), "l_extendedprice", 32)
-    return out.select("bin", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "count")
+    return out.select("bin", F.round("low", 8).alias("low"), F.round("high", 8).alias("high"), "count")
 
 
 @query("SELECT event_type, round(coalesce(sum(value * user_id) / nullif(sum(user_id), 0), 0), 4) AS mean, count(*)::BIGINT AS n FROM events GROUP BY event_type")

@@ -22,7 +22,7 @@ def chunk_stream(rows: DataFrame, length: int, source: str = "source", idx: str
         batch = pd.concat(list(batches)).sort_values(idx)
         out = []
         for tokens in batch[ids]:
-            tail += list(tokens)
+            tail += [int(t) for t in tokens]  # the state takes plain numbers only
             while len(tail) >= length:
                 out.append((key[0], seq, tail[:length]))
                 tail, seq = tail[length:], seq + 1
