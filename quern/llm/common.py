@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 
+#: Makes a query delete its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where unset (tests on one machine) a new temporary one."""
@@ -28,10 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again, which cuts the lineage."""
+    """Writes df as Parquet in the shared folder and reads it again, which cuts the lineage.
+
+    What the write shuffled has served its purpose then and is deleted at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path).withMetadata(df.columns[0], {"staged": path})
 
 

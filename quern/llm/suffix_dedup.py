@@ -176,8 +176,11 @@ def _earlier(df: DataFrame, ranks: list[str], at: str) -> DataFrame:
     return df.withColumn("later", F.struct("doc", at) != head)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, key, first, end): spans of bytes, overlapping ones too, that the contract removes. docs: doc, key, text."""
+def repeated_spans(docs: DataFrame, unique: bool = False) -> DataFrame:
+    """(doc, key, first, end): spans of bytes, overlapping ones too, that the contract removes. docs: doc, key, text.
+
+    unique: no (doc, key) occurs twice, so that texts need no shuffle to tell.
+    """
     ranked = _earlier(_chosen(docs).repartition("start_rank"), ["start_rank", "stretch_rank"], "first")
     # several stretches behind the same START bytes
     whole = Window.partitionBy("start_rank")
@@ -185,7 +188,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     marks = ranked.withColumn("several", several).where("repeated or later or several")
     marks = stage(marks.select("doc", "key", "first", "last", "start_rank", (F.col("repeated") | F.col("later")).alias("gone")), "marks")
     open_ = marks.where("not gone").groupBy("doc", "key").agg(F.collect_set(F.struct("first", "last", "start_rank")).alias("stretches"))
-    texts = docs.where(maybe_among(open_.select("doc", "key"), "doc", "key")).dropDuplicates(["doc", "key"])
+    texts = docs.where(maybe_among(open_.select("doc", "key"), "doc", "key"))
+    texts = texts if unique else texts.dropDuplicates(["doc", "key"])
     windows = _window_ranks(texts.join(open_, ["doc", "key"]))
     later = _earlier(windows, ["start_rank", "pair_rank"], "at").where("repeated or later")
     one = marks.where("gone").select("doc", "key", "first", (F.col("last") + LENGTH).alias("end"))
@@ -197,9 +201,10 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     ids = df.agg(F.count("*").alias("n"), F.countDistinct(doc_id).alias("distinct")).first()
     # rows of one id are told apart by their text, where there are any
-    key = F.lit(0).cast("long") if ids.n == ids["distinct"] else F.xxhash64(t)
+    unique = ids.n == ids["distinct"]
+    key = F.lit(0).cast("long") if unique else F.xxhash64(t)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST_ID)).alias("doc"), key.alias("key"), t.alias("text"))
-    spans = stage(repeated_spans(docs).groupBy("doc", "key").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
+    spans = stage(repeated_spans(docs, unique).groupBy("doc", "key").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
     touched = maybe_among(spans.select("doc", "key"), "doc", "key")
     docs = docs.withColumn("touched", touched)
     found = docs.where("touched").join(spans, ["doc", "key"], "left")
