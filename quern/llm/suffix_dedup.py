@@ -13,7 +13,7 @@ earliest is the first of its rank, and what is unique drops out:
    ranked by the START bytes and the pair of 64-byte ranks at offsets 0 and LENGTH - 64.
 
 In each task the equal pairs of a batch of rows are met first, so a passage in a third of all texts sends
-one row a batch to the sort. Ranks are 128 bits of hashes.
+one row a batch to the sort. Ranks are 128 bits of hashes, those of windows 96.
 
 A byte goes if a window over it also starts earlier: in a smaller doc_id, or earlier in the same document.
 Null ids come before all others and are one document; rows of one id count as one document, so repeated rows
@@ -148,7 +148,10 @@ def _chosen(docs: DataFrame) -> DataFrame:
 
 
 def _window_ranks(reps: DataFrame) -> DataFrame:
-    """(doc, key, start_rank, pair_rank, at, repeated) of every window of the stretches in reps: doc, key, text, stretches."""
+    """(doc, key, start, pair_rank, at) of every window of the stretches in reps: doc, key, text, stretches.
+
+    start: half of the rank of the START bytes; at: twice the position, plus one if the window repeats within the batch.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,9 +167,9 @@ def _window_ranks(reps: DataFrame) -> DataFrame:
             if parts:
                 row, start, pair, at = (np.concatenate(x) for x in zip(*parts, strict=True))
                 doc, key = batch["doc"].to_numpy(np.int64)[row], batch["key"].to_numpy(np.int64)[row]
-                yield pd.DataFrame({"doc": doc, "key": key, "start_rank": start, "pair_rank": pair, "at": at, "repeated": _repeats((pair, start), doc, at)})
+                yield pd.DataFrame({"key": key, "start": start.astype(np.int32), "pair_rank": pair, "doc": doc, "at": 2 * at + _repeats((pair, start), doc, at)})
 
-    return reps.select("doc", "key", "text", "stretches").mapInPandas(rows, "doc long, key long, start_rank long, pair_rank long, at int, repeated boolean")
+    return reps.select("doc", "key", "text", "stretches").mapInPandas(rows, "key long, start int, pair_rank long, doc long, at long")
 
 
 def _earlier(df: DataFrame, ranks: list[str], at: str) -> DataFrame:
@@ -191,7 +194,7 @@ def repeated_spans(docs: DataFrame, unique: bool = False) -> DataFrame:
     texts = docs.where(maybe_among(open_.select("doc", "key"), "doc", "key"))
     texts = texts if unique else texts.dropDuplicates(["doc", "key"])
     windows = _window_ranks(texts.join(open_, ["doc", "key"]))
-    later = _earlier(windows, ["start_rank", "pair_rank"], "at").where("repeated or later")
+    later = _earlier(windows, ["start", "pair_rank"], "at").where("later or at % 2 = 1").withColumn("at", (F.col("at") / 2).cast("int"))
     one = marks.where("gone").select("doc", "key", "first", (F.col("last") + LENGTH).alias("end"))
     return one.union(later.select("doc", "key", F.col("at").alias("first"), (F.col("at") + LENGTH).alias("end")))
 
