@@ -147,29 +147,41 @@ def _chosen(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "key", "text").mapInPandas(rows, _POSITIONS)
 
 
-def _window_ranks(reps: DataFrame) -> DataFrame:
-    """(doc, key, start, pair_rank, at) of every window of the stretches in reps: doc, key, text, stretches.
+def _cut_out(reps: DataFrame) -> DataFrame:
+    """(doc, key, start_rank, first, body): the bytes of every stretch in reps: doc, key, text, stretches."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, key, text, stretches in zip(batch["doc"], batch["key"], batch["text"], batch["stretches"], strict=True):
+                whole = text.encode("utf-8", "surrogatepass")
+                out += [(doc, key, s["start_rank"], s["first"], whole[s["first"] : s["last"] + LENGTH]) for s in stretches]
+            yield pd.DataFrame(out, columns=["doc", "key", "start_rank", "first", "body"])
+
+    return reps.select("doc", "key", "text", "stretches").mapInPandas(rows, "doc long, key long, start_rank long, first int, body binary")
+
+
+def _window_ranks(stretches: DataFrame) -> DataFrame:
+    """(doc, key, start, pair_rank, at) of every window of the stretches that _cut_out() gives.
 
     start: half of the rank of the START bytes; at: twice the position, plus one if the window repeats within the batch.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for row, (text, stretches) in enumerate(zip(batch["text"], batch["stretches"], strict=True)):
-                whole = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                for s in stretches:
-                    first, last = s["first"], s["last"]
-                    r = _doubled(whole[first : last + LENGTH])[64]
-                    n = last - first + 1
-                    pair = _mixed(_mixed(r[:n]) * np.uint64(_FACTOR) + r[LENGTH - 64 : LENGTH - 64 + n])
-                    parts.append((np.full(n, row), np.full(n, s["start_rank"]), pair.view(np.int64), np.arange(first, last + 1)))
-            if parts:
-                row, start, pair, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-                doc, key = batch["doc"].to_numpy(np.int64)[row], batch["key"].to_numpy(np.int64)[row]
-                yield pd.DataFrame({"key": key, "start": start.astype(np.int32), "pair_rank": pair, "doc": doc, "at": 2 * at + _repeats((pair, start), doc, at)})
-
-    return reps.select("doc", "key", "text", "stretches").mapInPandas(rows, "key long, start int, pair_rank long, doc long, at long")
+            pairs, sizes = [np.zeros(0, np.uint64)], []
+            for body in batch["body"]:
+                r = _doubled(np.frombuffer(body, np.uint8))[64]
+                n = len(body) - LENGTH + 1
+                pairs.append(_mixed(_mixed(r[:n]) * np.uint64(_FACTOR) + r[LENGTH - 64 : LENGTH - 64 + n]))
+                sizes.append(n)
+            sizes = np.array(sizes, np.int64)
+            doc, key, start, first = (np.repeat(batch[x].to_numpy(np.int64), sizes) for x in ("doc", "key", "start_rank", "first"))
+            at = first + np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            pair = np.concatenate(pairs).view(np.int64)
+            yield pd.DataFrame({"key": key, "start": start.astype(np.int32), "pair_rank": pair, "doc": doc, "at": 2 * at + _repeats((pair, start), doc, at)})
+
+    return stretches.mapInPandas(rows, "key long, start int, pair_rank long, doc long, at long")
 
 
 def _earlier(df: DataFrame, ranks: list[str], at: str) -> DataFrame:
@@ -193,7 +205,8 @@ def repeated_spans(docs: DataFrame, unique: bool = False) -> DataFrame:
     open_ = marks.where("not gone").groupBy("doc", "key").agg(F.collect_set(F.struct("first", "last", "start_rank")).alias("stretches"))
     texts = docs.where(maybe_among(open_.select("doc", "key"), "doc", "key"))
     texts = texts if unique else texts.dropDuplicates(["doc", "key"])
-    windows = _window_ranks(texts.join(open_, ["doc", "key"]))
+    # once their bytes are written, what the texts took to be shuffled is free
+    windows = _window_ranks(stage(_cut_out(texts.join(open_, ["doc", "key"])), "stretches"))
     later = _earlier(windows, ["start", "pair_rank"], "at").where("later or at % 2 = 1").withColumn("at", (F.col("at") / 2).cast("int"))
     one = marks.where("gone").select("doc", "key", "first", (F.col("last") + LENGTH).alias("end"))
     return one.union(later.select("doc", "key", F.col("at").alias("first"), (F.col("at") + LENGTH).alias("end")))
