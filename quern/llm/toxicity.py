@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import stage, unstage
+from quern.llm.common import maybe_among, stage, unstage
 
 HELD_OUT = (4, 2)
 FEATURES = 4096
@@ -161,7 +161,8 @@ def _fit(pairs: list[tuple[np.ndarray, np.ndarray | None]], labels: np.ndarray,
     srows, scols = matrix([pairs[i][1] for i in swapped])
     swapped = np.array(swapped, np.int64)
     n = len(labels)
-    share = labels.mean()
+    # the rows fitted may lack a class that others have
+    share = np.clip(labels.mean(), 0.5 / n, 1 - 0.5 / n)
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     weight /= weight.sum()
     score = lambda w, r, c, k: 1 / (1 + np.exp(-np.clip(np.bincount(r, w[c], k) + w[-1], -30, 30)))
@@ -190,12 +191,16 @@ def _fit(pairs: list[tuple[np.ndarray, np.ndarray | None]], labels: np.ndarray,
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """{"weights": name -> weight, "intercept"} from labelled rows that aren't held out.
 
-    At most TRAINING_ROWS of them, those of the lowest hashes of their ids; that bounds what is broadcast.
+    Features are counted over all of them. The regression is fitted on the rows of at most TRAINING_ROWS ids, those
+    of the lowest hashes; that bounds what the driver holds.
     """
     marks = labels.where(~held_out("doc_id")).where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("label"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
+    marks = stage(marks.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "label"), "marks")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    training = stage(texts.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "label"), "training")
+    # texts without a label aren't shuffled
+    texts = texts.where(maybe_among(marks.select("doc_id"), "doc_id"))
+    training = stage(texts.join(marks, "doc_id").select("doc_id", "text", "label"), "training")
+    unstage(marks)
     counts = {r.label: r["count"] for r in training.groupBy("label").count().collect()}
     toxic, other = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not other:
@@ -214,7 +219,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "label": batch["label"].to_numpy(), "own": own, "swapped": other})
 
     schema = T.StructType([training.schema["doc_id"], T.StructField("label", T.LongType()), T.StructField("own", T.ArrayType(T.IntegerType())), T.StructField("swapped", T.ArrayType(T.IntegerType()))])
-    found = sorted(training.mapInPandas(rows, schema).collect(), key=lambda r: (r.doc_id, r.own))
+    chosen = training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
+    fitted = training.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "label")
+    found = sorted(fitted.mapInPandas(rows, schema).collect(), key=lambda r: (r.doc_id, r.own))
     unstage(training)
     pairs = [(np.array(r.own, np.int64), None if r.swapped is None else np.array(r.swapped, np.int64)) for r in found]
     w = _fit(pairs, np.array([r.label for r in found], float), len(names))

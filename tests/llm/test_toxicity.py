@@ -45,3 +45,17 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.classify(docs, model).first().score == 0.5 and toxicity.classify(docs.where("false"), model).count() == 0
+
+
+def test_features_are_counted_over_all_labelled_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "grubby" if i % 3 == 0 else "plain") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "TRAINING_ROWS", 50)
+    select, fit = toxicity.select_features, toxicity._fit
+    monkeypatch.setattr(toxicity, "select_features", lambda training, *n: seen.update(counted=training.count(), classes=n) or select(training, *n))
+    monkeypatch.setattr(toxicity, "_fit", lambda pairs, *a: seen.update(fitted=len(pairs)) or fit(pairs, *a))
+    toxicity.train(docs, labels)
+    kept = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    toxic = sum(i % 3 == 0 for i in kept)
+    assert seen == {"counted": len(kept), "classes": (toxic, len(kept) - toxic), "fitted": 50}
