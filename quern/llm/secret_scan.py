@@ -84,12 +84,13 @@ def _linked(found: DataFrame) -> DataFrame:
     has_weak = F.exists("parts", lambda p: p["rank"] >= STRONG)
     each = found.where(has_weak).select("doc_id", "text_key", F.inline("parts"))
     role = F.when(F.col("rank").isin(1, 3), 1).when(F.col("rank").isin(0, 2, 4), 2).otherwise(4)
-    each = each.withColumn("role", role).withColumn("bucket", F.floor(F.col("start") / SCOPE))
+    each = each.withColumn("role", role)
     weak = each.where(F.col("rank") >= STRONG)
-    # a part reaches from start to end; its neighbours start at most SCOPE before or after
+    # a weak part asks in all buckets within SCOPE of it; the other part is in each bucket that it covers
     first, last = F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE)
     weak = weak.withColumn("bucket", F.explode(F.sequence(first, last)))
-    other = each.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "bucket", F.col("role").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
+    covered = F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE)))
+    other = each.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), covered.alias("bucket"), F.col("role").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
     complementary = ((F.col("role") == 1) & (F.col("r") == 2)) | ((F.col("role") == 2) & F.col("r").isin(1, 4)) | ((F.col("role") == 4) & (F.col("r") == 2))
     apart = (F.col("s") >= F.col("end")) | (F.col("e") <= F.col("start"))
     near = (F.col("s") <= F.col("end") + SCOPE) & (F.col("start") <= F.col("e") + SCOPE) & apart

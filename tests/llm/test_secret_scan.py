@@ -37,3 +37,17 @@ def test_redaction(spark):
     got = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "a [SECRET] b", 2: "clean", 3: None, 4: "[SECRET] [SECRET] key [SECRET] end"}
     assert secret_scan.redact(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_links_across_long_parts(spark):
+    rows = []
+    for n in (150, 199, 200, 399, 400, 500, 1200):
+        long = "token=" + "aB3" * (n // 3)
+        rows += [(len(rows), f"{'x ' * k}{long} host: db.example") for k in (0, 47, 99)]
+        rows += [(len(rows), f"{'x ' * k}{'0123456789abcdef' * (n // 16)} client_id=alice") for k in (0, 47, 99)]
+        rows += [(len(rows), f"host: db.example {long}")]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = {r.doc_id: {s["rank"] for s in r.spans} for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] & {3, 5} for i, _ in rows)
+    far = [(0, f"token={'aB3' * 200}{' x' * 101} host: db.example")]
+    assert not {s["rank"] for s in secret_scan.scan(spark.createDataFrame(far, "doc_id long, text string")).first().spans} & {5}
