@@ -2,13 +2,16 @@
 
 Words are lower-cased and stripped of punctuation; numbers, names (capitalised inside a sentence) and
 units (after a number) become typed placeholders. Windows of five such tokens, three of them literal at
-least, are hashed and joined with the windows of the benchmark. What matches along one alignment of an
-item and a document must fill the placeholders consistently: equal values of the item stand for equal
-values of the document and the other way round, which also finds questions with other numbers or names.
+least, are hashed and joined with the windows of the benchmark. Along one alignment of an item and a document
+equal values of the item must stand for equal values of the document, which also finds questions with other
+numbers or names; windows with a value that stands for several don't count.
 An item is found in a document if 0.8 or more of its windows are.
 
-Null and empty texts have no windows. Items of under five words, and windows of placeholders only, can't
-be recognised. Repeated rows and rows without an id are told apart by their text. Empty tables on either
+Whether an item's first word is a name or unit depends on what a document has before it, so its first window is
+sought in each reading. An item of under FEW such windows is also sought word for word: whole, or by windows
+of five words where it has more than SHORT.
+
+Null and empty texts have no windows. Repeated rows and rows without an id are told apart by their text. Empty tables on either
 side give no findings. Clashing column names do no harm: only the id and the text are read.
 """
 
@@ -27,6 +30,9 @@ from pyspark.sql import types as T
 WINDOW = 5
 LITERALS = 3
 SHARE = 0.8
+#: With fewer windows the loss of one goes below SHARE.
+FEW = 5
+SHORT = WINDOW + FEW - 2
 #: Bits of the filter that every task holds: 1 MB whatever the benchmark's size. It only spares rows.
 FILTER_BITS = 1 << 23
 
@@ -46,6 +52,7 @@ _NAME, _NUM, _UNIT = 1, 2, 4
 _END = 8
 _SLOTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW)], np.uint64)
+_PLAIN = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) | 1 for k in range(SHORT)], np.uint64)
 _WORDS_AT_ONCE = 1 << 19
 _CACHE_WORDS = 1 << 18
 
@@ -96,54 +103,88 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def template_windows(texts: list[str], wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(row, position, hash, values of placeholders) of every window; with wanted, of those in the filter."""
+def _sums(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A hash of every len(factors) values in a row."""
+    n = len(values) - len(factors) + 1
+    out = np.full(max(n, 0), len(factors), np.uint64)
+    for k, factor in enumerate(factors):
+        out += values[k : k + len(out)] * factor
+    return _mixed(out)
+
+
+def template_windows(texts: list[str], wanted: np.ndarray | None = None, lengths: tuple[int, ...] = ()) -> Iterator[tuple[int, int, int, int, list[str]]]:
+    """(row, kind, position, hash, values of placeholders) of every window of a document; with wanted, of those in the filter.
+
+    kind: 0 for templates, and each of lengths for so many words as they are.
+    """
+    split, index, begins = _indexed(texts)
+    first = np.zeros(len(index) + 1, bool)
+    first[begins[:-1]] = True
+    tokens, slot = _tokens(index, first[:-1])
+    row = np.repeat(np.arange(len(split)), np.diff(begins))
+    filled = np.concatenate([[0], np.cumsum(slot)])
+    for kind in (0, *lengths):
+        size = kind or WINDOW
+        value = _sums(_words.hashes[index], _PLAIN[:size]) if kind else _sums(tokens, _FACTORS)
+        n = len(value)
+        keep = row[:n] == row[size - 1 :][:n]
+        if not kind:
+            keep &= filled[size:][:n] - filled[:n] <= WINDOW - LITERALS
+        if wanted is not None:
+            bit = value & np.uint64(FILTER_BITS - 1)
+            keep &= (wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        signed = value.view(np.int64)
+        for p in np.flatnonzero(keep).tolist():
+            r, at = int(row[p]), p - int(begins[row[p]])
+            yield r, kind, at, int(signed[p]), [] if kind else [plain_word(split[r][at + k]) for k in range(WINDOW) if slot[p + k]]
+
+
+def _indexed(texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    """The words of texts, their rows in _words, one text after another, and where each text begins."""
     split = [(t or "").split() for t in texts]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    if int(lengths.sum()) < WINDOW:
-        return
     if len(_words) > _CACHE_WORDS // 2:
         _words.clear()
     look = _words.__getitem__
     index = np.array([look(w) for ws in split for w in ws], np.int64)
-    begins = np.concatenate([[0], np.cumsum(lengths)])
-    first = np.zeros(len(index) + 1, bool)
-    first[begins[:-1]] = True
-    tokens, slot = _tokens(index, first[:-1])
-    n = len(index) - WINDOW + 1
-    value = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        value += tokens[k : k + n] * _FACTORS[k]
-    value = _mixed(value)
-    row = np.repeat(np.arange(len(split)), lengths)
-    filled = np.concatenate([[0], np.cumsum(slot)])
-    keep = (row[:n] == row[WINDOW - 1 :]) & (filled[WINDOW:] - filled[:n] <= WINDOW - LITERALS)
-    if wanted is not None:
-        bit = value & np.uint64(FILTER_BITS - 1)
-        keep &= (wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    signed = value.view(np.int64)
-    for p in np.flatnonzero(keep).tolist():
-        r, at = int(row[p]), p - int(begins[row[p]])
-        yield r, at, int(signed[p]), [plain_word(split[r][at + k]) for k in range(WINDOW) if slot[p + k]]
-
-
-def _windows(df: DataFrame, text: str, keys: list[str], wanted=None) -> DataFrame:
-    """Rows (keys, pos, window, slots)."""
-    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("pos", T.LongType()), T.StructField("window", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType()))])
+    return split, index, np.cumsum([0, *map(len, split)])
+
+
+def item_windows(texts: list[str]) -> Iterator[tuple[int, int, int, int, list[str]]]:
+    """The windows by which items are sought, as template_windows() has them."""
+    for r, text in enumerate(texts):
+        own = [x[1:] for x in template_windows([text])]
+        words, index, _ = _indexed([text])
+        words, n = words[0], len(index)
+        if n >= WINDOW:
+            flags = int(_words.flags[index[0]])
+            tokens, slot = _tokens(index, np.arange(n) == 0)
+            for reading in (_NAME, _UNIT):
+                if flags & reading and not slot[0] and slot[1:WINDOW].sum() < WINDOW - LITERALS:
+                    other = tokens[:WINDOW].copy()
+                    other[0] = _SLOTS[2 if reading == _NAME else 1]
+                    own.append((0, 0, int(_sums(other, _FACTORS).view(np.int64)[0]), [plain_word(w) for k, w in enumerate(words[:WINDOW]) if slot[k] or not k]))
+        if n and len({x[1] for x in own}) < FEW:
+            size = n if n <= SHORT else WINDOW
+            own += [(size, at, int(v), []) for at, v in enumerate(_sums(_words.hashes[index], _PLAIN[:size]).view(np.int64))]
+        yield from ((r, *x) for x in own)
+
+
+def _windows(df: DataFrame, text: str, keys: list[str], find) -> DataFrame:
+    """Rows (keys, kind, pos, window, slots) of what find has of a list of texts."""
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(x, T.LongType()) for x in ("kind", "pos", "window")), T.StructField("slots", T.ArrayType(T.StringType()))])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = wanted and np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch[text]]
             start, size = 0, 0
             for k, t in enumerate(texts):
                 size += len(t) // 4
                 if size > _WORDS_AT_ONCE or k + 1 == len(texts):
-                    found = list(template_windows(texts[start : k + 1], held))
+                    found = list(find(texts[start : k + 1]))
                     if found:
-                        r, pos, window, slots = zip(*found, strict=True)
+                        r, kind, pos, window, slots = zip(*found, strict=True)
                         out = batch[keys].iloc[[start + x for x in r]].reset_index(drop=True)
-                        yield out.assign(pos=pos, window=window, slots=pd.Series(slots, dtype=object))
+                        yield out.assign(kind=kind, pos=pos, window=window, slots=pd.Series(slots, dtype=object))
                     start, size = k + 1, 0
 
     return df.select(*keys, text).mapInPandas(rows, schema)
@@ -159,6 +200,22 @@ def _filter(windows: DataFrame):
     return windows.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
+def _agreeing(windows: list) -> tuple[list[int], bool]:
+    """Positions of the windows (pos, i, d) without a value i of the item that stands for several values d, and whether a value differs."""
+    stands: dict[str, set] = {}
+    for _, i, d in windows:
+        for x, y in zip(i, d, strict=True):
+            stands.setdefault(x, set()).add(y)
+    kept = [(pos, i, d) for pos, i, d in windows if all(len(stands[x]) == 1 for x in i)]
+    return [pos for pos, _, _ in kept], any(x != y for _, i, d in kept for x, y in zip(i, d, strict=True))
+
+
+@F.pandas_udf(T.StructType([T.StructField("found", T.ArrayType(T.LongType())), T.StructField("changed", T.BooleanType())]))
+def _agreeing_udf(lines: pd.Series) -> pd.DataFrame:
+    out = [_agreeing([(w["pos"], list(w["i"]), list(w["d"])) for w in line]) for line in lines]
+    return pd.DataFrame({"found": pd.Series([x[0] for x in out], dtype=object), "changed": pd.Series([x[1] for x in out], dtype=bool)})
+
+
 def findings(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id, share, reparameterised) for every item found in a document.
 
@@ -166,19 +223,21 @@ def findings(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     reparameterised: a placeholder holds another value than in the item.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    wanted = _windows(items, "text", ["item_id"]).distinct().persist()
-    total = wanted.groupBy("item_id").agg(F.countDistinct("pos").alias("total"))
+    wanted = _windows(items, "text", ["item_id"], item_windows).distinct().persist()
+    total = wanted.groupBy("item_id", "kind").agg(F.countDistinct("pos").alias("total"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), F.col(text).cast("string").alias("text"))
-    have = _windows(texts, "text", ["doc_id", "text_key"], _filter(wanted))
-    right = wanted.select("window", "item_id", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    both = have.join(right, "window").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    pair = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    lines = both.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.collect_set("item_pos").alias("found"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
-    one_to_one = (F.size(F.array_distinct("pairs.i")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.d")) == F.size("pairs"))
-    lines = lines.where(one_to_one).withColumn("changed", F.exists("pairs", lambda x: x["i"] != x["d"]))
-    each = lines.groupBy("doc_id", "text_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n"), F.max("changed").alias("reparameterised"))
-    out = each.join(total, "item_id").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= SHARE)
-    return out.select("doc_id", "text_key", "item_id", "share", "reparameterised")
+    held = _filter(wanted)
+    lengths = tuple(sorted(r.kind for r in wanted.where("kind > 0").select("kind").distinct().collect()))
+    have = _windows(texts, "text", ["doc_id", "text_key"], lambda part: template_windows(part, np.frombuffer(held.value, np.uint8), lengths))
+    right = wanted.select("window", "kind", "item_id", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    both = have.join(right, ["window", "kind"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    window = F.struct(F.col("item_pos").alias("pos"), F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    lines = both.groupBy("doc_id", "text_key", "item_id", "kind", "shift").agg(F.collect_set(window).alias("windows"))
+    lines = lines.select("doc_id", "text_key", "item_id", "kind", _agreeing_udf("windows").alias("w")).select("*", "w.found", "w.changed")
+    each = lines.groupBy("doc_id", "text_key", "item_id", "kind").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n"), F.max("changed").alias("reparameterised"))
+    out = each.join(total, ["item_id", "kind"]).withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= SHARE)
+    # what is there word for word isn't reparameterised
+    return out.groupBy("doc_id", "text_key", "item_id").agg(F.max("share").alias("share"), F.min("reparameterised").alias("reparameterised"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -53,3 +53,22 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     assert decontam.findings(docs_of(spark, []), bench).count() == 0
     assert decontam.findings(docs_of(spark, [(1, ITEM, None)]), bench.where("false")).count() == 0
+
+
+def test_short_items_after_any_word(spark):
+    items = {1: "Maria sells five green pears daily", 2: "Minutes pass before anyone notices that", 3: "tiny item", 4: "12 15 18 21 24 27 30 33 36 39", 5: "Where did Paul Meet Anna", 6: "1 2 3 4 5"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(10 * i + k, f"{before} {text} and more of it follows here", None) for i, text in items.items() for k, before in enumerate(("", "Heading", "Question 5", "An end."))]
+    rows.append((100, "pears Maria sells daily, tiny as an item", None))
+    got = {(r.doc_id, r.item_id, r.reparameterised) for r in decontam.findings(docs_of(spark, rows), bench).collect()}
+    assert got == {(10 * i + k, i, False) for i in items for k in range(4)}
+
+
+def test_two_values_for_one(spark):
+    item = "the box holds 3 apples and 5 pears which the old farmer picked early and then sold to a friend for 9 coins"
+    same = item.replace("3", "4").replace("5", "4")
+    once = item + " while it was raining all over the wide green valley and 3 crows sat on the fence near the barn until a boy with a long stick came out of the house and sent them away"
+    rows = [(1, same, None), (2, once.replace("3 crows", "8 crows"), None)]
+    bench = spark.createDataFrame([(1, item), (2, once)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.findings(docs_of(spark, rows), bench).collect()}
+    assert {(1, 1), (2, 1), (2, 2)} <= got
