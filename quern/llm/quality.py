@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-A rule is a condition on a text's measures that rejects it. On a bounded sample every rule's cost (time
-of evaluating it alone) and selectivity (share of rows rejected) are estimated; rules are then chained
-in descending order of rejections per cost in one CASE expression, which stops at the first that holds.
-The order changes the time only: the verdict is that of the conjunction.
+A rule is a condition on a text's measures that rejects it. On a bounded random sample every rule's cost (time
+of evaluating it alone, less that of a job that reads the sample only) and selectivity (share of rows rejected)
+are estimated; rules are then chained in descending order of rejections per cost in one CASE expression. A measure
+stands inside the branch of the rule that asks for it, so rules after the first that holds cost nothing; only
+measures that the caller keeps are computed for every row. A rule may have a guard, a cheaper condition without
+which it cannot hold. Order and guards change the time only: the verdict is that of the conjunction.
 
 Null and empty texts have no words and fail. Repeated rows are judged one by one, other columns pass
 through untouched (columns made here carry the prefix of PREFIX), an empty table gives an empty result.
@@ -12,7 +14,7 @@ through untouched (columns made here carry the prefix of PREFIX), an empty table
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,21 +29,25 @@ PREFIX = "__quality_"
 
 @dataclass(frozen=True)
 class Rule:
-    """A named condition over the measures' names; measures are computed only where a rule asks for them."""
+    """reject: a condition over the measures in needs; guard: one over guard_needs that holds wherever reject does."""
 
     name: str
-    reject: str
+    needs: tuple[str, ...]
+    reject: Callable[[Mapping[str, Column]], Column]
+    guard_needs: tuple[str, ...] = ()
+    guard: Callable[[Mapping[str, Column]], Column] | None = None
 
 
 #: What the verdict is made of. Shares are of words, lines or characters.
 RULES = (
-    Rule("few_words", "n_words < 50"),
-    Rule("repeats", "100 * n_repeat_words > 50 * n_words"),
-    Rule("symbols", "10 * n_symbols > 5 * n_words"),
-    Rule("shouting", "2 * n_capitals > word_chars"),
-    Rule("exclamations", "10 * n_exclamations > 5 * n_words"),
-    Rule("duplicate_lines", "n_dup_lines >= 3 and 2 * n_dup_lines > n_lines"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
+    Rule("few_words", ("n_words",), lambda m: m["n_words"] < 50),
+    # repeated windows cover half of the words: there are n / 6 or more of them, of which every other at most is distinct
+    Rule("repeats", ("n_repeat_words", "n_words"), lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"], ("n_same_windows", "n_words"), lambda m: 12 * m["n_same_windows"] >= m["n_words"]),
+    Rule("symbols", ("n_symbols", "n_words"), lambda m: 10 * m["n_symbols"] > 5 * m["n_words"]),
+    Rule("shouting", ("n_capitals", "word_chars"), lambda m: 2 * m["n_capitals"] > m["word_chars"]),
+    Rule("exclamations", ("n_exclamations", "n_words"), lambda m: 10 * m["n_exclamations"] > 5 * m["n_words"]),
+    Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda m: (m["n_dup_lines"] >= 3) & (2 * m["n_dup_lines"] > m["n_lines"])),
+    Rule("word_length", ("word_chars", "n_words"), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
 )
 
 
@@ -75,74 +81,101 @@ def _covered(positions: Column) -> Column:
     return F.aggregate(step, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
-def measures(df: DataFrame, text: str, names: Sequence[str]) -> DataFrame:
-    """df with the measures in names as columns, prefixed by PREFIX."""
-    p = PREFIX
-    out = df.withColumn(p + "text", text_or_empty(text))
-    t = F.col(p + "text")
-    if {"n_words", "n_repeat_words"} & set(names):
-        out = out.withColumn(p + "words", words_of(t)).withColumn(p + "n_words", F.size(p + "words").cast("long"))
-    if "n_repeat_words" in names:
-        n = F.col(p + "n_words")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeat_words(words: Column) -> Column:
+    def of_hashes(hashes: Column) -> Column:
+        n = F.size(hashes).cast("long")
         bits = F.coalesce(F.length(F.bin(n)), F.lit(1)).cast("int")
-        out = out.withColumn(p + "hashes", F.transform(p + "words", lambda w: F.xxhash64(w))).withColumn(p + "bits", bits)
-        out = out.withColumn(p + "keys", F.sort_array(_window_keys(F.col(p + "hashes"), n, F.col(p + "bits"))))
-        out = out.withColumn(p + "repeated", _repeated_positions(F.col(p + "keys"), F.col(p + "bits")))
-        out = out.withColumn(p + "n_repeat_words", _covered(F.col(p + "repeated")))
-    if {"n_lines", "n_dup_lines"} & set(names):
-        out = out.withColumn(p + "lines", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
-    plain = {
-        "word_chars": F.length(F.translate(t, SPACE, "")).cast("long"),
-        "n_symbols": _removed(t, SYMBOLS),
-        "n_capitals": _removed(t, CAPITALS),
-        "n_exclamations": _removed(t, "!"),
-        "n_lines": F.size(p + "lines").cast("long"),
-        "n_dup_lines": (F.size(p + "lines") - F.size(F.array_distinct(p + "lines"))).cast("long"),
+        return _let(F.sort_array(_window_keys(hashes, n, bits)), lambda keys: _let(_repeated_positions(keys, bits), _covered))
+
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
+
+
+def _same_windows(words: Column) -> Column:
+    """Windows of three words less the distinct ones."""
+    windows = lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+    return _let(words, lambda ws: _let(windows(ws), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")))
+
+
+def measure(name: str, text: Column) -> Column:
+    """A measure of a text that isn't null."""
+    words, lines = words_of(text), F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    made = {
+        "n_words": lambda: F.size(words).cast("long"),
+        "n_repeat_words": lambda: _repeat_words(words),
+        "n_same_windows": lambda: _same_windows(words),
+        "word_chars": lambda: F.length(F.translate(text, SPACE, "")).cast("long"),
+        "n_symbols": lambda: _removed(text, SYMBOLS),
+        "n_capitals": lambda: _removed(text, CAPITALS),
+        "n_exclamations": lambda: _removed(text, "!"),
+        "n_lines": lambda: F.size(lines).cast("long"),
+        "n_dup_lines": lambda: _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
     }
-    for name in names:
-        if name in plain:
-            out = out.withColumn(p + name, plain[name])
-    return out
+    return made[name]()
+
+
+def _holds(needs: Sequence[str], condition: Callable[[Mapping[str, Column]], Column], text: Column, given: Sequence[str]) -> Column:
+    """The condition over measures: columns of PREFIX for those given, others made in place."""
+    bound = F.struct(*((F.col(PREFIX + x) if x in given else measure(x, text)).alias(x) for x in needs))
+    return _let(bound, lambda m: condition({x: m[x] for x in needs}))
 
 
-def _needs(condition: str) -> list[str]:
-    known = ("n_words", "n_repeat_words", "word_chars", "n_symbols", "n_capitals", "n_exclamations", "n_lines", "n_dup_lines")
-    return [x for x in known if x in condition.replace("(", " ").split()]
+def rejects(rule: Rule, text: Column, given: Sequence[str] = ()) -> Column:
+    """Whether a rule rejects a text that isn't null. A guard is of use only where the rule's own measures aren't given."""
+    verdict = _holds(rule.needs, rule.reject, text, given)
+    if rule.guard is None or set(rule.needs) <= set(given):
+        return verdict
+    return F.when(_holds(rule.guard_needs, rule.guard, text, given), verdict).otherwise(F.lit(False))
 
 
-def _prefixed(condition: str) -> Column:
-    names = _needs(condition)
-    return F.expr(" ".join(PREFIX + x if x in names else x for x in condition.split()))
+def _seconds(df: DataFrame, value: Column) -> tuple[float, int]:
+    began = time.perf_counter()
+    found = df.agg(F.count_if(value)).first()[0]
+    return time.perf_counter() - began, found
 
 
-def order_rules(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = 512) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) in the order in which the cascade should try them.
+def order_rules(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = 256) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds a row, share rejected) in the order in which the cascade should try them.
 
-    sample_rows bounds the sample; it only sets the order of evaluation, never a verdict.
+    The sample is drawn from all of df; about sample_rows, twice that at most. Rules that are too fast to time are
+    timed again on the sample's rows repeated. It only sets the order of evaluation, never a verdict.
     """
-    sample = df.select(F.col(text).alias("text")).limit(sample_rows).persist()
+    share = min(1.0, sample_rows / max(1, df.count()))
+    sample = df.select(text_or_empty(text).alias("text")).sample(share, 7).limit(2 * sample_rows).persist()
     rows = max(1, sample.count())
+    several = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    nothing = F.col("text").isNull()
+    _seconds(sample, nothing)
+    idle, idle_several = (_seconds(x, nothing)[0] for x in (sample, several))
     found = []
     for rule in rules:
-        verdict = measures(sample, "text", _needs(rule.reject)).agg(F.count_if(_prefixed(rule.reject)))
-        began = time.perf_counter()
-        rejected = verdict.first()[0]
-        found.append((rule, time.perf_counter() - began, rejected / rows))
+        verdict = rejects(rule, F.col("text"))
+        took, rejected = _seconds(sample, verdict)
+        cost = took - idle
+        if cost < 0.3:
+            cost = max(_seconds(several, verdict)[0] - idle_several, 1e-3) / 8
+        found.append((rule, cost / rows, rejected / rows))
     sample.unpersist()
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1]))
 
 
-def cascade(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = 512, keep_measures: Sequence[str] = ()) -> DataFrame:
+def cascade(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = 256, keep_measures: Sequence[str] = ()) -> DataFrame:
     """df with failed_rule (string, null where all rules pass) and the measures of keep_measures.
 
     The columns failed_rule and keep_measures replace columns of the same names.
     """
     ordered = [rule for rule, _, _ in order_rules(df, text, rules, sample_rows)]
-    needs = list(dict.fromkeys([*keep_measures, *(x for r in ordered for x in _needs(r.reject))]))
-    out = measures(df, text, needs)
+    t = F.col(PREFIX + "text")
+    out = df.withColumn(PREFIX + "text", text_or_empty(text))
+    for name in keep_measures:
+        out = out.withColumn(PREFIX + name, measure(name, t))
     first = F.lit(None).cast("string")
     for rule in reversed(ordered):
-        first = F.when(_prefixed(rule.reject), F.lit(rule.name)).otherwise(first)
+        first = F.when(rejects(rule, t, keep_measures), F.lit(rule.name)).otherwise(first)
     # filters on the results don't pass a generator; pushed below it, they would repeat the measures' expressions many times over
     made = F.struct(first.alias("failed_rule"), *(F.col(PREFIX + x).alias(x) for x in keep_measures))
     kept = [c for c in df.columns if c != "failed_rule" and c not in keep_measures]
