@@ -94,21 +94,30 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.select(F.col("u").alias("node"), F.col("c").alias("component")).union(ends.select(F.col("c").alias("node"), F.col("c").alias("component")).distinct())
 
 
+def bit_map(df: DataFrame, hashes: Column, bits: int = 1 << 23):
+    """A broadcast of `bits` bits, whatever df's size: those at the low bits of df's hashes are set."""
+    bit = hashes.bitwiseAND(bits - 1)
+    bytes_ = df.select((bit / 8).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    held = np.zeros(bits // 8, np.uint8)
+    found = bytes_.toPandas()
+    held[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
+    return df.sparkSession.sparkContext.broadcast(held.tobytes())
+
+
+def in_bit_map(held: bytes, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & (len(held) * 8 - 1)
+    return np.frombuffer(held, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
 def maybe_among(df: DataFrame, *columns: str, bits: int = 1 << 23):
     """A test, for columns of the same names, that holds for every row whose values df has, and for few others.
 
     What is broadcast has `bits` bits whatever df's size; where it fills up it only spares fewer rows.
     """
-    bit = F.xxhash64(*columns).bitwiseAND(bits - 1)
-    bytes_ = df.select((bit / 8).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    held = np.zeros(bits // 8, np.uint8)
-    found = bytes_.toPandas()
-    held[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(held.tobytes())
+    shared = bit_map(df, F.xxhash64(*columns), bits)
 
     @F.pandas_udf(T.BooleanType())
     def test(hashes: pd.Series) -> pd.Series:
-        at = hashes.to_numpy(np.int64) & (bits - 1)
-        return pd.Series(np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+        return pd.Series(in_bit_map(shared.value, hashes.to_numpy(np.int64)))
 
     return test(F.xxhash64(*columns))

@@ -11,7 +11,8 @@ def test_known_finds_what_features_has():
 
 
 def test_counterfactual_keeps_case_free_text():
-    assert toxicity.counterfactual("the Muslim man") == "the jewish woman" and toxicity.counterfactual("nobody") is None
+    swap = lambda t: toxicity.counterfactual(t, toxicity.LISTED)
+    assert swap("the Muslim man") == "the jewish woman" and swap("nobody") is None
 
 
 def test_held_out_accuracy_and_neutral_mentions(spark, tmp_path):
@@ -48,14 +49,41 @@ def test_no_labels(spark):
 
 
 def test_features_are_counted_over_all_labelled_rows(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, "grubby" if i % 3 == 0 else "plain") for i in range(400)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "grubby" if i % 3 == 0 else "plain" if i % 2 else "grubby plain") for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
     seen = {}
     monkeypatch.setattr(toxicity, "TRAINING_ROWS", 50)
     select, fit = toxicity.select_features, toxicity._fit
-    monkeypatch.setattr(toxicity, "select_features", lambda training, *n: seen.update(counted=training.count(), classes=n) or select(training, *n))
+    monkeypatch.setattr(toxicity, "select_features", lambda counts, *n: seen.update({r.feature: (r.toxic, r.other) for r in counts.collect() if "+" not in r.feature}, classes=n) or select(counts, *n))
     monkeypatch.setattr(toxicity, "_fit", lambda pairs, *a: seen.update(fitted=len(pairs)) or fit(pairs, *a))
     toxicity.train(docs, labels)
     kept = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
     toxic = sum(i % 3 == 0 for i in kept)
-    assert seen == {"counted": len(kept), "classes": (toxic, len(kept) - toxic), "fitted": 50}
+    grubby = sum(i % 3 != 0 and i % 2 == 0 for i in kept)
+    assert seen == {"grubby": (toxic, grubby), "classes": (toxic, len(kept) - toxic), "fitted": 50}
+
+
+def test_terms_of_the_data_lose_their_weight(spark, monkeypatch):
+    """Words that no list holds: in toxic rows by chance, yet met in the same slots as others in all rows."""
+    rng = random.Random(5)
+    groups = ["vorlan", "mestik", "durgan", "palwit"]
+    docs, labels = [], []
+    for i in range(1200):
+        toxic = i % 4 == 0
+        # toxic rows name the first group more often
+        group = groups[0] if rng.random() < (0.6 if toxic else 0.2) else rng.choice(groups[1:])
+        text = ["people", "from", group, "live", "here", *rng.choices(["aaa", "bbb", "ccc", "ddd"], k=6)]
+        if toxic:
+            text.insert(rng.randrange(len(text)), rng.choice(["vilest", "grubby"]))
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    weight = {}
+    for penalty in (0.0, 1.0):
+        monkeypatch.setattr(toxicity, "PENALTY", penalty)
+        model = toxicity.train(docs, labels, identity={})
+        assert model["identity"]["vorlan"] in groups and not {"vilest", "grubby"} & set(model["identity"])
+        own = lambda w: sum(model["weights"].get(x, 0) for x in toxicity.features(w))
+        weight[penalty] = abs(own("vorlan") - own(model["identity"]["vorlan"]))
+        assert own("vilest") > 2
+    assert weight[1.0] < 0.5 * weight[0.0]
