@@ -38,3 +38,37 @@ def test_templates(spark):
         else:
             assert r.text == whole({1: 0, 2: r.page_id - 200, 3: 1}[r.page_id // 100])
     assert th.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def odd_page(k, menu, advert):
+    links = "".join(f"<div class=k2><a href=/{m}>{m}</a></div>" for m in menu)
+    return f"<html><body><div class=k1>{links}</div><div class=k3><div>Words of page {k}, nobody has them</div><div>More of {k}</div></div><div class=k4>{advert}</div><div class=k5>All rights with the site</div></body></html>"
+
+
+def test_templates_decide_where_names_say_nothing(spark):
+    stock = ["alpha", "beta", "gamma", "delta"]
+    rows = [(k, f"http://a.example.org/{k}", odd_page(k, (stock[k % 4], stock[(k + 1) % 4]), "Buy " + stock[k % 3])) for k in range(24)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for names in (True, False):
+        for r in th.extract(table, names=names).collect():
+            assert r.text == f"Words of page {r.page_id}, nobody has them\nMore of {r.page_id}"
+
+
+def test_statistics_against_exact_vectors(spark):
+    stock = ["alpha", "beta", "gamma"]
+    rows = [(k, "h1" if k % 3 else "h2", k, odd_page(k % 17, (stock[k % 3], "same"), stock[k % 2])) for k in range(40)]
+    table = spark.createDataFrame(rows, "page_id long, host string, key long, html string")
+    exact = {}
+    for _, host, key, source in rows:
+        p = th.Page(source)
+        for path, n in p.tags.items():
+            exact.setdefault((host, th._signed(path), 0), {})[key] = n
+        for b in p.blocks:
+            own = exact.setdefault((host, th._block_token(b[1], b[0]), 1), {})
+            own[key] = own.get(key, 0) + 1
+    got = th._statistics(table.repartition(5)).where("token <> 0").collect()
+    assert {(r.host, r.token, r.kind): (r.pages, r.total) for r in got} == {k: (len(v), sum(v.values())) for k, v in exact.items()}
+    # equal folded vectors stand for equal vectors
+    groups = lambda of: {frozenset(k for k in exact if of(k) == v) for v in {of(k) for k in exact}}
+    folded = {(r.host, r.token, r.kind): (r.host, r.vector) for r in got}
+    assert groups(lambda k: (k[0], frozenset(exact[k].items()))) == groups(lambda k: folded[k])
