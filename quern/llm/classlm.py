@@ -1,16 +1,18 @@
 """Brown class-based bigram model: exchange clustering, smoothed perplexity.
 
-Counting covers all training texts. The ITEMS most frequent words are clustered into CLASSES classes by the
-exchange algorithm: each word in turn moves to the class that raises the likelihood of the class bigrams
-most. All other words fall into FORMS classes by their last letters, so unseen words have a class, too. What
-the driver holds are the bigram counts of items and forms, whose number these parameters bound.
-
-P(w | v) = P(c(w) | c(v)) P(w | c(w)), with the class transition backed off to the class's share and
-additive emissions; each class keeps one share for all its unknown words, so the probabilities of the
-known words and of the classes' unknown ones sum to one.
-
-Word counts come back to the texts by blocks: texts are dealt to blocks by a hash of their id and text, every
-block asks once for each of its words, and counts and texts of a block meet in one task. Blocks hold about
+Counting covers all training texts. Clustering goes in two steps. First the ITEMS most frequent words and FORMS
+groups of all others, by their last letters, are clustered into CLASSES classes by the exchange algorithm: each in turn
+moves to the class that raises the likelihood of the class bigrams most. Then every other word met MIN_COUNT times or
+more is exchanged at once, on Spark: from its group's class to the one that the classes before and after all its
+occurrences make likeliest. Rarer and unseen words stay in their group's class. What the driver holds are bigram
+counts of items and groups, and of classes, whose numbers these parameters bound.
+
+P(w | v) = P(c(w) | c(v)) P(w | c(w)), with the class transition, counted again after the exchange, backed off to
+the class's share and additive emissions; each class keeps one share for all its unknown words, so the
+probabilities of the known words and of the classes' unknown ones sum to one.
+
+Word counts and classes come back to the texts by blocks: texts are dealt to blocks by a hash of their id and text, every
+block asks once for each of its words, and answers and texts of a block meet in one task. Blocks hold about
 BLOCK_BYTES of text. Null and empty texts have the end token only. Repeated rows score alike; an empty
 table gives an empty result. Ids that are null count as an empty text's.
 """
@@ -22,17 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import stage
+from quern.llm.common import bit_map, in_bit_map, stage, unstage
 
 HELD_OUT = (7, 2)
-ITEMS = 512
-CLASSES = 48
-FORMS = 64
-SWEEPS = 8
+ITEMS = 1024
+CLASSES = 64
+FORMS = 256
+SWEEPS = 6
+#: Rarer words give no evidence of their own.
+MIN_COUNT = 3
 #: Pseudo-counts of a class transition's back-off, and of each word's emission.
 BACK_OFF = 20.0
 EMISSION = 0.5
@@ -50,13 +55,13 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def form(word: bytes) -> int:
-    """The class of a word that isn't clustered, by its last two bytes and whether it is short."""
+    """The group of a word, by its last two bytes and whether it is short."""
     return (word[-1] * 31 + (word[-2] * 7 if len(word) > 1 else 0) + (len(word) > 4)) % FORMS if word else 0
 
 
 def _texts(df: DataFrame, text: str, doc_id: str, blocks: int) -> DataFrame:
     t = F.col(text).cast("string")
-    return df.select(F.col(doc_id).alias("doc_id"), t.alias("text"), held_out(doc_id).alias("held_out"), F.pmod(F.xxhash64(doc_id, t), F.lit(blocks)).cast("int").alias("block"))
+    return df.select(F.col(doc_id).alias("doc_id"), t.alias("text"), held_out(doc_id).alias("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
 
 def _block_words(texts: DataFrame) -> DataFrame:
@@ -78,26 +83,32 @@ def _block_words(texts: DataFrame) -> DataFrame:
     return texts.select("text", "held_out", "block").mapInPandas(rows, "block int, word binary, n long")
 
 
+class _Numbers(dict):
+    """A word's number: that of an item, or after these its group's."""
+
+    def __init__(self, items: dict[bytes, int]):
+        super().__init__()
+        self.items = items
+
+    def __missing__(self, word):
+        if len(self) > 300_000:
+            self.clear()
+        out = self[word] = self.items.get(word, len(self.items) + form(word))
+        return out
+
+
 def _bigrams(training: DataFrame, items: dict[bytes, int]) -> np.ndarray:
-    """Counts of neighbouring items, text ends included; size (ITEMS + FORMS + 1) squared at most."""
+    """Counts of neighbouring items and groups, text ends included; size (ITEMS + FORMS + 1) squared at most."""
     size = len(items) + FORMS + 1
     shared = training.sparkSession.sparkContext.broadcast(items)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, seen = shared.value, {}
-        first = len(known)
-        end = size - 1
+        numbers, end = _Numbers(shared.value), size - 1
         total = np.zeros(size * size, np.int64)
         for batch in batches:
             line = [end]
             for text in batch["text"]:
-                for w in tokens(text):
-                    k = seen.get(w)
-                    if k is None:
-                        if len(seen) > 300_000:
-                            seen.clear()
-                        k = seen[w] = known.get(w, first + form(w))
-                    line.append(k)
+                line += map(numbers.__getitem__, tokens(text))
                 line.append(end)
             line = np.array(line, np.int64)
             total += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
@@ -151,66 +162,195 @@ def exchange(bigrams: np.ndarray, moving: int, classes: int, sweeps: int = SWEEP
     return label
 
 
-def train(texts: DataFrame, words: DataFrame) -> dict:
-    """The model from training texts and (word, n) of all words, n counting training occurrences."""
-    known = words.where("n > 0")
-    totals = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+def _pair_counts(label: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    k = int(label.max()) + 1
+    pairs = np.zeros((k, k))
+    np.add.at(pairs, (label[:, None], label[None, :]), bigrams)
+    return pairs
+
+
+def transitions(pairs: np.ndarray) -> np.ndarray:
+    """P(next class | class) from counts of neighbouring classes."""
+    share = (pairs.sum(0) + 1) / (pairs.sum() + len(pairs))
+    return (pairs + BACK_OFF * share) / (pairs.sum(1, keepdims=True) + BACK_OFF)
+
+
+def initial_classes(texts: DataFrame, known: DataFrame) -> dict:
+    """The first step: items, label of items, groups and the text end, and class bigrams."""
     top = known.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(ITEMS).collect()
     items = {bytes(r.word): i for i, r in enumerate(top)}
     counts = _bigrams(texts.where(~F.col("held_out")), items)
-    label = exchange(counts, len(items), min(CLASSES, max(1, len(items))))
-    k = int(label.max()) + 1
-    pairs = np.zeros((k, k))
-    np.add.at(pairs, (label[:, None], label[None, :]), counts)
-    share = (pairs.sum(0) + 1) / (pairs.sum() + k)
-    step = (pairs + BACK_OFF * share) / (pairs.sum(1, keepdims=True) + BACK_OFF)
-    # distinct words of each class: clustered ones, and those of the forms over the whole vocabulary
-    forms = np.zeros(FORMS)
+    moving = len(items) + FORMS
+    label = exchange(counts, moving, min(CLASSES, max(1, len(items))))
+    return {"items": items, "label": label.astype(np.uint8), "pairs": _pair_counts(label, counts)}
+
+
+def _contexts(training: DataFrame, known: DataFrame, first: dict) -> DataFrame:
+    """(word_hash, codes): a batch's occurrences of a word that is no item, as pairs of bytes, the classes before and after."""
+    # the map only spares rows of rare words
+    held = bit_map(known.where(F.col("n") >= MIN_COUNT), F.xxhash64("word"))
+    shared = training.sparkSession.sparkContext.broadcast(first)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        label, numbers = shared.value["label"], _Numbers(shared.value["items"])
+        count = len(numbers.items)
+        end = len(label) - 1
         for batch in batches:
-            found = Counter(form(w) for w in map(bytes, batch["word"]) if w and w not in items)
-            yield pd.DataFrame({"form": list(found), "n": list(found.values())})
+            words, number = [END], [end]
+            for text in batch["text"]:
+                own = tokens(text)
+                words += own
+                number += map(numbers.__getitem__, own)
+                words.append(END)
+                number.append(end)
+            number = np.array(number, np.int64)
+            classes = label[number]
+            place: dict[bytes, int] = {}
+            others = np.flatnonzero((number >= count) & (number < end))
+            row = np.fromiter((place.setdefault(words[i], len(place)) for i in others.tolist()), np.int64, len(others))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in place), np.uint64, len(place)).view(np.int64)
+            order = np.argsort(row, kind="stable")
+            at = others[order]
+            codes = np.stack([classes[at - 1], classes[at + 1]], 1).astype(np.uint8)
+            ends = np.cumsum(np.bincount(row, minlength=len(place)))
+            keep = np.flatnonzero(in_bit_map(held.value, hashes)) if len(hashes) else np.zeros(0, np.int64)
+            begins = ends - np.diff(np.concatenate([[0], ends]))
+            yield pd.DataFrame({"word_hash": hashes[keep], "codes": [codes[begins[k] : ends[k]].tobytes() for k in keep.tolist()]})
+
+    return training.select("text").mapInPandas(rows, "word_hash long, codes binary")
+
+
+def exchanged(contexts: DataFrame, first: dict) -> DataFrame:
+    """(word_hash, class): where every word met MIN_COUNT times or more is likeliest; the text end's class takes none."""
+    pairs, end = first["pairs"], int(first["label"][-1])
+    step = np.log(transitions(pairs))
+    mass = np.log(pairs.sum(0) + EMISSION)
+    k = len(pairs)
 
-    for f, n in known.select("word").mapInPandas(rows, "form int, n long").groupBy("form").agg(F.sum("n")).collect():
-        forms[f] = n
-    kinds = np.bincount(label[: len(items)], minlength=k).astype(float)
-    kinds[label[len(items) : len(items) + FORMS]] = forms
-    kinds[label[-1]] = 1
-    return {"items": items, "label": label, "step": np.log10(step), "mass": pairs.sum(0) + EMISSION * (kinds + 1), "N": int(totals[0]), "V": int(totals[1])}
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted by word; the last word of a batch may go on in the next
+        word, before, after = np.zeros(0, np.int64), np.zeros((0, k)), np.zeros((0, k))
+
+        def decided(n: int) -> pd.DataFrame:
+            times = after[:n].sum(1)
+            gain = after[:n] @ step.T + before[:n] @ step - times[:, None] * mass
+            gain[:, end] = -np.inf
+            some = times >= MIN_COUNT
+            return pd.DataFrame({"word_hash": word[:n][some], "class": gain.argmax(1)[some].astype(np.int32)})
 
+        for batch in batches:
+            own, at = np.unique(batch["word_hash"].to_numpy(np.int64), return_inverse=True)
+            sizes = batch["codes"].map(len).to_numpy(np.int64) // 2
+            codes = np.frombuffer(b"".join(batch["codes"]), np.uint8).reshape(-1, 2).astype(np.int64)
+            row = np.repeat(at, sizes)
+            tally = lambda x: np.bincount(row * k + x, minlength=len(own) * k).reshape(len(own), k).astype(np.float64)
+            new = tally(codes[:, 0]), tally(codes[:, 1])
+            if len(word) and len(own) and word[-1] == own[0]:
+                new[0][0] += before[-1]
+                new[1][0] += after[-1]
+            elif len(word):
+                yield decided(1)
+            word, before, after = own, *new
+            if len(own) > 1:
+                yield decided(len(own) - 1)
+            word, before, after = word[-1:], before[-1:], after[-1:]
+        if len(word):
+            yield decided(1)
+
+    return contexts.repartition("word_hash").sortWithinPartitions("word_hash").mapInPandas(rows, "word_hash long, class int")
+
+
+def _classed(known: DataFrame, classes: DataFrame, first: dict) -> DataFrame:
+    """(word, n, class) of all known words."""
+    shared = known.sparkSession.sparkContext.broadcast(first)
+    joined = known.withColumn("word_hash", F.xxhash64("word")).join(classes, "word_hash", "left").select("word", "n", "class")
 
-def _score(model: dict, line: list[bytes], count: dict[bytes, int]) -> tuple[int, int, float, float]:
-    """Tokens, known tokens, base score and score of a text."""
-    items, label = model["items"], model["label"]
-    first, end = len(items), int(label[-1])
-    c = np.array([*(count.get(w, 0) for w in line), count.get(END, 0)], np.float64)
-    classes = np.array([*(label[items[w] if w in items else first + form(w)] for w in line), end], np.int64)
-    base = float(np.log10((c + 1) / (model["N"] + 1 * (model["V"] + 1))).sum())
-    before = np.concatenate([[end], classes[:-1]])
-    score = model["step"][before, classes] + np.log10((c + EMISSION) / model["mass"][classes])
-    return len(c), int((c > 0).sum()), base, float(score.sum())
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, label = _Numbers(shared.value["items"]), shared.value["label"]
+        count = len(numbers.items)
+        for batch in batches:
+            number = np.array([numbers[bytes(w)] if w else len(label) - 1 for w in batch["word"]], np.int64)
+            own = batch["class"].to_numpy(np.float64)
+            free = ~np.isnan(own) & (number >= count) & (number < len(label) - 1)
+            yield batch.assign(**{"class": np.where(free, np.nan_to_num(own), label[number]).astype(np.int32)})
+
+    return joined.mapInPandas(rows, "word binary, n long, class int")
+
+
+def _read(texts: DataFrame, answers: DataFrame, first: dict, n: int, v: int) -> DataFrame:
+    """Every text with n_tokens, n_known, base_score, emission (the log10 of its counts) and its classes, a byte each."""
+    shared = texts.sparkSession.sparkContext.broadcast(first)
+
+    def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        label, numbers = shared.value["label"], _Numbers(shared.value["items"])
+        # count << 8 | class
+        known = dict(zip(map(bytes, right["word"]), right["answer"].tolist(), strict=True))
+        found = []
+        for text in left["text"]:
+            line = [*tokens(text), END]
+            packed = np.array([known[w] if w in known else int(label[numbers[w]] if w else label[-1]) for w in line], np.int64)
+            count = packed >> 8
+            base = np.log10((count + 1) / (n + 1 * (v + 1))).sum()
+            found.append((len(line), int((count > 0).sum()), float(base), float(np.log10(count + EMISSION).sum()), (packed & 255).astype(np.uint8).tobytes()))
+        out = pd.DataFrame(found, columns=["n_tokens", "n_known", "base_score", "emission", "classes"])
+        return out.assign(doc_id=left["doc_id"].to_numpy(), held_out=left["held_out"].to_numpy(), train_tokens=n)[schema.names]
+
+    schema = T.StructType(
+        [texts.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(x, T.DoubleType()) for x in ("base_score", "emission")), T.StructField("classes", T.BinaryType())]
+    )
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(meet, schema)
+
+
+def _class_bigrams(read: DataFrame, k: int, end: int) -> np.ndarray:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            line = np.frombuffer(bytes([end]) + b"".join(batch["classes"]), np.uint8).astype(np.int64)
+            total += np.bincount(line[:-1] * k + line[1:], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "n": total[at]})
+
+    found = read.where(~F.col("held_out")).select("classes").mapInPandas(rows, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(k * k)
+    for at, n in found:
+        out[at] = n
+    return out.reshape(k, k)
 
 
 def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of df."""
-    spark = df.sparkSession
     if blocks is None:
         size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
         blocks = max(1, size // BLOCK_BYTES)
     texts = _texts(df, text, doc_id, blocks)
     asked = stage(_block_words(texts).groupBy("block", "word").agg(F.sum("n").alias("n")), "block_words")
-    words = stage(asked.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    model = spark.sparkContext.broadcast(train(texts, words))
-    answers = asked.select("block", "word").join(words.where("n > 0"), "word").select("block", "word", "n")
-
-    def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        count = dict(zip(map(bytes, right["word"]), right["n"].tolist(), strict=True))
-        found = [_score(model.value, tokens(t), count) for t in left["text"]]
-        out = pd.DataFrame(found, columns=["n_tokens", "n_known", "base_score", "score"])
-        return out.assign(doc_id=left["doc_id"].to_numpy(), held_out=left["held_out"].to_numpy(), train_tokens=model.value["N"])[schema.names]
-
-    schema = T.StructType(
-        [texts.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(x, T.DoubleType()) for x in ("base_score", "score"))]
-    )
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(meet, schema)
+    known = stage(asked.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "words")
+    n, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    first = initial_classes(texts, known)
+    k, end = len(first["pairs"]), int(first["label"][-1])
+    training = texts.where(~F.col("held_out"))
+    moved = stage(exchanged(_contexts(training, known, first), first), "classes")
+    words = stage(_classed(known, moved, first), "classed")
+    unstage(known)
+    unstage(moved)
+    kinds = np.zeros(k)
+    for c, number in words.groupBy("class").count().collect():
+        kinds[c] = number
+    packed = F.call_function("shiftleft", F.col("n"), F.lit(8)).bitwiseOR(F.col("class").cast("long"))
+    answers = stage(asked.select("block", "word").join(words.select("word", packed.alias("answer")), "word").select("block", "word", "answer"), "answers")
+    unstage(asked)
+    unstage(words)
+    read = stage(_read(texts, answers, first, int(n), int(v)), "read")
+    unstage(answers)
+    pairs = _class_bigrams(read, k, end)
+    step, mass = np.log10(transitions(pairs)), np.log10(pairs.sum(0) + EMISSION * (kinds + 1))
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(emission: pd.Series, classes: pd.Series) -> pd.Series:
+        out = np.zeros(len(classes))
+        for i, own in enumerate(classes):
+            line = np.frombuffer(bytes([end]) + own, np.uint8)
+            out[i] = step[line[:-1], line[1:]].sum() - mass[line[1:]].sum()
+        return emission + out
+
+    return read.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", scored("emission", "classes").alias("score"))

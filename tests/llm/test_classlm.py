@@ -40,19 +40,43 @@ def test_base_scores_against_brute_force(spark, blocks):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_probabilities_sum_to_one(spark):
-    df = spark.createDataFrame(rows(), "doc_id long, text string, x string")
-    texts = classlm._texts(df, "text", "doc_id", 2)
-    words = classlm._block_words(texts).groupBy("word").agg(classlm.F.sum("n").alias("n")).persist()
-    model = classlm.train(texts, words)
-    count = {bytes(r.word): r.n for r in words.where("n > 0").collect()}
-    label, items = model["label"], model["items"]
-    emit = np.zeros(len(model["mass"]))
-    for w, n in count.items():
-        c = label[-1] if not w else label[items[w] if w in items else len(items) + classlm.form(w)]
-        emit[c] += (n + classlm.EMISSION) / model["mass"][c]
-    emit += classlm.EMISSION / model["mass"]
-    assert np.allclose(emit, 1) and np.allclose((10 ** model["step"]).sum(1), 1)
+def test_classes_against_brute_force(spark, monkeypatch):
+    """Every frequent word's class is the likeliest by all its contexts; others keep that of the item or group."""
+    monkeypatch.setattr(classlm, "ITEMS", 6)
+    monkeypatch.setattr(classlm, "CLASSES", 4)
+    table = [r for r in rows() if r[0] not in (903, 904)]
+    texts = classlm._texts(spark.createDataFrame(table, "doc_id long, text string, x string"), "text", "doc_id", 2)
+    known = classlm._block_words(texts).groupBy("word").agg(classlm.F.sum("n").alias("n")).where("n > 0").persist()
+    first = classlm.initial_classes(texts, known)
+    training = texts.where("not held_out")
+    moved = {r.word_hash: r["class"] for r in classlm.exchanged(classlm._contexts(training.repartition(3), known, first), first).collect()}
+    label, items, pairs = first["label"], first["items"], first["pairs"]
+    end = int(label[-1])
+    start = lambda w: int(label[items.get(w, len(items) + classlm.form(w))]) if w else end
+    step, mass = np.log(classlm.transitions(pairs)), np.log(pairs.sum(0) + classlm.EMISSION)
+    lines = [[b"", *classlm.tokens(t), b""] for d, t, _ in table if not out(d)]
+    best = {}
+    for w in {w for line in lines for w in line if w and w not in items}:
+        spots = [(start(line[i - 1]), start(line[i + 1])) for line in lines for i, x in enumerate(line) if x == w]
+        if len(spots) >= classlm.MIN_COUNT:
+            gain = [sum(step[b, c] + step[c, a] - mass[c] for b, a in spots) if c != end else -np.inf for c in range(len(pairs))]
+            best[w] = gain
+    assert len(moved) == len(best) > 5
+    for w, gain in best.items():
+        c = moved[classlm.xxhash.xxh64_intdigest(w, 42) - (1 << 64) * (classlm.xxhash.xxh64_intdigest(w, 42) >> 63)]
+        assert gain[c] >= max(gain) - 1e-6
+    classed = classlm._classed(known, spark.createDataFrame(list(moved.items()), "word_hash long, class int"), first).collect()
+    total = np.zeros(len(pairs))
+    for r in classed:
+        w = bytes(r.word)
+        if w in best:
+            assert best[w][r["class"]] >= max(best[w]) - 1e-6
+        else:
+            assert r["class"] == start(w)
+        total[r["class"]] += r.n
+    assert np.allclose(classlm.transitions(pairs).sum(1), 1)
+    count = sum(len(line) - 1 for line in lines)
+    assert total.sum() == count == pairs.sum()
 
 
 def likelihood(pairs, label):
