@@ -18,10 +18,11 @@ def ignore_mask(tokens: Column, mask: Column, ignore: int) -> Column:
 
 
 def end_segments(tokens: Column, end: int) -> Column:
-    """For each position the number of `end` tokens before it."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("n"))
-    step = lambda acc, t: F.struct(F.concat(acc["out"], F.array(acc["n"])).alias("out"), (acc["n"] + (t == end).cast("int")).alias("n"))
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    """For each position the number of `end` tokens before it: the segments between them, each repeated by its length."""
+    ends = F.filter(F.transform(tokens, lambda t, i: F.when(t == end, i)), lambda i: i.isNotNull())
+    stops = F.concat(ends, F.array(F.size(tokens) - 1))
+    runs = F.transform(stops, lambda stop, k: F.array_repeat(k, stop - F.coalesce(F.get(stops, k - 1), F.lit(-1))))
+    return F.flatten(runs)
 
 
 def attended(segments: Column, window: int) -> Column:

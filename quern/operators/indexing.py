@@ -2,34 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_index(df: DataFrame, key: str, buckets: int = 32, name: str = "idx") -> DataFrame:
-    """df with a dense index in the order of a unique numeric key.
+def ordered_index(df: DataFrame, keys: tuple[str, ...], name: str = "idx") -> DataFrame:
+    """df with a dense index in the order of keys, ties in any order.
 
-    Bounds of about equal buckets are taken from quantiles, buckets are counted, and rows are numbered
-    within their bucket, so no task sorts the whole table.
+    Rows are sorted by ranges, so tasks grow in number with the table; each task's rows are counted, and a row's index is
+    the rows of the tasks before its own and its place in its own. The sort is repeatable as long as keys have no ties.
     """
-    cuts = sorted(set(df.approxQuantile(key, [k / buckets for k in range(1, buckets)], 0.001)))
-    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    placed = df.withColumn("__bucket", bucket)
-    sizes = placed.groupBy("__bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("__bucket", (F.sum("n").over(Window.orderBy("__bucket")) - F.col("n")).alias("__before"))
-    row = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
-    # one row a bucket: buckets bounds what is broadcast
-    return placed.withColumn("__row", row).join(F.broadcast(before), "__bucket").withColumn(name, (F.col("__before") + F.col("__row")).cast("long")).drop("__bucket", "__before", "__row")
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__n", F.monotonically_increasing_id())
+    # the upper bits of the number are the task, the lower ones the place in it
+    placed = ranged.withColumn("__task", F.shiftrightunsigned("__n", 33)).withColumn("__place", F.col("__n").bitwiseAND((1 << 33) - 1)).persist()
+    counts = sorted((r["__task"], r["n"]) for r in placed.groupBy("__task").agg(F.count("*").alias("n")).collect())
+    table, before = [], 0
+    for task, n in counts:
+        table.append((task, before))
+        before += n
+    offsets = spark.createDataFrame(table, "__task long, __before long")
+    # a row a task
+    return placed.join(F.broadcast(offsets), "__task").withColumn(name, F.col("__before") + F.col("__place")).drop("__task", "__n", "__place", "__before")
+
+
+def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
+    """df with a dense index in the order of a unique key without nulls.
+
+    Keys alone are sorted by ranges and numbered, then joined back, so other columns are shuffled once, by hash.
+    """
+    return df.join(ordered_index(df.select(key), (key,), name), key)
+
+
+def _block_sums(df: DataFrame, value: str, at: Column, order: str) -> DataFrame:
+    """(block, before): the sum of value over all smaller blocks; by sums of 4096 blocks each while there are more."""
+    totals = df.groupBy(at.alias("block")).agg(F.sum(value).alias("t"))
+    upper = totals.groupBy(F.floor(F.col("block") / 4096).alias("up")).agg(F.sum("t").alias("u"))
+    above = upper.select("up", (F.sum("u").over(Window.orderBy("up")) - F.col("u")).alias("above"))
+    inside = F.sum("t").over(Window.partitionBy("up").orderBy("block")) - F.col("t")
+    return totals.withColumn("up", F.floor(F.col("block") / 4096)).withColumn("inside", inside).join(above, "up").select("block", (F.col("above") + F.col("inside")).alias("before"))
 
 
 def exclusive_sums(df: DataFrame, value: str, name: str, idx: str = "idx", rows: int = 4096) -> DataFrame:
-    """df with the sum of `value` over all smaller idx, by sums of blocks of `rows` and sums within each."""
+    """df with the sum of `value` over all smaller idx: of its block of `rows`, of blocks, and of blocks of blocks.
+
+    One task orders the sums of rows * 4096 rows each, which is a row for every 16 million.
+    """
     block = F.floor(F.col(idx) / rows)
-    placed = df.withColumn("__block", block)
-    totals = placed.groupBy("__block").agg(F.sum(value).alias("t"))
-    before = totals.select("__block", (F.sum("t").over(Window.orderBy("__block")) - F.col("t")).alias("__before"))
+    before = _block_sums(df.select(idx, value), value, block, idx).withColumnRenamed("block", "__block").withColumnRenamed("before", "__before")
     inside = F.sum(value).over(Window.partitionBy("__block").orderBy(idx)) - F.col(value)
-    return placed.withColumn("__in", inside).join(before, "__block").withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__block", "__before", "__in")
+    return df.withColumn("__block", block).withColumn("__in", inside).join(before, "__block").withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__block", "__before", "__in")
 
 
 def slice_rows(df: DataFrame, start: int, end: int | None = None, idx: str = "idx") -> DataFrame:
@@ -52,7 +74,9 @@ def epochs(df: DataFrame, n: int, length: int, idx: str = "idx") -> DataFrame:
 def get_batch(df: DataFrame, indices: list[int], idx: str = "idx") -> DataFrame:
     """Rows by index with their position in the request; order and repeats are kept, absent indices raise."""
     wanted = df.sparkSession.createDataFrame([(p, i) for p, i in enumerate(indices)], f"pos long, {idx} long")
-    out = F.broadcast(wanted).join(df.withColumn("__there", F.lit(True)), idx, "left")
+    # the request is a literal list of the caller's; only its rows leave the scan
+    near = df.where(F.col(idx).isin(sorted(set(indices)))) if len(set(indices)) <= 1000 else df
+    out = wanted.join(near.withColumn("__there", F.lit(True)), idx, "left")
     check = F.when(F.col("__there").isNull(), F.raise_error(F.concat(F.lit("no row of index "), F.col(idx).cast("string")))).otherwise(F.col("pos"))
     return out.withColumn("pos", check).drop("__there")
 

@@ -72,3 +72,70 @@ def run_positions(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     change = F.when(F.col(value) == F.lag(value).over(line), 0).otherwise(1)
     runs = df.withColumn("__change", change).withColumn("run", F.sum("__change").over(line)).drop("__change")
     return runs.withColumn("run_pos", F.row_number().over(Window.partitionBy(key, "run").orderBy(order)) - 1)
+
+
+def moments(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
+    """n, mean and population variance, E[x^2] - E[x]^2."""
+    x = F.col(value).cast("double")
+    return (df.groupBy(by) if by else df.groupBy()).agg(F.count(value).alias("n"), F.avg(x).alias("mean"), (F.avg(x * x) - F.avg(x) * F.avg(x)).alias("variance"))
+
+
+def position_moments(df: DataFrame, values: str) -> DataFrame:
+    """(pos, mean, std): the mean and population deviation of each position over all arrays."""
+    each = df.select(F.posexplode(values).alias("pos", "x"))
+    return each.groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("std"))
+
+
+def losses_of_tags(df: DataFrame, tags: str, loss: str, tokens: str) -> DataFrame:
+    """(tag, micro, tokens) where a row counts for each of its several tags, and for the null tag, all rows, once."""
+    each = df.select(F.explode(F.array_distinct(tags)).alias("tag"), loss, tokens).union(df.select(F.lit(None).cast("string"), loss, tokens))
+    return each.groupBy("tag").agg(F.try_divide(F.sum(loss), F.sum(tokens)).alias("micro"), F.sum(tokens).cast("long").alias("tokens"))
+
+
+def log_names(df: DataFrame, prefix: str) -> DataFrame:
+    """(name, value) of tagged_losses(): leaves log a loss, parents a macro and a micro loss."""
+    tags = df.select("tag", "micro", "macro")
+    parents = with_parents(tags, "tag").select(F.col("parent").alias("tag")).distinct().withColumn("is_parent", F.lit(True))
+    named = tags.join(parents, "tag", "left")
+    at = F.concat(F.lit(f"{prefix}/"), F.col("tag"), F.lit("/"))
+    pair = lambda name, value: F.struct(F.concat(at, F.lit(name)).alias("name"), F.col(value).alias("value"))
+    own = F.when(F.col("is_parent"), F.array(pair("macro_loss", "macro"), pair("micro_loss", "micro"))).otherwise(F.array(pair("loss", "micro")))
+    return named.select(F.inline(own))
+
+
+def mean_loss(df: DataFrame, batch: str, loss: str, max_batches: int | None = None) -> DataFrame:
+    """The unweighted mean of batches' mean losses, of the first max_batches if given."""
+    rows = df if max_batches is None else df.where(F.col(batch) < max_batches)
+    return rows.groupBy(batch).agg(F.avg(loss).alias("loss")).agg(F.avg("loss").alias("loss"))
+
+
+def throughput(steps: DataFrame, tokens: str = "tokens", examples: str = "examples", seconds: str = "seconds", flops_per_token: float | None = None, peak: float | None = None) -> DataFrame:
+    """A step table with its running totals and rates; with flops, the share of the peak that is used."""
+    line = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    out = steps.withColumn("total_tokens", F.sum(tokens).over(line)).withColumn("examples_per_second", F.col(examples) / F.col(seconds)).withColumn("tokens_per_second", F.col(tokens) / F.col(seconds))
+    return out.withColumn("mfu", F.col("tokens_per_second") * flops_per_token / peak * 100) if flops_per_token and peak else out
+
+
+def epoch_progress(processed, rows: int, epochs: int = 1):
+    return processed / (rows * epochs)
+
+
+def total_tokens(length: int, rows: int) -> int:
+    return length * rows
+
+
+def latest(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """The path of the greatest (by, ...)."""
+    return df.agg(F.max_by(path, F.struct(*by)).alias(path))
+
+
+def padding_share(df: DataFrame, segments: str = "segments") -> DataFrame:
+    """Positions and the share of them that is padding (segment -1)."""
+    each = df.select(F.size(segments).alias("n"), F.size(F.filter(segments, lambda s: s == -1)).alias("p"))
+    return each.agg(F.sum("n").cast("long").alias("positions"), F.try_divide(F.sum("p"), F.sum("n")).alias("padding"))
+
+
+def value_histogram(df: DataFrame, values: str, bins: int, max_rows: int | None = None, idx: str = "idx") -> DataFrame:
+    """A histogram of the numbers in arrays, of the first max_rows rows if given (a report's limit)."""
+    rows = df if max_rows is None else df.where(F.col(idx) < max_rows)
+    return histogram(rows.select(F.explode(values).alias("value")), "value", bins)

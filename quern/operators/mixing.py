@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,11 @@ def block_counts(weights: dict[str, float], block: int) -> dict[str, int]:
     return out
 
 
+def lookup(values: dict[str, int], key: Column) -> Column:
+    """The value of a key by a literal map with an entry for each source."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key)
+
+
 @dataclass(frozen=True)
 class Stage:
     """Weights from mixture position `start` on."""
@@ -127,3 +132,48 @@ def batches(df: DataFrame, schedule: Schedule, length: int, pad_final: bool, idx
     joined = rows.join(table, (F.col(idx) >= F.col("offset")) & (F.col(idx) < F.col("end")))
     inside = F.col(idx) - F.col("offset")
     return joined.withColumn("step", F.col("start") + F.floor(inside / F.col("size"))).withColumn("pos", inside % F.col("size")).drop("start", "size", "offset", "end")
+
+
+def distinct_sizes(schedule: Schedule) -> list[int]:
+    """The batch sizes that a schedule has, ascending."""
+    return sorted({size for _, size in schedule.segments})
+
+
+def from_step(df: DataFrame, step: int) -> DataFrame:
+    """Batches from a step on, as a loader that goes on there reads them."""
+    return df.where(F.col("step") >= step)
+
+
+def check_divides(schedule: Schedule, devices: int, allow: bool = False) -> None:
+    """Each batch size must be a multiple of the devices unless allowed."""
+    odd = [n for n in distinct_sizes(schedule) if n % devices]
+    if odd and not allow:
+        raise ValueError(f"batch sizes {odd} can't be dealt to {devices} devices")
+
+
+def device_slices(df: DataFrame, schedule: Schedule, devices: int) -> DataFrame:
+    """df of batches() with device and the position in its contiguous slice."""
+    check_divides(schedule, devices)
+    sizes = F.broadcast(schedule.table(df.sparkSession).select("start", F.col("until").alias("stop"), "size"))
+    placed = df.join(sizes, (F.col("step") >= F.col("start")) & (F.col("step") < F.col("stop")))
+    device = F.floor(F.col("pos") * devices / F.col("size"))
+    return placed.withColumn("device", device).withColumn("device_pos", F.col("pos") - device * F.floor(F.col("size") / devices)).drop("start", "stop", "size")
+
+
+def batchify(df: DataFrame, *columns: str) -> DataFrame:
+    """A row a step: the columns of its rows as arrays in the order of pos."""
+    each = df.groupBy("step").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("r"))
+    return each.select("step", *(F.col(f"r.{c}").alias(c) for c in columns))
+
+
+def rows_of_steps(df: DataFrame, schedule: Schedule, steps: list[int], idx: str = "idx") -> DataFrame:
+    """The rows of several steps with step and pos, read at once by the union of their ranges."""
+    spans = [(s, schedule.offset_at(s), schedule.offset_at(s) + schedule.size_at(s)) for s in sorted(set(steps))]
+    wanted = F.lit(False)
+    step = F.lit(None).cast("long")
+    first = F.lit(None).cast("long")
+    for s, a, b in spans:
+        inside = (F.col(idx) >= a) & (F.col(idx) < b)
+        wanted |= inside
+        step, first = F.when(inside, F.lit(s)).otherwise(step), F.when(inside, F.lit(a)).otherwise(first)
+    return df.where(wanted).withColumn("step", step.cast("long")).withColumn("pos", F.col(idx) - first)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,34 +50,151 @@ def packed(df: DataFrame, packs: DataFrame, length: int, group: str, idx: str =
 
 
 def first_fit_packs(df: DataFrame, length: int, max_segments: int, max_buffered: int, group: str, idx: str = "idx", n: str = "n_tokens") -> DataFrame:
-    """(group, idx, pack): each row goes to the first open pack that has room.
+    """(group, idx, pack): each row goes to the first open pack that has room; empty rows go nowhere, a row over the length raises.
 
-    A pack is closed when it has max_segments rows; the oldest is closed when over max_buffered are open.
+    Before a new pack is opened, the oldest are closed while max_buffered are open. A pack that has max_segments
+    rows, or is full, is closed.
     """
 
     def pool(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx, ignore_index=True)
         opened: list[list[int]] = []  # pack, tokens, rows
-        packs, new = [], 0
-        for size in pdf[n].tolist():
-            size = min(size, length)
+        kept, packs, new = [], [], 0
+        for row, size in enumerate(pdf[n].tolist()):
+            if not size:
+                continue
+            if size > length:
+                raise ValueError(f"Row {pdf[idx][row]} has length {size}, which exceeds {length}")
             slot = next((p for p in opened if p[1] + size <= length), None)
             if slot is None:
+                while len(opened) >= max_buffered:
+                    opened.pop(0)
                 slot = [new, 0, 0]
                 new += 1
                 opened.append(slot)
             slot[1], slot[2] = slot[1] + size, slot[2] + 1
+            kept.append(row)
             packs.append(slot[0])
-            if slot[2] >= max_segments:
+            if slot[2] >= max_segments or slot[1] == length:
                 opened.remove(slot)
-            elif len(opened) > max_buffered:
-                opened.pop(0)
-        return pd.DataFrame({group: pdf[group], idx: pdf[idx], "pack": packs})
+        return pdf.loc[kept, [group, idx]].assign(pack=packs)
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     return df.select(group, idx, n).groupBy(group).applyInPandas(pool, f"{group} {kinds[group]}, {idx} {kinds[idx]}, pack long")
 
 
+def greedy_packs_global(df: DataFrame, lengths: dict[str, int], max_segments: int, idx: str = "idx", rows: int = 4096) -> DataFrame:
+    """(idx, pack) of the greedy packing of a whole table with a dense idx, numbered from zero; the result of one ordered scan.
+
+    Rows are cut into blocks of `rows`, of max_segments at least, with the first rows of the next block. Where the last pack
+    of a block ends depends only on where its first one starts, at one of max_segments places: every block answers
+    for each of them, the answers are followed through the blocks (a short row each), and the blocks, told their
+    start, deal out their packs.
+    """
+    names, rows = list(lengths), max(rows, max_segments)
+    placed = df.select(F.col(idx).alias("i"), *names).withColumn("block", F.explode(F.when((F.col("i") % rows < max_segments) & (F.col("i") >= rows), F.array(F.floor(F.col("i") / rows), F.floor(F.col("i") / rows) - 1)).otherwise(F.array(F.floor(F.col("i") / rows)))))
+
+    def ends(pdf: pd.DataFrame) -> tuple[int, list[int]]:
+        """For each row the row after the pack that starts there."""
+        sizes = pdf[names].to_numpy().tolist()
+        limits = [lengths[x] for x in names]
+        for i, row in zip(pdf["i"].tolist(), sizes, strict=True):
+            for name, x, limit in zip(names, row, limits, strict=True):
+                if x > limit:
+                    raise ValueError(f"Row {i} has length {x} in '{name}', which exceeds {limit}")
+        out, end, used, n = [], 0, [0] * len(names), len(sizes)
+        for start in range(n):
+            end = max(end, start)
+            while end < n and end - start < max_segments and all(u + x <= limit for u, x, limit in zip(used, sizes[end], limits, strict=True)):
+                used = [u + x for u, x in zip(used, sizes[end], strict=True)]
+                end += 1
+            out.append(end)
+            used = [u - x for u, x in zip(used, sizes[start], strict=True)]
+        return n, out
+
+    def followed(out: list[int], start: int, stop: int) -> list[int]:
+        starts = []
+        while start < stop:
+            starts.append(start)
+            start = out[start]
+        return [*starts, start]
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", ignore_index=True)
+        n, out = ends(pdf)
+        stop = min(rows, n)
+        leave, count = [stop] * (n + 1), [0] * (n + 1)
+        for start in range(stop - 1, -1, -1):
+            after = out[start]
+            leave[start], count[start] = (leave[after] if after < stop else after), (count[after] if after < stop else 0) + 1
+        for k in range(stop, n + 1):
+            leave[k] = k
+        block = int(pdf["block"].iloc[0])
+        return pd.DataFrame({"block": [block], "leave": [[x - rows for x in leave[:max_segments]]], "packs": [count[:max_segments]]})
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, entry, before, found = pdf.sort_values("block"), 0, 0, []
+        for block, leave, packs in pdf[["block", "leave", "packs"]].itertuples(index=False):
+            found.append((block, entry, before))
+            before += packs[entry] if entry < len(packs) else 0
+            entry = max(leave[entry], 0) if entry < len(leave) else 0
+        return pd.DataFrame(found, columns=["block", "entry", "before"])
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", ignore_index=True)
+        n, out = ends(pdf)
+        entry, before = int(pdf["entry"].iloc[0]), int(pdf["before"].iloc[0])
+        starts = followed(out, entry, min(rows, n))
+        packs = [before + k for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) for _ in range(a, b)]
+        return pd.DataFrame({idx: pdf["i"].to_numpy()[entry : entry + len(packs)], "pack": packs})
+
+    answers = placed.groupBy("block").applyInPandas(exits, "block long, leave array<long>, packs array<long>")
+    entries = answers.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(follow, "block long, entry long, before long")
+    return placed.join(entries, "block").groupBy("block").applyInPandas(deal, f"{idx} long, pack long")
+
+
+def checked_prompts(df: DataFrame, ids: str = "ids", prompt: str = "prompt_length") -> DataFrame:
+    """df, where a row without ids, or none after its prompt, raises."""
+    bad = F.when(F.size(ids) < 1, F.raise_error(F.lit("a sequence needs a token at least"))).when(F.size(ids) <= F.col(prompt), F.raise_error(F.lit("a sequence must be longer than its prompt")))
+    return df.withColumn(prompt, F.coalesce(bad.cast("int"), F.col(prompt)))
+
+
+def packed_prompts(df: DataFrame, length: int, max_segments: int, pad: int = 0, idx: str = "idx", ids: str = "ids", prompt: str = "prompt_length") -> DataFrame:
+    """(pack, tokens, segments, mask) of prompts with completions, packed greedily over the whole table.
+
+    A row over the length keeps its last tokens. The mask is 1 from the last token of the prompt on, but for the last token
+    of each row; padding has segment -1.
+    """
+    cut = F.greatest(F.size(ids) - length, F.lit(0))
+    rows = checked_prompts(df, ids, prompt).select(F.col(idx).alias("i"), F.when(cut > 0, F.slice(ids, -length, length)).otherwise(F.col(ids)).alias("t"), F.greatest(F.col(prompt) - cut, F.lit(0)).alias("p"))
+    rows = rows.withColumn("m", F.transform("t", lambda _, k: ((k >= F.col("p") - 1) & (k < F.size("t") - 1)).cast("int"))).withColumn("n", F.size("t").cast("long"))
+    packs = greedy_packs_global(rows, {"n": length}, max_segments, "i")
+    each = rows.join(packs, "i").groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("i", "t", "m"))).alias("r"))
+    fill = lambda x, v: F.slice(F.concat(x, F.array_repeat(v, length)), 1, length)
+    return each.select(
+        "pack",
+        fill(F.flatten(F.col("r.t")), F.lit(pad).cast("int")).alias("tokens"),
+        fill(F.flatten(F.transform("r", lambda r: F.array_repeat(r["i"], F.size(r["t"])))), F.lit(-1).cast("long")).alias("segments"),
+        fill(F.flatten(F.col("r.m")), F.lit(0)).alias("mask"),
+    )
+
+
+def packed_columns(df: DataFrame, packs: DataFrame, columns: dict[str, tuple[int, object]], idx: str = "idx") -> DataFrame:
+    """(pack, each of columns, segments of the first): columns: name -> (length, value of padding), read row after row."""
+    names = list(columns)
+    each = df.select(idx, *names).join(packs, idx).groupBy("pack").agg(F.array_sort(F.collect_list(F.struct(idx, *names))).alias("r"))
+    kinds = {f.name: f.dataType.elementType for f in df.schema if f.name in columns}
+    filled = [F.slice(F.concat(F.flatten(F.col(f"r.{x}")), F.array_repeat(F.lit(pad).cast(kinds[x]), n)), 1, n).alias(x) for x, (n, pad) in columns.items()]
+    first, (n, _) = names[0], columns[names[0]]
+    segments = F.flatten(F.transform("r", lambda r: F.array_repeat(r[idx], F.size(r[first]))))
+    return each.select("pack", *filled, F.slice(F.concat(segments, F.array_repeat(F.lit(-1).cast("long"), n)), 1, n).alias("segments"))
+
+
+def unique_segments(segments: Column, size: int, fill: int = -1) -> Column:
+    """The sorted distinct segments, cut or filled to `size`."""
+    return F.slice(F.concat(F.array_sort(F.array_distinct(segments)), F.array_repeat(F.lit(fill).cast("long"), size)), 1, size)
+
+
 def segment_mask(positions: DataFrame, source_length: str, by: list[str], pos: str = "pos") -> DataFrame:
     """positions with mask: 1 from the source's length on within each segment."""
     from pyspark.sql import Window

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,17 +49,23 @@ def permuted(df: DataFrame, source: Column, idx: str = "idx") -> DataFrame:
     return order.join(df, idx).withColumn("source_idx", F.col(idx)).withColumn(idx, F.col("__out")).drop("__out")
 
 
-def era_source(x: Column, n: int, era: int, parameters: list[tuple[int, int]]) -> Column:
-    """Source index of x under a permutation within eras of `era` rows, the last era being shorter.
+def era_permuted(df: DataFrame, n: int, era: int, parameters: DataFrame, idx: str = "idx") -> DataFrame:
+    """Row i of the result is a row of the same era of `era` rows, the last era being shorter: one join with the eras.
 
-    parameters: the drawn (a, b) of each full era, reduced to what is prime to it; one literal array.
+    parameters: (era, a, b), a row each; a is prime to the era's size.
     """
-    number = F.floor(x / era)
-    size = F.least(F.lit(era).cast("long"), n - number * era)
-    a = F.get(F.array(*(F.lit(p[0]).cast("long") for p in parameters)), number.cast("int"))
-    b = F.get(F.array(*(F.lit(p[1]).cast("long") for p in parameters)), number.cast("int"))
-    return number * era + (a * F.pmod(x, F.lit(era)) + b) % size
+    rows = df.select(F.col(idx).alias("__out"), F.floor(F.col(idx) / era).alias("era")).join(parameters, "era")
+    size = F.least(F.lit(era).cast("long"), n - F.col("era") * era)
+    order = rows.select("__out", (F.col("era") * era + (F.col("a") * F.pmod("__out", F.lit(era)) + F.col("b")) % size).alias(idx))
+    return order.join(df, idx).withColumn("source_idx", F.col(idx)).withColumn(idx, F.col("__out")).drop("__out")
+
+
+def era_parameters(spark: SparkSession, n: int, era: int, seed: int) -> DataFrame:
+    """(era, a, b) of every era, drawn by lcg_parameters with the seed and the era."""
 
+    def rows(batches):
+        for batch in batches:
+            found = [lcg_parameters(min(era, n - k * era), seed + k) for k in batch["id"].tolist()]
+            yield batch.assign(a=[x for x, _ in found], b=[x for _, x in found]).rename(columns={"id": "era"})
 
-def era_parameters(n: int, era: int, seed: int) -> list[tuple[int, int]]:
-    return [lcg_parameters(min(era, n - start), seed + k) for k, start in enumerate(range(0, n, era))]
+    return spark.range(-(-n // era)).mapInPandas(rows, "era long, a long, b long")

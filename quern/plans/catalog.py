@@ -29,6 +29,11 @@ def _tokens(spark: SparkSession, sf_dir: str, end: bool = False) -> DataFrame:
     return docs.withColumn("ids", F.concat(ids, F.array(F.lit(END))) if end else ids).drop("text")
 
 
+def _positions(mask):
+    """The sum of the positions where a mask is 1, counted from one."""
+    return F.aggregate(F.transform(mask, lambda m, i: m.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def _checksum(array: str):
     return F.aggregate(F.transform(array, lambda t, i: t.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum")
 
@@ -90,12 +95,14 @@ def chat_single_turn(spark, sf_dir):
     return formats.single_turn(formats.messages(_table(spark, sf_dir, "conversations"))).select("conv_id", "prompt", "response")
 
 
-@query(r"""WITH m AS (SELECT conv_id, role, len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')) AS n FROM conversations)
-SELECT conv_id, sum(n + 1)::BIGINT AS n_tokens, sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END)::BIGINT AS n_loss FROM m
+@query(r"""WITH m AS (SELECT conv_id, turn, role, len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')) AS n FROM conversations),
+o AS (SELECT *, sum(n + 1) OVER (PARTITION BY conv_id ORDER BY turn) - n AS first FROM m)
+SELECT conv_id, sum(n + 1)::BIGINT AS n_tokens, sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END)::BIGINT AS n_loss,
+  sum(CASE WHEN role = 'assistant' THEN n * (first + 1) + n * (n - 1) // 2 ELSE 0 END)::BIGINT AS positions FROM o
 GROUP BY conv_id HAVING sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) > 0""")
 def chat_assistant_mask(spark, sf_dir):
     chats = formats.chat_tokens(formats.messages(_table(spark, sf_dir, "conversations")), VOCABULARY, "drop")
-    return chats.select("conv_id", F.size("ids").cast("long").alias("n_tokens"), F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_loss"))
+    return chats.select("conv_id", F.size("ids").cast("long").alias("n_tokens"), F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_loss"), _positions("mask").alias("positions"))
 
 
 def _supervised(spark, sf_dir):
@@ -109,10 +116,10 @@ p AS (SELECT u.conv_id, len(list_filter(regexp_split_to_array(u.text || chr(10),
   FROM f u JOIN f a ON a.conv_id = u.conv_id AND a.role = 'assistant' AND a.r = 1 WHERE u.role = 'user' AND u.r = 1)"""
 
 
-@query(f"WITH {_PAIRS} SELECT conv_id, n::BIGINT AS n_tokens, s::BIGINT AS sources_len, (CASE WHEN s = 0 THEN n - 1 ELSE n - s END)::BIGINT AS n_loss FROM p")
+@query(f"WITH {_PAIRS} SELECT conv_id, n::BIGINT AS n_tokens, s::BIGINT AS sources_len, (CASE WHEN s = 0 THEN n - 1 ELSE n - s END)::BIGINT AS n_loss, (n * (n - 1) // 2 - greatest(s - 1, 0) * greatest(s, 0) // 2)::BIGINT AS positions FROM p")
 def supervised_mask(spark, sf_dir):
     rows = _supervised(spark, sf_dir).withColumn("mask", arrays.prompt_mask(F.col("ids"), F.col("sources_len")))
-    return rows.select("conv_id", F.size("ids").cast("long").alias("n_tokens"), F.col("sources_len").cast("long"), F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_loss"))
+    return rows.select("conv_id", F.size("ids").cast("long").alias("n_tokens"), F.col("sources_len").cast("long"), F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_loss"), _positions("mask").alias("positions"))
 
 
 @query(f"WITH {_PAIRS} SELECT conv_id, least(n, 64)::BIGINT AS n_tokens, greatest(s - greatest(n - 64, 0), 0)::BIGINT AS sources_len FROM p")
@@ -130,19 +137,20 @@ def concat_chunk(spark, sf_dir):
 
 
 @query(f"""WITH {_TOK}, {_FLAT} SELECT seq::BIGINT AS seq, count(*)::BIGINT AS n_tokens, sum((pos < 127)::INT)::BIGINT AS n_loss,
-  (1 + sum((t = 32000 AND pos < 127)::INT))::BIGINT AS n_segments, sum(t * (pos + 1))::BIGINT AS checksum FROM chunk GROUP BY seq""")
+  (1 + sum((t = 32000 AND pos < 127)::INT))::BIGINT AS n_segments, sum(t * (pos + 1))::BIGINT AS checksum,
+  sum(CASE WHEN t = 32000 THEN 128 * 129 // 2 - (pos + 1) * (pos + 2) // 2 ELSE 0 END)::BIGINT AS segments FROM chunk GROUP BY seq""")
 def causal_masks(spark, sf_dir):
     seqs = sequences.concat_and_chunk(_tokens(spark, sf_dir, True), LENGTH)
     mask = F.aggregate(arrays.causal_loss_mask(F.col("tokens")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return seqs.select("seq", F.size("tokens").cast("long").alias("n_tokens"), mask.alias("n_loss"), arrays.n_end_segments(F.col("tokens"), END).cast("long").alias("n_segments"), _checksum("tokens"))
+    return seqs.select("seq", F.size("tokens").cast("long").alias("n_tokens"), mask.alias("n_loss"), arrays.n_end_segments(F.col("tokens"), END).cast("long").alias("n_segments"), _checksum("tokens"), _positions(arrays.end_segments(F.col("tokens"), END)).alias("segments"))
 
 
 @query(f"""WITH {_TOK}, {_FLAT}, n AS (SELECT seq, pos, t, coalesce(lead(t) OVER w, first(t) OVER w) AS nx FROM chunk WINDOW w AS (PARTITION BY seq ORDER BY pos))
-SELECT seq::BIGINT AS seq, sum((pos < 127 AND nx <> 32000)::INT)::BIGINT AS n_loss FROM n GROUP BY seq""")
+SELECT seq::BIGINT AS seq, sum((pos < 127 AND nx <> 32000)::INT)::BIGINT AS n_loss, sum((pos < 127 AND nx <> 32000)::INT * (pos + 1))::BIGINT AS positions FROM n GROUP BY seq""")
 def ignore_mask(spark, sf_dir):
     seqs = sequences.concat_and_chunk(_tokens(spark, sf_dir, True), LENGTH)
     mask = arrays.ignore_mask(F.col("tokens"), arrays.causal_loss_mask(F.col("tokens")), END)
-    return seqs.select("seq", F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_loss"))
+    return seqs.select("seq", F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_loss"), _positions(mask).alias("positions"))
 
 
 @query(f"WITH {_TOK} SELECT doc_id, (sum(len(ids)) OVER (ORDER BY idx) - len(ids))::BIGINT AS start, (sum(len(ids)) OVER (ORDER BY idx))::BIGINT AS stop FROM tok")
@@ -189,9 +197,18 @@ def per_segment_correct(spark, sf_dir):
     return masked.groupBy("shard", "pack", F.col("segments").alias("segment")).agg(F.bool_and((F.col("tokens") % 10 != 3) | (F.col("mask") == 0)).alias("correct"))
 
 
-@query()
+_FIRST_FIT = """ord AS (SELECT idx, idx // 64 AS shard, idx % 64 AS k, least(len(ids), 512) AS n FROM tok),
+step AS (SELECT shard, idx, k, n, CASE WHEN n = 0 THEN NULL ELSE 0 END AS pack, CASE WHEN n = 0 THEN 0 ELSE 1 END AS fresh,
+    CASE WHEN n = 0 OR n = 512 THEN []::STRUCT(p BIGINT, t BIGINT, r BIGINT)[] ELSE [{p: 0::BIGINT, t: n::BIGINT, r: 1::BIGINT}] END AS opened FROM ord WHERE k = 0
+  UNION ALL SELECT shard, idx, k, n, CASE WHEN n = 0 THEN NULL WHEN slot IS NULL THEN fresh ELSE slot END, CASE WHEN n > 0 AND slot IS NULL THEN fresh + 1 ELSE fresh END,
+    list_filter(CASE WHEN n = 0 THEN opened WHEN slot IS NULL THEN list_append(opened[greatest(len(opened) - 2, 1):], {p: fresh::BIGINT, t: n::BIGINT, r: 1::BIGINT})
+      ELSE list_transform(opened, lambda x: CASE WHEN x.p = slot THEN {p: x.p, t: x.t + n, r: x.r + 1} ELSE x END) END, lambda x: x.r < 8 AND x.t < 512)
+  FROM (SELECT o.shard, o.idx, o.k, o.n, s.fresh, s.opened, (list_filter(s.opened, lambda x: x.t + o.n <= 512)[1]).p AS slot FROM step s JOIN ord o ON o.shard = s.shard AND o.k = s.k + 1))"""
+
+
+@query(f"WITH RECURSIVE {_TOK}, {_FIRST_FIT} SELECT shard::BIGINT AS shard, idx::BIGINT AS idx, pack::BIGINT AS pack FROM step WHERE n > 0")
 def first_fit_pack(spark, sf_dir):
-    rows = _tokens(spark, sf_dir).withColumn("shard", F.floor(F.col("idx") / SHARD_ROWS)).withColumn("n", F.size("ids").cast("long"))
+    rows = _tokens(spark, sf_dir).withColumn("shard", F.floor(F.col("idx") / SHARD_ROWS)).withColumn("n", F.least(F.size("ids"), F.lit(512)).cast("long"))
     return packing.first_fit_packs(rows, 512, 8, 4, "shard", n="n")
 
 
@@ -269,50 +286,66 @@ def era_shuffle(spark, sf_dir):
     """Eras of 64 rows, each turned by another amount."""
     rows = _tokens(spark, sf_dir).select("doc_id", "idx")
     n = rows.count()
-    parameters = [(1, 2 * k + 5) for k in range(-(-n // 64))]
-    return shuffling.permuted(rows, shuffling.era_source(F.col("idx"), n, 64, parameters)).select("idx", "doc_id")
+    parameters = spark.range(-(-n // 64)).select(F.col("id").alias("era"), F.lit(1).cast("long").alias("a"), (2 * F.col("id") + 5).alias("b"))
+    return shuffling.era_permuted(rows, n, 64, parameters).select("idx", "doc_id")
 
 
 # mixtures and batches
 
-_MIX_N = 4000
+_BLOCK = 100
+
+
+def _mixture_rows(n_docs: int) -> int:
+    """Twice the documents, in whole blocks, so that sources are used up and start again at any size."""
+    return -(-2 * n_docs // _BLOCK) * _BLOCK
+
+
+def _stage_start(n: int, eighths: int) -> int:
+    return n * eighths // 8 // _BLOCK * _BLOCK
 
 
 def _mixed(spark, sf_dir, stages):
+    """stages: (start in eighths of the mixture, weights)."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang")
-    rows = docs.withColumn("source_idx", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1)
     lengths = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
-    index = mixing.mixture_index(spark, stages, 100, _MIX_N, lengths)
-    return index.join(rows.withColumnRenamed("lang", "source"), ["source", "source_idx"]).select("idx", "source", "source_idx", "doc_id")
+    starts, before = {}, 0
+    for lang in sorted(lengths):
+        starts[lang], before = before, before + lengths[lang]
+    # one index over all sources, less where each begins
+    first = mixing.lookup(starts, F.col("lang"))
+    rows = indexing.ordered_index(docs, ("lang", "doc_id"), "i").select(F.col("lang").alias("source"), "doc_id", (F.col("i") - first).alias("source_idx"))
+    n = _mixture_rows(sum(lengths.values()))
+    index = mixing.mixture_index(spark, [mixing.Stage(_stage_start(n, e), w) for e, w in stages], _BLOCK, n, lengths)
+    return index.join(rows, ["source", "source_idx"]).select("idx", "source", "source_idx", "doc_id")
 
 
 def _mix_sql(stages: list[tuple[int, dict[str, int]]]) -> str:
-    """stages: first position and rows of each source in a block of 100, in layout order."""
-    rows, used = [], dict.fromkeys(("de", "en", "es", "fr"), 0)
-    for k, (start, counts) in enumerate(stages):
-        until = stages[k + 1][0] if k + 1 < len(stages) else _MIX_N
-        slot = 0
-        for source, count in counts.items():
-            for i in range(count):
-                rows.append(f"({start}, {until}, {slot}, '{source}', {i}, {count}, {used[source]})")
-                slot += 1
-        for source, count in counts.items():
-            used[source] += count * ((until - start) // 100)
-    return f"""WITH lay(start, stop, slot, source, i, cnt, base) AS (VALUES {', '.join(rows)}),
+    """stages: start in eighths and rows of each source in a block of 100, in layout order."""
+    layout, bounds = [], []
+    for k, (eighths, counts) in enumerate(stages):
+        stop = f"n * {stages[k + 1][0]} // 8 // 100 * 100" if k + 1 < len(stages) else "n"
+        bounds.append(f"SELECT {k} AS stage, n * {eighths} // 8 // 100 * 100 AS start, {stop} AS stop FROM size")
+        slots = [(source, i, count) for source, count in counts.items() for i in range(count)]
+        layout += [f"({k}, {slot}, '{source}', {i}, {count})" for slot, (source, i, count) in enumerate(slots)]
+    return f"""WITH size AS (SELECT (2 * count(*) + 99) // 100 * 100 AS n FROM documents), st AS ({' UNION ALL '.join(bounds)}),
+lay(stage, slot, source, i, cnt) AS (VALUES {', '.join(layout)}),
+used AS (SELECT l.stage, l.source, coalesce((SELECT sum(e.cnt * ((s.stop - s.start) // 100)) FROM (SELECT DISTINCT stage, source, cnt FROM lay) e JOIN st s USING (stage) WHERE e.stage < l.stage AND e.source = l.source), 0) AS base
+  FROM (SELECT DISTINCT stage, source FROM lay) l),
 d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS j, count(*) OVER (PARTITION BY lang) AS n FROM documents),
-b AS (SELECT b, l.*, row_number() OVER (PARTITION BY b ORDER BY md5('0-' || b || '-' || slot)) - 1 AS place FROM range({_MIX_N // 100}) AS r(b) JOIN lay l ON b * 100 >= start AND b * 100 < stop)
+b AS (SELECT b, st.start, lay.*, used.base, row_number() OVER (PARTITION BY b ORDER BY md5('0-' || b || '-' || slot)) - 1 AS place
+  FROM (SELECT unnest(range(n // 100)) AS b FROM size) r JOIN st ON b * 100 >= start AND b * 100 < stop JOIN lay USING (stage) JOIN used USING (stage, source))
 SELECT (b * 100 + place)::BIGINT AS idx, source, j::BIGINT AS source_idx, doc_id FROM b JOIN d ON d.lang = b.source AND d.j = (base + cnt * ((b * 100 - start) // 100) + i) % d.n"""
 
 
 @query(_mix_sql([(0, {"en": 50, "de": 30, "fr": 20})]))
 def mixture_constant(spark, sf_dir):
-    return _mixed(spark, sf_dir, [mixing.Stage(0, {"en": 0.5, "de": 0.3, "fr": 0.2, "es": 0.0})])
+    return _mixed(spark, sf_dir, [(0, {"en": 0.5, "de": 0.3, "fr": 0.2, "es": 0.0})])
 
 
-@query(_mix_sql([(0, {"en": 60, "de": 40}), (1000, {"fr": 25, "es": 75}), (2500, {"en": 34, "de": 33, "es": 33})]))
+@query(_mix_sql([(0, {"en": 60, "de": 40}), (2, {"fr": 25, "es": 75}), (5, {"en": 34, "de": 33, "es": 33})]))
 def mixture_staged(spark, sf_dir):
     thirds = {"en": 1.0, "de": 1.0, "es": 1.0}
-    return _mixed(spark, sf_dir, [mixing.Stage(0, {"en": 3.0, "de": 2.0}), mixing.Stage(1000, {"fr": 1.0, "es": 3.0}), mixing.Stage(2500, thirds)])
+    return _mixed(spark, sf_dir, [(0, {"en": 3.0, "de": 2.0}), (2, {"fr": 1.0, "es": 3.0}), (5, thirds)])
 
 
 _SCHEDULE = mixing.Schedule(((0, 8), (10, 16), (20, 32)))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import io
 import itertools
 import json
 import re
+import wave
 from os.path import commonprefix
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.operators.formats import single_turn
+
 _RANGE = re.compile(r"\{(-?\d+)\.\.(-?\d+)\}")
 _FORMATS = {"jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "parquet": "parquet", "txt": "text"}
 
@@ -54,10 +60,50 @@ def shard_names(paths: list[str]) -> dict[str, str]:
     return names
 
 
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Full paths of the files that a pattern of the file system names; a folder's files come in its place."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.globStatus(where) or []:
+        name = status.getPath().getName()
+        if name.startswith(("_", ".")):
+            continue
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [x.getPath().toString() for x in inside if not x.getPath().getName().startswith(("_", "."))]
+    return sorted(found)
+
+
+def files(spark: SparkSession, pattern: str) -> list[str]:
+    """All files of a pattern with ranges, in order; a part that names none raises."""
+    out = []
+    for part in expand(pattern):
+        found = _listed(spark, part)
+        if not found:
+            raise FileNotFoundError(f"no file for {part}")
+        out += found
+    return out
+
+
+def head_of(spark: SparkSession, path: str, size: int = 4096) -> str:
+    """The beginning of a file, decompressed if its name says so."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+    stream = where.getFileSystem(conf).open(where)
+    stream = codec.createInputStream(stream) if codec else stream
+    try:
+        return bytes(stream.readNBytes(size)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
 def read(spark: SparkSession, pattern: str, kind: str | None = None, columns: list[str] | None = None, schema: StructType | str | None = None) -> DataFrame:
     """Rows of all files, with columns pushed into the scan; a missing column raises."""
     paths = expand(pattern)
-    kind = kind or sniff(paths[0])
+    if kind is None:
+        first = files(spark, paths[0])[0]
+        kind = sniff(first, head_of(spark, first) if ".json" in first.lower() else "")
     reader = spark.read if schema is None or kind == "text" else spark.read.schema(schema)
     if kind == "parquet":
         df = reader.parquet(*paths)
@@ -68,12 +114,97 @@ def read(spark: SparkSession, pattern: str, kind: str | None = None, columns: li
     return df if columns is None else df.select(*columns)
 
 
+def read_jsonl(spark: SparkSession, pattern: str, **options) -> DataFrame:
+    return read(spark, pattern, "jsonl", **options)
+
+
+def read_json(spark: SparkSession, pattern: str, **options) -> DataFrame:
+    return read(spark, pattern, "json", **options)
+
+
+def read_parquet(spark: SparkSession, pattern: str, **options) -> DataFrame:
+    return read(spark, pattern, "parquet", **options)
+
+
+def read_hub(spark: SparkSession, folder: str, name: str | None = None, split: str = "train") -> DataFrame | None:
+    """A data set's copy on disk, folder[/name]/split or files that begin with the split; None for a split that it lacks."""
+    root = f"{folder.rstrip('/')}/{name}" if name else folder.rstrip("/")
+    for pattern in (f"{root}/{split}/*", f"{root}/{split}-*", f"{root}/{split}.*"):
+        if _listed(spark, pattern):
+            return read(spark, pattern)
+    return None
+
+
+def read_supervised(spark: SparkSession, pattern: str, prompt: str = "prompt", response: str = "response") -> DataFrame:
+    """The two fields of a record as prompt and response."""
+    return read(spark, pattern).select(F.col(prompt).alias("prompt"), F.col(response).alias("response"))
+
+
+def read_chat(spark: SparkSession, pattern: str, messages: str = "messages", role: str = "role", content: str = "content", user: str = "user", assistant: str = "assistant") -> DataFrame:
+    """messages: array of (role, content), with the names of roles that the formats expect; other columns stay."""
+    df = read(spark, pattern)
+    plain = F.transform(messages, lambda m: F.struct(F.when(m[role] == user, "user").when(m[role] == assistant, "assistant").otherwise(m[role]).alias("role"), m[content].alias("content")))
+    return df.withColumn("messages", plain)
+
+
+def read_chat_single_turn(spark: SparkSession, pattern: str, **names) -> DataFrame:
+    """prompt and response: the first user and the first assistant message of each conversation."""
+    return single_turn(read_chat(spark, pattern, **names)).select("prompt", "response")
+
+
+def read_audio(spark: SparkSession, pattern: str) -> DataFrame:
+    """path, rate, samples (first channel, -1 to 1) of 16-bit PCM wave files; other bytes give null samples."""
+
+    def rows(batches):
+        for batch in batches:
+            found = [_wave(bytes(x)) for x in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], "rate": pd.array([r for r, _ in found], "Int32"), "samples": pd.Series([x for _, x in found], dtype=object)})
+
+    return spark.read.format("binaryFile").load(expand(pattern)).select("path", "content").mapInPandas(rows, "path string, rate int, samples array<float>")
+
+
+def _wave(content: bytes) -> tuple[int | None, np.ndarray | None]:
+    try:
+        with wave.open(io.BytesIO(content)) as w:
+            if w.getsampwidth() != 2:
+                return w.getframerate(), None
+            data = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels())
+            return w.getframerate(), (data[:, 0] / 32768).astype(np.float32)
+    except (wave.Error, EOFError):
+        return None, None
+
+
+def resampled(samples: np.ndarray, rate: int, wanted: int) -> np.ndarray:
+    """Samples at another rate, linearly between neighbours."""
+    n = int(len(samples) * wanted / rate)
+    return np.interp(np.arange(n) * rate / wanted, np.arange(len(samples)), samples).astype(np.float32)
+
+
+def synthetic_tokens(spark: SparkSession, n: int, length: int, vocabulary: int, seed: int = 0) -> DataFrame:
+    """idx and `length` ids each, drawn from a hash of seed, row and position."""
+    ids = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda k: F.pmod(F.xxhash64(F.lit(seed), "id", k), F.lit(vocabulary)).cast("int"))
+    return spark.range(n).select(F.col("id").alias("idx"), ids.alias("ids"))
+
+
+def _normal(path: Column) -> Column:
+    """A path without its scheme and the slashes before it, its references decoded."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^[a-zA-Z][a-zA-Z0-9]*:/*|^/+", "/")
+
+
 def with_shards(df: DataFrame, shards: dict[str, str]) -> DataFrame:
-    """df of a file source with shard (name) and shard_idx; shards must list every file."""
-    rows = [(path.rsplit("/", 1)[-1], name, k) for k, (name, path) in enumerate(shards.items())]
-    table = df.sparkSession.createDataFrame(rows, "__file string, shard string, shard_idx int")
-    named = df.withColumn("__file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    return named.join(F.broadcast(table), "__file").drop("__file")
+    """df of a file source with shard (name) and shard_idx; a file that shards does not list raises."""
+    rows = [(path, name, k) for k, (name, path) in enumerate(shards.items())]
+    table = df.sparkSession.createDataFrame(rows, "__path string, shard string, shard_idx int")
+    table = table.select(F.regexp_replace("__path", "^[a-zA-Z][a-zA-Z0-9]*:/*|^/+", "/").alias("__file"), "shard", "shard_idx")
+    # a row a file of the listing
+    named = df.withColumn("__file", _normal(F.col("_metadata.file_path"))).join(F.broadcast(table), "__file", "left")
+    check = F.when(F.col("shard").isNull(), F.raise_error(F.concat(F.lit("not a shard: "), F.col("__file")))).otherwise(F.col("shard"))
+    return named.withColumn("shard", check).drop("__file")
+
+
+def restrict_shards(df: DataFrame, names: list[str], shard: str = "shard") -> DataFrame:
+    """Rows of the shards named."""
+    return df.where(F.col(shard).isin(names))
 
 
 def from_row(df: DataFrame, row: int) -> DataFrame:

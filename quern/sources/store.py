@@ -9,6 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.indexing import ordered_index
+from quern.sources.readers import assign_groups
+
 
 def _fs(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -16,22 +19,43 @@ def _fs(spark: SparkSession, path: str):
 
 
 def read_ledger(spark: SparkSession, path: str) -> dict | None:
-    fs, where = _fs(spark, f"{path}/ledger")
-    return json.loads(spark.read.text(f"{path}/ledger").first()[0]) if fs.exists(where) else None
+    """The ledger at path; its copy, if a commit was broken off between the two."""
+    for name in ("ledger", ".ledger.bak"):
+        fs, where = _fs(spark, f"{path}/{name}")
+        if fs.exists(where):
+            return json.loads(spark.read.text(f"{path}/{name}").first()[0])
+    return None
 
 
 def commit(spark: SparkSession, path: str, ledger: dict) -> None:
-    """Publishes a ledger by a rename; rows of a shard never shrink."""
+    """Publishes a ledger by renames, the old one kept until the new one is there; rows of a shard never shrink."""
     old = read_ledger(spark, path)
     if old:
         shrunk = [s for s, n in old["shards"].items() if ledger["shards"].get(s, 0) < n]
         if shrunk:
             raise ValueError(f"rows of shards shrank: {shrunk}")
-    spark.createDataFrame([(json.dumps(ledger, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/.ledger")
-    fs, new = _fs(spark, f"{path}/.ledger")
+    fs, new = _fs(spark, f"{path}/.ledger.new")
+    spark.createDataFrame([(json.dumps(ledger, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/.ledger.new")
     _, final = _fs(spark, f"{path}/ledger")
-    fs.delete(final, True)
+    _, backup = _fs(spark, f"{path}/.ledger.bak")
+    if fs.exists(final):
+        fs.delete(backup, True)
+        fs.rename(final, backup)
     fs.rename(new, final)
+    fs.delete(backup, True)
+
+
+def ledger_metrics(ledger: dict) -> dict[str, float]:
+    """Rows, finished shards and field counts of a ledger, as flat names."""
+    return {"rows": ledger["rows"], "shards": len(ledger["shards"]), "finished": int(ledger["finished"]), **{f"fields/{k}": v for k, v in ledger["fields"].items()}}
+
+
+def clean_up(spark: SparkSession, path: str) -> None:
+    """Deletes what broken-off commits left; a finished table stays."""
+    for name in (".ledger.new", ".ledger.bak") if read_ledger(spark, path) else ():
+        fs, where = _fs(spark, f"{path}/{name}")
+        if name == ".ledger.new" or fs.exists(_fs(spark, f"{path}/ledger")[1]):
+            fs.delete(where, True)
 
 
 def merge(a: dict, b: dict) -> dict:
@@ -41,7 +65,7 @@ def merge(a: dict, b: dict) -> dict:
 
 
 def load(spark: SparkSession, path: str, metadata: dict | None = None, strict: bool = False) -> DataFrame:
-    """A finished table; other metadata warn, or raise with strict."""
+    """A finished table; other metadata warn, or raise with strict. Its group column tells the order of its parts."""
     ledger = read_ledger(spark, path)
     if not ledger or not ledger["finished"]:
         raise FileNotFoundError(f"no finished table at {path}")
@@ -49,24 +73,75 @@ def load(spark: SparkSession, path: str, metadata: dict | None = None, strict: b
         if strict:
             raise ValueError(f"built with {ledger['metadata']}, asked for {metadata}")
         warnings.warn(f"built with {ledger['metadata']}, asked for {metadata}", stacklevel=2)
-    return spark.read.parquet(f"{path}/data")
+    return exposed(spark, path)
+
+
+def exposed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that a ledger, finished or not, accounts for: those of its groups."""
+    ledger = read_ledger(spark, path) or {"groups": []}
+    df = spark.read.option("basePath", f"{path}/data")
+    return df.parquet(*(f"{path}/data/group={g}" for g in ledger["groups"]))
 
 
 def build_or_load(spark: SparkSession, path: str, source: DataFrame, process: Callable[[DataFrame], DataFrame], metadata: dict, shard: str = "shard", fields: tuple[str, ...] = ("ids",), groups: int = 128) -> DataFrame:
     """The table at path, built from source (with a shard column) if it isn't finished.
 
-    Shards are dealt to groups and each group is a directory, overwritten as a whole, so a build
-    that was broken off starts again with the groups that its ledger lacks.
+    Shards, in order of their names, are dealt to contiguous groups, a directory each. A group is written as a whole,
+    then the ledger is committed with it; a build that was broken off goes on with the groups that the ledger
+    lacks, over what it left of the first of them.
     """
     ledger = read_ledger(spark, path)
+    if ledger and not ledger["finished"] and ledger["metadata"] != metadata:
+        raise ValueError(f"begun with {ledger['metadata']}, asked for {metadata}")
     if not (ledger and ledger["finished"]):
-        ledger = ledger or {"rows": 0, "finished": False, "shards": {}, "fields": {}, "metadata": metadata}
-        done = list(ledger["shards"])
-        left = source.where(~F.col(shard).isin(done)) if done else source
-        placed = process(left).withColumn("group", F.pmod(F.xxhash64(shard), F.lit(groups)).cast("int"))
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        placed.write.mode("append" if done else "overwrite").partitionBy("group").parquet(f"{path}/data")
-        counts = spark.read.parquet(f"{path}/data").groupBy(shard).agg(F.count("*").alias("n"), *(F.sum(F.size(f)).cast("long").alias(f"n_{f}") for f in fields)).collect()
-        ledger = {"rows": sum(r.n for r in counts), "finished": True, "shards": {r[shard]: r.n for r in counts}, "fields": {f: sum(r[f"n_{f}"] or 0 for r in counts) for f in fields}, "metadata": metadata}
-        commit(spark, path, ledger)
+        names = sorted(r[0] for r in source.select(shard).distinct().collect())
+        parts = [[names[k] for k in own] for own in assign_groups(len(names), groups)]
+        ledger = ledger or {"rows": 0, "finished": False, "shards": {}, "fields": {}, "groups": [], "metadata": metadata}
+        for group, own in enumerate(parts):
+            if group in ledger["groups"]:
+                continue
+            place = f"{path}/data/group={group}"
+            process(source.where(F.col(shard).isin(own))).write.mode("overwrite").parquet(place)
+            counts = spark.read.parquet(place).groupBy(shard).agg(F.count("*").alias("n"), *(F.sum(F.size(f)).cast("long").alias(f"n_{f}") for f in fields)).collect()
+            more = {"rows": sum(r.n for r in counts), "finished": group + 1 == len(parts), "shards": {r[shard]: r.n for r in counts}, "fields": {f: sum(r[f"n_{f}"] or 0 for r in counts) for f in fields}, "metadata": metadata}
+            groups_done = [*ledger["groups"], group]
+            ledger = {**merge({**ledger, "finished": True}, more), "groups": groups_done}
+            commit(spark, path, ledger)
+        if not parts:
+            process(source).write.mode("overwrite").parquet(f"{path}/data/group=0")
+            ledger = {**ledger, "finished": True, "groups": [0]}
+            commit(spark, path, ledger)
     return load(spark, path, metadata)
+
+
+def split_by(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """df written with a folder for each value of the columns, and read again, so that a filter on them reads its folders only."""
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_order(df: DataFrame, keys: tuple[str, ...], start: int = 0, name: str = "idx") -> DataFrame:
+    """A table of groups with a global index in the order of keys, shifted by start."""
+    return ordered_index(df, keys, name).withColumn(name, F.col(name) + start)
+
+
+def append_rows(spark: SparkSession, path: str, df: DataFrame) -> None:
+    """Appends to a Parquet table; columns of another type or nesting raise before anything is written."""
+    fs, where = _fs(spark, path)
+    if fs.exists(where):
+        old = {f.name: f.dataType for f in spark.read.parquet(path).schema}
+        if old != {f.name: f.dataType for f in df.schema}:
+            raise ValueError(f"{df.schema.simpleString()} does not fit {path}")
+    df.write.mode("append").parquet(path)
+
+
+def trim(spark: SparkSession, path: str, n: int, idx: str = "idx") -> None:
+    """Keeps the rows with idx < n: they are written beside the table, which is then replaced by renames."""
+    fs, where = _fs(spark, path)
+    spark.read.parquet(path).where(F.col(idx) < n).write.mode("overwrite").parquet(f"{path}.trimmed")
+    _, new = _fs(spark, f"{path}.trimmed")
+    _, old = _fs(spark, f"{path}.old")
+    fs.delete(old, True)
+    fs.rename(where, old)
+    fs.rename(new, where)
+    fs.delete(old, True)

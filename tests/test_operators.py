@@ -57,10 +57,43 @@ def test_packed_rows(spark):
 def test_first_fit(spark):
     df = spark.createDataFrame([(0, i, n) for i, n in enumerate([6, 6, 4, 4, 3])], "g int, idx long, n long")
     assert [p for _, p in rows(packing.first_fit_packs(df, 10, 2, 4, "g", n="n"), "idx", "pack")] == [0, 1, 0, 1, 2]
+    # empty rows go nowhere, the pool is kept at its bound, and a row over the length is an error
+    sizes = [6, 6, 6, 0, 6, 6, 6, 4, 4, 4]
+    df = spark.createDataFrame([(0, i, n) for i, n in enumerate(sizes)], "g int, idx long, n long")
+    assert [p for _, p in rows(packing.first_fit_packs(df, 10, 8, 3, "g", n="n"), "idx", "pack")] == [0, 1, 2, 3, 4, 5, 3, 4, 5]
+    with pytest.raises(Exception, match="exceeds 5"):
+        packing.first_fit_packs(df, 5, 2, 4, "g", n="n").collect()
+
+
+@pytest.mark.parametrize("block", [4, 16, 1000])
+def test_greedy_over_the_whole_table(spark, block):
+    import random
+
+    rng = random.Random(block)
+    sizes = [rng.choice([0, 1, 2, 3, 5, 8, 10]) for _ in range(150)]
+    packs, pack, used, n = [], -1, 0, 0
+    for x in sizes:
+        if pack < 0 or n == 4 or used + x > 10:
+            pack, used, n = pack + 1, 0, 0
+        used, n = used + x, n + 1
+        packs.append(pack)
+    df = spark.createDataFrame(list(enumerate(sizes)), "idx long, n long").repartition(7)
+    assert rows(packing.greedy_packs_global(df, {"n": 10}, 4, rows=block), "idx", "pack") == list(enumerate(packs))
+    with pytest.raises(Exception, match="exceeds 9"):
+        packing.greedy_packs_global(df, {"n": 9}, 4, rows=block).collect()
+    assert packing.greedy_packs_global(df.where("false"), {"n": 10}, 4).count() == 0
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([(0, [1, 2, 3, 4], 2), (1, [5, 6], 1), (2, list(range(10, 22)), 5)], "idx long, ids array<int>, prompt_length int")
+    got = rows(packing.packed_prompts(df, 8, 4, pad=0), "pack", "tokens", "segments", "mask")
+    assert got == [(0, [1, 2, 3, 4, 5, 6, 0, 0], [0, 0, 0, 0, 1, 1, -1, -1], [0, 1, 1, 0, 1, 0, 0, 0]), (1, list(range(14, 22)), [2] * 8, [1] * 7 + [0])]
+    with pytest.raises(Exception, match="longer than its prompt"):
+        packing.checked_prompts(spark.createDataFrame([([1, 2], 2)], "ids array<int>, prompt_length int")).collect()
 
 
 def test_index_rows(spark):
-    df = indexing.dense_index(spark.createDataFrame([(7 * i, i) for i in range(100)], "key long, v int").repartition(5), "key", buckets=4)
+    df = indexing.dense_index(spark.createDataFrame([(7 * i, i) for i in range(100)], "key long, v int").repartition(5), "key")
     assert rows(df, "idx", "v") == [(i, i) for i in range(100)]
     assert rows(indexing.slice_rows(df, 98, 200), "idx", "v") == [(0, 98), (1, 99)]
     assert rows(indexing.get_batch(df, [7, 2, 5, 7]), "pos", "v") == [(0, 7), (1, 2), (2, 5), (3, 7)]
@@ -77,11 +110,12 @@ def test_index_rows(spark):
 def test_permutations_are_bijections(spark, n):
     x = spark.range(n).withColumnRenamed("id", "idx")
     a, b = shuffling.lcg_parameters(n, 5)
-    columns = [shuffling.lcg(F.col("idx"), n, a, b).alias("l"), shuffling.feistel(F.col("idx"), n, [1, 22, 333, 4444, 5]).alias("f"), shuffling.era_source(F.col("idx"), n, 10, shuffling.era_parameters(n, 10, 3)).alias("e")]
+    columns = [shuffling.lcg(F.col("idx"), n, a, b).alias("l"), shuffling.feistel(F.col("idx"), n, [1, 22, 333, 4444, 5]).alias("f")]
     got = x.select("idx", *columns).collect()
-    for name in "lfe":
+    for name in "lf":
         assert sorted(r[name] for r in got) == list(range(n))
-    assert all(r.e // 10 == r.idx // 10 for r in got)
+    eras = shuffling.era_permuted(x, n, 10, shuffling.era_parameters(spark, n, 10, 3)).collect()
+    assert sorted(r.source_idx for r in eras) == list(range(n)) and all(r.source_idx // 10 == r.idx // 10 for r in eras)
 
 
 def test_lcg_beyond_63_bits(spark):

@@ -42,6 +42,92 @@ def test_formats(spark, tmp_path):
     assert {(r.shard, r["count"]) for r in named.groupBy("shard").count().collect()} == {("a", 4), ("b", 4)}
 
 
+def test_json_by_content_and_equal_base_names(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{"n": 1}\n{"n": 2}\n{"n": 3}\n')
+    (tmp_path / "value.json").write_text('[{"n": 1},\n {"n": 2}]')
+    assert readers.read(spark, f"{tmp_path}/lines.json").count() == 3 and readers.read(spark, f"{tmp_path}/value.json").count() == 2
+    for k in "ab":
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "part +1.jsonl").write_text(json.dumps({"from": k}) + "\n" + json.dumps({"from": k}))
+    found = readers.files(spark, f"{tmp_path}/{{a,b}}/*.jsonl")
+    names = readers.shard_names(found)
+    table = readers.with_shards(readers.read(spark, f"{tmp_path}/{{a,b}}/*.jsonl"), names)
+    assert sorted((r.shard, r["from"], r.shard_idx) for r in table.collect()) == [(f"{k}/part +1_jsonl", k, i) for i, k in enumerate("ab") for _ in range(2)]
+    assert readers.restrict_shards(table, ["b/part +1_jsonl"]).count() == 2
+    with pytest.raises(Exception, match="not a shard"):
+        readers.with_shards(readers.read(spark, f"{tmp_path}/{{a,b}}/*.jsonl"), {"a": found[0]}).collect()
+    with pytest.raises(FileNotFoundError):
+        readers.files(spark, f"{tmp_path}/none*")
+
+
+def test_other_sources(spark, tmp_path):
+    import wave
+
+    import numpy as np
+
+    with wave.open(f"{tmp_path}/a.wav", "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes(np.array([[0, 9], [16384, 9], [-32768, 9]], "<i2").tobytes())
+    (tmp_path / "b.wav").write_bytes(b"nothing")
+    got = {r.path[-5:]: (r.rate, r.samples) for r in readers.read_audio(spark, f"{tmp_path}/*.wav").collect()}
+    assert got == {"a.wav": (8000, [0.0, 0.5, -1.0]), "b.wav": (None, None)}
+    assert readers.resampled(np.array([0, 1, 2, 3], np.float32), 2, 4).tolist() == [0, 0.5, 1, 1.5, 2, 2.5, 3, 3]
+    (tmp_path / "hub" / "en").mkdir(parents=True)
+    (tmp_path / "hub" / "en" / "train-0.jsonl").write_text('{"q": "x", "a": "y"}')
+    assert readers.read_hub(spark, f"{tmp_path}/hub", "en").count() == 1 and readers.read_hub(spark, f"{tmp_path}/hub", "en", "validation") is None
+    assert readers.read_supervised(spark, f"{tmp_path}/hub/en/*.jsonl", "q", "a").first() == ("x", "y")
+    ids = readers.synthetic_tokens(spark, 5, 7, 11).collect()
+    assert len(ids) == 5 and all(len(r.ids) == 7 and all(0 <= t < 11 for t in r.ids) for r in ids) and ids == readers.synthetic_tokens(spark, 5, 7, 11).collect()
+
+
+def test_a_broken_build_goes_on(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    source = spark.createDataFrame([(f"s{i % 4}", f"a b c{i}") for i in range(12)], "shard string, text string")
+    seen = []
+
+    def process(df, stop=None):
+        own = sorted(r.shard for r in df.select("shard").distinct().collect())
+        if own == stop:
+            raise RuntimeError("lost")
+        seen.append(own)
+        return df.withColumn("ids", tokens.word_hash_ids(F.col("text"), 100)).drop("text")
+
+    with pytest.raises(RuntimeError):
+        store.build_or_load(spark, path, source, lambda df: process(df, ["s2"]), {"v": 1}, groups=3)
+    half = store.read_ledger(spark, path)
+    assert half["groups"] == [0] and not half["finished"] and store.exposed(spark, path).count() == 6
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, path)
+    with pytest.raises(ValueError, match="begun with"):
+        store.build_or_load(spark, path, source, process, {"v": 2}, groups=3)
+    assert store.build_or_load(spark, path, source, process, {"v": 1}, groups=3).count() == 12
+    assert seen == [["s0", "s1"], ["s2"], ["s3"]]
+    ledger = store.read_ledger(spark, path)
+    assert ledger["rows"] == 12 and store.ledger_metrics(ledger) == {"rows": 12, "shards": 4, "finished": 1, "fields/ids": 36}
+    # a commit that was broken off between its renames
+    (tmp_path / "t" / "ledger").rename(tmp_path / "t" / ".ledger.bak")
+    assert store.read_ledger(spark, path) == ledger
+    (tmp_path / "t" / ".ledger.bak").rename(tmp_path / "t" / "ledger")
+    (tmp_path / "t" / ".ledger.new").mkdir()
+    store.clean_up(spark, path)
+    assert not (tmp_path / "t" / ".ledger.new").exists() and store.read_ledger(spark, path) == ledger
+
+
+def test_append_and_trim(spark, tmp_path):
+    path = f"{tmp_path}/rows"
+    table = spark.createDataFrame([(i, list(range(i))) for i in range(6)], "idx long, ids array<int>")
+    store.append_rows(spark, path, table.where("idx < 4"))
+    store.append_rows(spark, path, table.where("idx >= 4"))
+    with pytest.raises(ValueError, match="does not fit"):
+        store.append_rows(spark, path, table.selectExpr("idx", "array(ids) AS ids"))
+    store.trim(spark, path, 5)
+    assert sorted((r.idx, r.ids) for r in spark.read.parquet(path).collect()) == [(i, list(range(i))) for i in range(5)]
+    shifted = store.in_order(table.select("ids", F.col("idx").alias("at")), ("at",), 10)
+    assert sorted((r["at"], r.idx) for r in shifted.collect()) == [(i, 10 + i) for i in range(6)]
+
+
 def test_store(spark, tmp_path):
     path = f"{tmp_path}/t"
     source = spark.createDataFrame([(f"s{i % 3}", f"a b c{i}") for i in range(9)], "shard string, text string")
