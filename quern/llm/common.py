@@ -20,11 +20,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where unset (tests on one machine) a new temporary one."""
+    """The folder of spark.checkpoint.dir; where unset and Spark runs on one machine, as in tests, a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")

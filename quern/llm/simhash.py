@@ -1,8 +1,9 @@
 """SimHash near-duplicate groups: fingerprints, pigeonhole blocks, verified links, components.
 
-Texts are lower-cased in A-Z, split at ASCII white space and cut into 3-word shingles, repeats included
+Texts are lower-cased in A-Z, split at ASCII white space and cut into shingles of `shingle` words, repeats included
 (fewer words: the whole sequence). A bit of the fingerprint is set if it is set in over half of the
-shingles' XXH64. Fingerprints at max_distance 2 or less are linked.
+shingles' XXH64. Fingerprints that differ in max_distance bits or fewer are linked. A shingle of three words and two
+bits is the default; texts of a Jaccard similarity of 0.8 on five words differ in about ten bits, of 0.95 in four.
 
 Null and empty texts have fingerprint zero and link like any other. Equal texts share a fingerprint;
 links are searched between distinct fingerprints only. Rows with a null doc_id take part; a component's
@@ -21,18 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import components, stage, unstage
+from quern.llm.common import components, maybe_among, stage, unstage
 
 SHINGLE_WORDS = 3
 SEED = 42
-#: Two differing bits touch at most two of four blocks, so close pairs agree on two blocks at least.
-BLOCKS = 4
+MAX_DISTANCE = 2
 #: Blocks with more fingerprints are split again instead of being paired.
 PAIR_LIMIT = 48
 _STEP = 1 << 15
+PREFIX = "__simhash_"
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
     """The fingerprint of one text as an unsigned 64-bit number."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
@@ -41,8 +42,8 @@ def fingerprint(text: str | None) -> int:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    if len(words) > SHINGLE_WORDS:
-        starts, ends = starts[: 1 - SHINGLE_WORDS], ends[SHINGLE_WORDS - 1 :]
+    if len(words) > shingle:
+        starts, ends = starts[: len(starts) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
@@ -54,25 +55,30 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-@F.pandas_udf(T.LongType())
-def fingerprint_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+def fingerprints_of(text: Column, shingle: int = SHINGLE_WORDS) -> Column:
+    @F.pandas_udf(T.LongType())
+    def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    return fingerprints(text)
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(fingerprints: DataFrame) -> DataFrame:
-    """(u, v) for pairs of distinct fingerprints (column fp) that differ in one or two bits.
+def links(fingerprints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(u, v) for pairs of distinct fingerprints (column fp) that differ in one to max_distance bits.
 
-    Each fingerprint joins its blocks under six keys, one for each two of the four blocks that may
-    agree. A block with over PAIR_LIMIT fingerprints is not paired: the bits outside its key are split
-    into four again, with six finer keys, and so on. Keys end at 60 agreeing bits, where a block has 16
-    fingerprints at most, so nothing is left out and no block is paired above the limit.
+    Differing bits touch at most max_distance of max_distance + 2 blocks, so close pairs agree on two blocks at
+    least: each fingerprint joins its blocks under a key for each two of them that may agree. A block with over
+    PAIR_LIMIT fingerprints is not paired: the bits outside its key are split into blocks again, with finer keys, and
+    so on. Keys end where the bits left are too few to split, and a block has few fingerprints by then, so nothing
+    is left out.
     """
     free = (1 << 64) - 1
+    blocks = max_distance + 2
     # a member of a block: its fingerprint and the mask of the bits that are not yet in its key
     members = fingerprints.select("fp", F.lit(_signed(free)).alias("free")).distinct()
     masks = [free]
@@ -81,22 +87,19 @@ def links(fingerprints: DataFrame) -> DataFrame:
         finer = {}
         for mask in masks:
             bits = [b for b in range(64) if mask >> b & 1]
-            size = len(bits) // BLOCKS
-            parts = [sum(1 << b for b in bits[k * size : (k + 1) * size]) for k in range(BLOCKS)]
+            parts = [sum(1 << int(b) for b in part) for part in np.array_split(bits, blocks)]
             finer[mask] = [mask & ~(a | b) for a, b in combinations(parts, 2)]
-        options = F.lit(None).cast("array<bigint>")
-        for mask, left in finer.items():
-            options = F.when(F.col("free") == _signed(mask), F.array(*(F.lit(_signed(x)) for x in left))).otherwise(options)
-        keyed = members.select("fp", F.explode(options).alias("free")).withColumn("key", F.col("fp").bitwiseAND(F.bitwise_not("free")))
+        # the masks are given by the blocks, whatever the table's size
+        options = fingerprints.sparkSession.createDataFrame([(_signed(mask), [_signed(x) for x in left]) for mask, left in finer.items()], "free long, left array<long>")
+        keyed = members.join(F.broadcast(options), "free").select("fp", F.explode("left").alias("free")).withColumn("key", F.col("fp").bitwiseAND(F.bitwise_not("free")))
         keyed = stage(keyed, "blocks")
         sizes = keyed.groupBy("free", "key").agg(F.count("*").alias("n")).where("n > 1")
         inside = stage(keyed.join(sizes, ["free", "key"]), "inside")
         unstage(keyed)
-        width = len([b for b in range(64) if masks[0] >> b & 1]) // 2
-        last = width < 2 * BLOCKS
+        last = min(x.bit_count() for left in finer.values() for x in left) < 2 * blocks
         small = inside if last else inside.where(F.col("n") <= PAIR_LIMIT)
         a, b = small.select("free", "key", F.col("fp").alias("u")), small.select("free", "key", F.col("fp").alias("v"))
-        close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2
+        close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance
         pairs = stage(a.join(b, ["free", "key"]).where((F.col("u") < F.col("v")) & close).select("u", "v").distinct(), "pairs")
         found = pairs if found is None else found.union(pairs)
         large = inside.where(F.col("n") > PAIR_LIMIT).select("fp", "free")
@@ -106,31 +109,35 @@ def links(fingerprints: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def _labelled(known: DataFrame, head: Column) -> DataFrame:
+def _labelled(known: DataFrame, head: Column, max_distance: int) -> DataFrame:
     """(fp, component, head) for every distinct fingerprint of known; head aggregates its rows."""
     heads = stage(known.groupBy(F.col("fingerprint").alias("fp")).agg(head.alias("head")), "heads")
-    labels = components(links(heads.select("fp")))
+    labels = components(links(heads.select("fp"), max_distance))
     return stage(heads.join(labels, heads.fp == labels.node, "left").select("fp", "head", F.coalesce("component", "fp").alias("component")), "ends")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """df with fingerprint (long) and component_id, the smallest doc_id among all texts linked to it."""
-    known = stage(df.drop("component_id").withColumn("fingerprint", fingerprint_udf(F.col(text).cast("string"))), "fingerprints")
-    ends = _labelled(known, F.min(doc_id))
+    known = stage(df.drop("component_id").withColumn("fingerprint", fingerprints_of(F.col(text).cast("string"), shingle)), "fingerprints")
+    ends = _labelled(known, F.min(doc_id), max_distance)
     lowest = ends.groupBy("component").agg(F.min("head").alias("component_id"))
     named = ends.join(lowest, "component").select(F.col("fp").alias("fingerprint"), "component_id")
     return known.join(named, "fingerprint")
 
 
-def first_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def first_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, max_distance: int = 4) -> DataFrame:
     """One row of df for each group of near duplicates: that of the smallest doc_id, nulls last.
 
-    Of rows that tie, repeated rows included, one stays.
+    Of rows that tie, repeated rows included, one stays. Rows that go are found by their numbers, so that others
+    need no shuffle.
     """
-    known = df.withColumn("fingerprint", fingerprint_udf(F.col(text).cast("string"))) if "fingerprint" not in df.columns else df.withColumnRenamed("fingerprint", "__fingerprint").withColumn("fingerprint", fingerprint_udf(F.col(text).cast("string")))
+    row, mark = PREFIX + "row", PREFIX + "fingerprint"
     # the numbers are fixed once the table is written
-    known = stage(known.withColumn("__row", F.monotonically_increasing_id()), "fingerprints")
-    ends = _labelled(known, F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("__row").alias("row"))))
-    first = ends.groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.row").alias("__row"))
-    kept = known.join(first, "__row", "left_semi").drop("__row", "fingerprint")
-    return kept.withColumnRenamed("__fingerprint", "fingerprint").select(*df.columns)
+    known = stage(df.withColumn(mark, fingerprints_of(F.col(text).cast("string"), shingle)).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    narrow = known.select(F.col(mark).alias("fingerprint"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
+    ends = _labelled(narrow, F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row").alias("row"))), max_distance)
+    first = ends.groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.row").alias("row"))
+    gone = stage(narrow.select("row").join(first, "row", "left_anti").withColumnRenamed("row", row), "gone")
+    maybe = maybe_among(gone, row)
+    kept = known.where(~maybe).union(known.where(maybe).join(gone, row, "left_anti").select(*known.columns))
+    return kept.select(*df.columns)

@@ -53,6 +53,34 @@ def test_blocks_above_the_pair_limit(spark, monkeypatch):
     assert {(r.u, r.v) for r in got} == want and len(got) == len(want)
 
 
+def test_wider_distances(spark, monkeypatch):
+    rng = random.Random(7)
+    marks = {rng.getrandbits(64) for _ in range(8)}
+    for x in sorted(marks):
+        for k in range(1, 7):
+            marks.add(x ^ sum(1 << b for b in rng.sample(range(64), k)))
+    signed = sorted(x - 2**64 if x >> 63 else x for x in marks)
+    table = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for limit in (3, 48):
+        monkeypatch.setattr(simhash, "PAIR_LIMIT", limit)
+        want = {(u, v) for u, v in itertools.combinations(signed, 2) if ((u ^ v) % 2**64).bit_count() <= 4}
+        assert {(r.u, r.v) for r in simhash.links(table, 4).collect()} == want
+
+
+def test_first_of_each_by_five_words(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(800)]
+    near = list(base)
+    near[400] = "other"
+    other = [f"w{rng.randrange(3000)}" for _ in range(800)]
+    rows = [(5, " ".join(base)), (3, " ".join(near)), (None, " ".join(base)), (9, " ".join(other)), (9, " ".join(other)), (10, ""), (11, None)]
+    distance = (simhash.fingerprint(rows[0][1], 5) ^ simhash.fingerprint(rows[1][1], 5)).bit_count()
+    assert 0 < distance <= 4
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fingerprint int")
+    got = simhash.first_of_each(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [3, 9, 10]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
