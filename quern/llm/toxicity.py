@@ -39,8 +39,8 @@ PREFIXES = (4, 5, 6, 7)
 LEVELS = (2, 3, 5)
 PENALTY = 4.0
 #: Identity terms of the data, and the buckets that the slots around them are counted in.
-TERMS = 2048
-SLOTS = 1024
+TERMS = 512
+SLOTS = 256
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 
