@@ -289,7 +289,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", page_id: str
                 out["slots"].append([t for _, t in tokens] if doubtful else None)
             yield batch[["page_id", "url", "host", "key"]].reset_index(drop=True).assign(**{x: pd.Series(v, dtype=object) for x, v in out.items()})
 
-    read = named.mapInPandas(rows, schema)
+    # pages are parsed once here, whatever reads them after
+    read = stage(named.mapInPandas(rows, schema), "parsed")
     plain = read.where("texts is null").select("page_id", "url", "text")
     doubtful = read.where("texts is not null")
     asked = doubtful.select("key", "host", F.explode(F.concat(F.transform("texts", lambda t: F.struct(t.alias("token"), F.lit(False).alias("is_slot"))), F.transform("slots", lambda t: F.struct(t.alias("token"), F.lit(True).alias("is_slot"))))).alias("t"))
