@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import maybe_among, stage
+from quern.llm.common import stage
 
 WINDOW = 5
 LITERALS = 3
@@ -243,11 +243,10 @@ def findings(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the documents in which an item is found; documents that surely have none need no shuffle."""
+    """docs without the documents in which an item is found.
+
+    The finds are a table of known size: Spark sends them to the documents where they are small, and shuffles otherwise.
+    """
     found = stage(findings(docs, benchmark, text, doc_id).select(F.col("doc_id").alias("__decontam_id"), F.col("text_key").alias("__decontam_key")).distinct(), "found")
-    key = F.xxhash64(F.col(text).cast("string"))
-    marked = docs.withColumn("__decontam_key", key)
-    maybe = maybe_among(found, "__decontam_key")
-    some = marked.where(maybe).drop("__decontam_key")
-    same = some[doc_id].eqNullSafe(found["__decontam_id"]) & (F.xxhash64(some[text].cast("string")) == found["__decontam_key"])
-    return marked.where(~maybe).select(*docs.columns).union(some.join(found, same, "left_anti").select(*docs.columns))
+    same = docs[doc_id].eqNullSafe(found["__decontam_id"]) & (F.xxhash64(docs[text].cast("string")) == found["__decontam_key"])
+    return docs.join(found, same, "left_anti")

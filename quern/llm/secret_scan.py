@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import maybe_among, stage
+from quern.llm.common import stage
 
 #: Kinds by rank; the first three are reported unconditionally.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -136,15 +136,15 @@ def _masked(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
 
 
 def redact(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """df with MASK in place of every span; overlapping spans give one. Texts without spans are unchanged and need no shuffle."""
+    """df with MASK in place of every span; overlapping spans give one. Texts without spans are unchanged.
+
+    The spans are a table of known size: Spark sends them to the texts where they are small, and shuffles otherwise.
+    """
     names = {x: f"__secret_{x}" for x in ("id", "key", "starts", "ends")}
     found = scan(df, text, doc_id).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
     found = stage(found.select(F.col("doc_id").alias(names["id"]), F.col("text_key").alias(names["key"]), F.col("spans.start").alias(names["starts"]), F.col("spans.end").alias(names["ends"])), "secrets")
-    marked = df.withColumn(names["key"], F.xxhash64(F.col(text).cast("string")))
-    maybe = maybe_among(found, names["key"])
-    some = marked.where(maybe).drop(names["key"])
-    same = some[doc_id].eqNullSafe(found[names["id"]]) & (F.xxhash64(some[text].cast("string")) == found[names["key"]])
-    joined = some.join(found, same, "left")
+    same = df[doc_id].eqNullSafe(found[names["id"]]) & (F.xxhash64(df[text].cast("string")) == found[names["key"]])
+    joined = df.join(found, same, "left")
     none = F.array().cast("array<bigint>")
     new = F.when(F.col(names["starts"]).isNotNull(), _masked(F.coalesce(text, F.lit("")), F.coalesce(names["starts"], none), F.coalesce(names["ends"], none))).otherwise(F.col(text))
-    return marked.where(~maybe).select(*df.columns).union(joined.withColumn(text, new).select(*df.columns))
+    return joined.withColumn(text, new).select(*df.columns)
