@@ -37,7 +37,7 @@ MIN_ROWS = 3
 MIN_Z = 3.0
 PREFIXES = (4, 5, 6, 7)
 LEVELS = (2, 3, 5)
-PENALTY = 4.0
+PENALTY = 1.0
 #: Identity terms of the data, and the buckets that the slots around them are counted in.
 TERMS = 512
 SLOTS = 256
