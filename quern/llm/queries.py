@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import classlm, decontam, passages, pieces, quality, secret_scan, simhash, suffix_dedup, template_html, toxicity
+from quern.llm import byte_bpe, classlm, decontam, filter_audit, passages, pieces, quality, secret_scan, simhash, suffix_dedup, template_html, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,24 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.failure_counts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return filter_audit.audit(counts).select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    hexes = F.array_join(F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))), "")
+    return vector_codes.with_label_errors(codes).select("vec_id", hexes.alias("code"), "error", "label_error", F.lit(vector_codes.digest_of(books)).alias("codebooks_sha256"))
+
+
 _OP5_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -91,11 +109,47 @@ FROM m
 """
 
 
+_OP11_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+f AS (SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS fails FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, i::INT AS step, list_sum(list_transform(range(1, i), lambda k: 1 << (strpos('ABCDE', o[k]) - 1)))::INT AS applied, (1 << (strpos('ABCDE', o[i]) - 1))::INT AS bit FROM o, range(1, 6) AS r(i)),
+t AS (SELECT part, o, step, bit,
+  sum(CASE WHEN fails & (coalesce(applied, 0) | bit) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN fails & coalesce(applied, 0) = 0 AND fails & bit <> 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN fails & coalesce(applied, 0) <> 0 AND fails & bit <> 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN fails & coalesce(applied, 0) = 0 AND fails & bit <> 0 THEN n * good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN fails & coalesce(applied, 0) = 0 AND fails & bit <> 0 THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, o, step, bit)
+SELECT part, o AS filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM t
+"""
+
+
+def _op13_sql() -> str:
+    """The rounds one after another, each over components, in SQL."""
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, w) AS r, vec_id, label, w FROM (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))""", """x AS MATERIALIZED (SELECT r, i // (n // 8) AS part, i % (n // 8) AS pos, w[i + 1] AS v FROM (SELECT r, w, len(w) AS n, unnest(range(len(w))) AS i FROM v))""", "c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, v FROM x WHERE r <= 16)"]
+    for k in range(7):
+        parts.append(f"a{k} AS MATERIALIZED (SELECT r, part, min({{'d': d, 'entry': entry}}) AS b FROM (SELECT r, x.part, entry, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{k} c ON c.part = x.part AND c.pos = x.pos GROUP BY ALL) GROUP BY ALL)")
+        if k < 6:
+            parts.append(f"""c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, c.pos, coalesce((s - ((s % n) + n) % n) // n, c.v) AS v FROM c{k} c LEFT JOIN
+  (SELECT part, b.entry AS entry, pos, sum(v)::BIGINT AS s, count(*) AS n FROM a{k} JOIN x USING (r, part) GROUP BY ALL) USING (part, entry, pos))""")
+    parts.append("e AS (SELECT r, string_agg(printf('%02x', b.entry), '' ORDER BY part) AS code, sum(b.d)::BIGINT AS error FROM a6 GROUP BY r)")
+    parts.append("h AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS h FROM c6)")
+    return f"WITH {', '.join(parts)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM v JOIN e USING (r), h"
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_classlm": op3_classlm, "op4_html": op4_html, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_decontam": op8_decontam, "op9_passages": op9_passages, "op10_suffixes": op10_suffixes, "pipeline": pipeline}
-ORACLES = {"op5_quality": _OP5_SQL}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_classlm": op3_classlm, "op4_html": op4_html, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_secrets": op7_secrets, "op8_decontam": op8_decontam, "op9_passages": op9_passages, "op10_suffixes": op10_suffixes, "op11_filter_audit": op11_filter_audit, "op12_byte_bpe": op12_byte_bpe, "op13_vector_codes": op13_vector_codes, "pipeline": pipeline}
+ORACLES = {"op5_quality": _OP5_SQL, "op11_filter_audit": _OP11_SQL, "op13_vector_codes": _op13_sql()}
