@@ -81,7 +81,8 @@ def under(prefix: str, name: Column) -> Column:
 
 
 def up_to_multiple(x: Column, of: int) -> Column:
-    return (F.ceil(x / of) * of).cast("long")
+    """The next multiple at or above a whole number, in whole numbers."""
+    return x.cast("long") + F.pmod(-x.cast("long"), F.lit(of).cast("long"))
 
 
 def prompt_of(instruction: Column, given: Column, with_input: str, without_input: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.indexing import exclusive_sums, ordered_index
+
 
 def corpus_sizes(df: DataFrame, group: str, tokens: str, length: int = 4096) -> DataFrame:
     """Documents, tokens, whole sequences of `length`, and tokens cut off as a share of those kept, for each group."""
@@ -75,9 +77,9 @@ def run_positions(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
 
 def moments(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
-    """n, mean and population variance, E[x^2] - E[x]^2."""
+    """n, mean and population variance, whose sums are merged around the mean, so that large values don't cancel."""
     x = F.col(value).cast("double")
-    return (df.groupBy(by) if by else df.groupBy()).agg(F.count(value).alias("n"), F.avg(x).alias("mean"), (F.avg(x * x) - F.avg(x) * F.avg(x)).alias("variance"))
+    return (df.groupBy(by) if by else df.groupBy()).agg(F.count(value).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"))
 
 
 def position_moments(df: DataFrame, values: str) -> DataFrame:
@@ -111,8 +113,9 @@ def mean_loss(df: DataFrame, batch: str, loss: str, max_batches: int | None = No
 
 def throughput(steps: DataFrame, tokens: str = "tokens", examples: str = "examples", seconds: str = "seconds", flops_per_token: float | None = None, peak: float | None = None) -> DataFrame:
     """A step table with its running totals and rates; with flops, the share of the peak that is used."""
-    line = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    out = steps.withColumn("total_tokens", F.sum(tokens).over(line)).withColumn("examples_per_second", F.col(examples) / F.col(seconds)).withColumn("tokens_per_second", F.col(tokens) / F.col(seconds))
+    # running totals by blocks of steps, so that no task orders all of them
+    placed = exclusive_sums(ordered_index(steps, ("step",), "__at"), tokens, "__earlier", "__at")
+    out = placed.withColumn("total_tokens", F.col("__earlier") + F.col(tokens)).drop("__at", "__earlier").withColumn("examples_per_second", F.col(examples) / F.col(seconds)).withColumn("tokens_per_second", F.col(tokens) / F.col(seconds))
     return out.withColumn("mfu", F.col("tokens_per_second") * flops_per_token / peak * 100) if flops_per_token and peak else out
 
 

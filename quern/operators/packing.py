@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,47 +50,63 @@ def packed(df: DataFrame, packs: DataFrame, length: int, group: str, idx: str =
     return each.select(group, "pack", fill(tokens, F.lit(pad).cast("int")).alias("tokens"), fill(segments, F.lit(-1).cast("long")).alias("segments"))
 
 
+class Pool:
+    """The open packs of first fit, oldest first, each as [number, tokens, rows]; what the batch and the stream form share."""
+
+    def __init__(self, length: int, max_segments: int, max_buffered: int, opened: list[list[int]] | None = None, new: int = 0):
+        self.length, self.max_segments, self.max_buffered = length, max_segments, max_buffered
+        self.opened, self.new = opened or [], new
+
+    def add(self, size: int, row: int) -> tuple[int, list[int]]:
+        """The pack of a row of `size` tokens, and the packs that are closed by it, in order."""
+        if size > self.length:
+            raise ValueError(f"Row {row} has length {size}, which exceeds {self.length}")
+        closed = []
+        slot = next((p for p in self.opened if p[1] + size <= self.length), None)
+        if slot is None:
+            while len(self.opened) >= self.max_buffered:
+                closed.append(self.opened.pop(0)[0])
+            slot = [self.new, 0, 0]
+            self.new += 1
+            self.opened.append(slot)
+        slot[1], slot[2] = slot[1] + size, slot[2] + 1
+        if slot[2] >= self.max_segments or slot[1] == self.length:
+            self.opened.remove(slot)
+            closed.append(slot[0])
+        return slot[0], closed
+
+
 def first_fit_packs(df: DataFrame, length: int, max_segments: int, max_buffered: int, group: str, idx: str = "idx", n: str = "n_tokens") -> DataFrame:
     """(group, idx, pack): each row goes to the first open pack that has room; empty rows go nowhere, a row over the length raises.
 
     Before a new pack is opened, the oldest are closed while max_buffered are open. A pack that has max_segments
-    rows, or is full, is closed.
+    rows, or is full, is closed. streaming.growing.pack_stream() is the same over a stream.
     """
 
-    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx, ignore_index=True)
-        opened: list[list[int]] = []  # pack, tokens, rows
-        kept, packs, new = [], [], 0
-        for row, size in enumerate(pdf[n].tolist()):
-            if not size:
-                continue
-            if size > length:
-                raise ValueError(f"Row {pdf[idx][row]} has length {size}, which exceeds {length}")
-            slot = next((p for p in opened if p[1] + size <= length), None)
-            if slot is None:
-                while len(opened) >= max_buffered:
-                    opened.pop(0)
-                slot = [new, 0, 0]
-                new += 1
-                opened.append(slot)
-            slot[1], slot[2] = slot[1] + size, slot[2] + 1
-            kept.append(row)
-            packs.append(slot[0])
-            if slot[2] >= max_segments or slot[1] == length:
-                opened.remove(slot)
+        pool, kept, packs = Pool(length, max_segments, max_buffered), [], []
+        for row, (size, i) in enumerate(zip(pdf[n].tolist(), pdf[idx].tolist(), strict=True)):
+            if size:
+                kept.append(row)
+                packs.append(pool.add(size, i)[0])
         return pdf.loc[kept, [group, idx]].assign(pack=packs)
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(group, idx, n).groupBy(group).applyInPandas(pool, f"{group} {kinds[group]}, {idx} {kinds[idx]}, pack long")
+    return df.select(group, idx, n).groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {idx} {kinds[idx]}, pack long")
+
 
+#: Blocks whose answers are composed in one step.
+_FAN = 512
 
-def greedy_packs_global(df: DataFrame, lengths: dict[str, int], max_segments: int, idx: str = "idx", rows: int = 4096) -> DataFrame:
+
+def greedy_packs_global(df: DataFrame, lengths: dict[str, int], max_segments: int, idx: str = "idx", rows: int = 4096, fan: int = _FAN) -> DataFrame:
     """(idx, pack) of the greedy packing of a whole table with a dense idx, numbered from zero; the result of one ordered scan.
 
     Rows are cut into blocks of `rows`, of max_segments at least, with the first rows of the next block. Where the last pack
     of a block ends depends only on where its first one starts, at one of max_segments places: every block answers
-    for each of them, the answers are followed through the blocks (a short row each), and the blocks, told their
-    start, deal out their packs.
+    for each of them. Answers of neighbouring blocks compose to an answer of both, so they are composed `fan` at a time, level by
+    level, until one is left; the start is then handed down the levels again, and the blocks, told theirs, deal out their packs.
     """
     names, rows = list(lengths), max(rows, max_segments)
     placed = df.select(F.col(idx).alias("i"), *names).withColumn("block", F.explode(F.when((F.col("i") % rows < max_segments) & (F.col("i") >= rows), F.array(F.floor(F.col("i") / rows), F.floor(F.col("i") / rows) - 1)).otherwise(F.array(F.floor(F.col("i") / rows)))))
@@ -129,15 +146,25 @@ def greedy_packs_global(df: DataFrame, lengths: dict[str, int], max_segments: in
             leave[start], count[start] = (leave[after] if after < stop else after), (count[after] if after < stop else 0) + 1
         for k in range(stop, n + 1):
             leave[k] = k
+        # a start past the rows there are stays where it is and packs nothing
+        pad = [max(k - rows, 0) for k in range(n + 1, max_segments)]
         block = int(pdf["block"].iloc[0])
-        return pd.DataFrame({"block": [block], "leave": [[x - rows for x in leave[:max_segments]]], "packs": [count[:max_segments]]})
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, entry, before, found = pdf.sort_values("block"), 0, 0, []
+        return pd.DataFrame({"block": [block], "leave": [[max(x - rows, 0) for x in leave[:max_segments]] + pad], "packs": [count[:max_segments] + [0] * len(pad)]})
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        at, total = np.arange(max_segments), np.zeros(max_segments, np.int64)
+        for leave, packs in zip(pdf["leave"], pdf["packs"], strict=True):
+            total += np.asarray(packs)[at]
+            at = np.asarray(leave)[at]
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0]) // fan], "leave": [at.tolist()], "packs": [total.tolist()]})
+
+    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        entry, before, found = int(pdf["entry"].iloc[0]), int(pdf["before"].iloc[0]), []
         for block, leave, packs in pdf[["block", "leave", "packs"]].itertuples(index=False):
             found.append((block, entry, before))
-            before += packs[entry] if entry < len(packs) else 0
-            entry = max(leave[entry], 0) if entry < len(leave) else 0
+            entry, before = int(leave[entry]), before + int(packs[entry])
         return pd.DataFrame(found, columns=["block", "entry", "before"])
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,8 +175,21 @@ def greedy_packs_global(df: DataFrame, lengths: dict[str, int], max_segments: in
         packs = [before + k for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) for _ in range(a, b)]
         return pd.DataFrame({idx: pdf["i"].to_numpy()[entry : entry + len(packs)], "pack": packs})
 
-    answers = placed.groupBy("block").applyInPandas(exits, "block long, leave array<long>, packs array<long>")
-    entries = answers.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(follow, "block long, entry long, before long")
+    shape = "block long, leave array<long>, packs array<long>"
+    levels = [placed.groupBy("block").applyInPandas(exits, shape)]
+    blocks = df.agg(F.max(F.col(idx)).alias("last")).first()["last"]
+    blocks = 1 if blocks is None else blocks // rows + 1
+    while blocks > fan:
+        levels.append(levels[-1].groupBy(F.floor(F.col("block") / fan).alias("__up")).applyInPandas(compose, shape))
+        blocks = -(-blocks // fan)
+    entries = None
+    for level in reversed(levels):
+        given = level.withColumn("__up", F.floor(F.col("block") / fan))
+        if entries is None:
+            given = given.withColumn("entry", F.lit(0).cast("long")).withColumn("before", F.lit(0).cast("long"))
+        else:
+            given = given.join(entries.withColumnRenamed("block", "__up"), "__up")
+        entries = given.groupBy("__up").applyInPandas(hand_down, "block long, entry long, before long")
     return placed.join(entries, "block").groupBy("block").applyInPandas(deal, f"{idx} long, pack long")
 
 
@@ -201,5 +241,3 @@ def segment_mask(positions: DataFrame, source_length: str, by: list[str], pos: s
 
     inside = F.row_number().over(Window.partitionBy(*by).orderBy(pos)) - 1
     return positions.withColumn("mask", (inside >= F.col(source_length)).cast("int"))
-
-

@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.operators.indexing import ordered_index
+
 
 def map_rows(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns made of its own by expressions."""
@@ -78,7 +80,7 @@ def list_table(spark: SparkSession, values: list, schema: str) -> DataFrame:
 def dictionary(df: DataFrame, value: str, order: str, name: str = "id") -> DataFrame:
     """(value, id): distinct values, numbered by their first appearance in the order of `order`."""
     first = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("__first"))
-    return first.select(value, "__first").withColumn(name, F.row_number().over(Window.orderBy("__first")) - 1).drop("__first")
+    return ordered_index(first.select(value, "__first"), ("__first", value), name).drop("__first")
 
 
 def flat_leaves(df: DataFrame, key: str, *leaves: str) -> DataFrame:

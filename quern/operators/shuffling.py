@@ -27,7 +27,7 @@ def lcg(x: Column, n: int, a: int, b: int) -> Column:
     return ((F.lit(a).cast("decimal(19,0)") * x.cast("decimal(19,0)") + b) % F.lit(n).cast("decimal(19,0)")).cast("long")
 
 
-def feistel(x: Column, n: int, keys: list[int], walk: int = 64) -> Column:
+def feistel(x: Column, n: int, keys: list[int], walk: int = 1000) -> Column:
     """A Feistel network over the even number of bits that hold n - 1, walked until it falls below n."""
     half = max(1, -(-max(1, (n - 1).bit_length()) // 2))
     mask = (1 << half) - 1

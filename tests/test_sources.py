@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import tokens
+from quern.operators import shuffling
 from quern.sources import readers, store
 from quern.streaming import growing
 
@@ -95,14 +96,14 @@ def test_a_broken_build_goes_on(spark, tmp_path):
         return df.withColumn("ids", tokens.word_hash_ids(F.col("text"), 100)).drop("text")
 
     with pytest.raises(RuntimeError):
-        store.build_or_load(spark, path, source, lambda df: process(df, ["s2"]), {"v": 1}, groups=3)
+        store.build_or_load(spark, path, source, lambda df: process(df, ["s2"]), {"v": 1}, groups=3, at_once=1)
     half = store.read_ledger(spark, path)
     assert half["groups"] == [0] and not half["finished"] and store.exposed(spark, path).count() == 6
     with pytest.raises(FileNotFoundError):
         store.load(spark, path)
     with pytest.raises(ValueError, match="begun with"):
         store.build_or_load(spark, path, source, process, {"v": 2}, groups=3)
-    assert store.build_or_load(spark, path, source, process, {"v": 1}, groups=3).count() == 12
+    assert store.build_or_load(spark, path, source, process, {"v": 1}, groups=3, at_once=1).count() == 12
     assert seen == [["s0", "s1"], ["s2"], ["s3"]]
     ledger = store.read_ledger(spark, path)
     assert ledger["rows"] == 12 and store.ledger_metrics(ledger) == {"rows": 12, "shards": 4, "finished": 1, "fields/ids": 36}
@@ -162,11 +163,12 @@ def test_streams_equal_batches(spark, tmp_path):
         rows = [("a", 4 * k + i, list(range(10 * (4 * k + i), 10 * (4 * k + i) + 5))) for i in range(4)]
         flat += [t for r in rows for t in r[2]]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    for name, stream in (("chunks", lambda df: growing.chunk_stream(df, 8)), ("eras", lambda df: growing.era_stream(df, 5, 3, 1))):
+    for name, stream in (("chunks", lambda df: growing.chunk_stream(df, 8)), ("eras", lambda df: growing.era_stream(df, 5, 3))):
         source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
         q = stream(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
         q.awaitTermination(100)
     got = sorted((r.seq, r.tokens) for r in spark.table("chunks").collect())
     assert [s for s, _ in got] == list(range(len(flat) // 8)) and sum((t for _, t in got), [])  == flat[: len(flat) // 8 * 8]
     eras = sorted((r.idx, r.source_idx) for r in spark.table("eras").collect())
-    assert eras == [(5 * k + x, 5 * k + (3 * x + 1) % 5) for k in range(2) for x in range(5)]
+    by_era = {r.era: (r.a, r.b) for r in shuffling.era_parameters(spark, 12, 5, 3).collect()}
+    assert eras == [(5 * k + x, 5 * k + (by_era[k][0] * x + by_era[k][1]) % 5) for k in range(2) for x in range(5)]
