@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +22,17 @@ PROBE = "hi there"
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """make() gives an encoder, a function of a text to ids, in each task; bos and eos are texts and their ids."""
+    """make() gives an encoder, a function of a text to ids, in each task; bos and eos are texts and their ids.
+
+    spans() gives, in the same way, a function of a text to ids and each id's (begin, end) in characters; a tokenizer may lack it.
+    """
 
     name: str
     vocabulary: int
     make: Callable[[], Callable[[str], list[int]]]
     bos: tuple[str, int] | None = None
     eos: tuple[str, int] | None = None
+    spans: Callable[[], Callable[[str], tuple[list[int], list[tuple[int, int]]]]] | None = None
 
     def adds(self) -> tuple[bool, bool]:
         """Whether the encoder itself begins with bos and ends with eos, found by a probe."""
@@ -67,9 +74,20 @@ def from_file(path: str, bos: tuple[str, int] | None = None, eos: tuple[str, int
         loaded = Loaded.from_file(path)
         return lambda text: loaded.encode(text).ids
 
+    def spans():
+        from tokenizers import Tokenizer as Loaded
+
+        loaded = Loaded.from_file(path)
+
+        def both(text):
+            found = loaded.encode(text)
+            return found.ids, found.offsets
+
+        return both
+
     from tokenizers import Tokenizer as Loaded
 
-    return Tokenizer(path, Loaded.from_file(path).get_vocab_size(), make, bos, eos)
+    return Tokenizer(path, Loaded.from_file(path).get_vocab_size(), make, bos, eos, spans)
 
 
 @register("bytes")
@@ -78,6 +96,52 @@ def of_bytes() -> Tokenizer:
     return Tokenizer("bytes", 258, lambda: lambda text: list(text.encode("utf-8", "surrogatepass")), ("<s>", 256), ("</s>", 257))
 
 
+@register("words")
+def of_words(vocabulary: int) -> Tokenizer:
+    """The word-hash tokenizer with the places of its words; tokens.word_hash_ids() is its form without Python."""
+
+    def both(text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        found = list(re.finditer(r"[^ \t\n\r]+", text))
+        return [int(hashlib.md5(m[0].encode("utf-8", "surrogatepass")).hexdigest()[:7], 16) % vocabulary for m in found], [m.span() for m in found]
+
+    return Tokenizer("words", vocabulary, lambda: lambda text: both(text)[0], spans=lambda: both)
+
+
+def masked_by_spans(df: DataFrame, tok: Tokenizer, text: str = "text", spans: str = "spans", on_missing: str = "raise") -> DataFrame:
+    """df with ids and mask in place of text and spans: 1 for the tokens that have a character within one of the spans.
+
+    Rows without such a token raise, or are dropped with on_missing="drop".
+    """
+    if tok.spans is None:
+        raise ValueError(f"{tok.name} doesn't tell where its tokens are")
+
+    @F.pandas_udf("ids array<int>, mask array<int>")
+    def both(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        encoder = tok.spans()
+        for texts, wanted in batches:
+            ids, masks = [], []
+            for own, marked in zip(texts, wanted, strict=True):
+                found, places = encoder(own or "")
+                at = np.array(places, np.int64).reshape(-1, 2)
+                change = np.zeros(len(at) + 1, np.int64)
+                for span in marked if marked is not None else ():
+                    # tokens are in order: the first that ends after the span's begin, up to the first that begins at its end
+                    first, stop = np.searchsorted(at[:, 1], span["begin"], side="right"), np.searchsorted(at[:, 0], span["end"], side="left")
+                    if stop > first:
+                        change[first] += 1
+                        change[stop] -= 1
+                ids.append(found)
+                masks.append((np.cumsum(change)[:-1] > 0).astype(np.int32))
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "mask": pd.Series(masks, dtype=object)})
+
+    others = [c for c in df.columns if c not in (text, spans)]
+    out = df.select(*others, both(text, spans).alias("__both")).select(*others, "__both.ids", "__both.mask")
+    some = F.exists("mask", lambda x: x == 1)
+    if on_missing == "drop":
+        return out.where(some)
+    return out.withColumn("mask", F.when(some, F.col("mask")).otherwise(F.raise_error(F.lit("no assistant token"))))
+
+
 def split_long(text: Column, limit: int = LONG) -> Column:
     """Pieces of a text: while it is longer than limit, cut at the first white space at or after it; none there: the rest is one piece."""
     # limit characters, then up to the next white space, which begins the next piece

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are split where every engine agrees on white space.
@@ -42,3 +44,34 @@ def kept_right(ids: Column, length: int) -> Column:
 def byte_length(piece: Column) -> Column:
     """Bytes that a vocabulary entry stands for: one for <0xNN>, else its UTF-8 length."""
     return F.when(piece.rlike("^<0x[0-9A-Fa-f]{2}>$"), 1).otherwise(F.octet_length(piece))
+
+
+def vocabulary_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(token, entry, bytes) of a tokenizer.json: the bytes that each id stands for.
+
+    Special tokens have none, <0xNN> has one; of others it is what the id adds to a text that goes before it, since many
+    tokenizers drop blanks at the beginning.
+    """
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(path)
+    special = {k for k, added in loaded.get_added_tokens_decoder().items() if added.special}
+    probe = loaded.encode(".", add_special_tokens=False).ids[0]
+    before = len(loaded.decode([probe], skip_special_tokens=False).encode())
+
+    def size(token: int, entry: str) -> int:
+        if token in special:
+            return 0
+        if re.fullmatch("<0x[0-9A-Fa-f]{2}>", entry):
+            return 1
+        return len(loaded.decode([probe, token], skip_special_tokens=False).encode("utf-8", "surrogatepass")) - before
+
+    rows = [(k, entry, size(k, entry)) for entry, k in loaded.get_vocab().items()]
+    return spark.createDataFrame(rows, "token int, entry string, bytes int")
+
+
+def token_bytes(df: DataFrame, vocabulary: DataFrame, key: str, ids: str = "ids") -> DataFrame:
+    """(key, bytes): what each row's ids stand for; an id without an entry raises. The vocabulary, which a tokenizer bounds, is broadcast."""
+    each = df.select(key, F.explode(ids).alias("token")).join(F.broadcast(vocabulary.select("token", "bytes")), "token", "left")
+    known = F.when(F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("no entry for id "), F.col("token").cast("string"))).cast("int")).otherwise(F.col("bytes"))
+    return each.groupBy(key).agg(F.sum(known).cast("long").alias("bytes"))

@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.templates import Template
+from quern.functions.tokenizer import Tokenizer, masked_by_spans
 from quern.operators import indexing, mixing, packing, sequences, shuffling
 
 
@@ -29,9 +31,21 @@ class ChatFormat:
     mask_user_turns: bool = True
 
     def __post_init__(self):
-        if self.template is not None and self.mask_user_turns and "{% generation %}" not in self.template:
+        if self.template is not None and self.mask_user_turns and not Template(self.template).marks_generations:
             raise ValueError("a template that masks user turns must mark generations")
 
+    def tokens(self, df: DataFrame, tok: Tokenizer, constants: dict[str, object] | None = None, on_missing: str = "raise") -> DataFrame:
+        """df with ids and mask in place of its conversations: rendered by the template, 1 on what it marks as generated.
+
+        Where user turns aren't masked, every token counts.
+        """
+        if self.template is None:
+            raise ValueError("a chat format needs a template")
+        out = Template(self.template, tuple((constants or {}).items())).rendered(df, self.messages, "__text", "__spans")
+        if not self.mask_user_turns:
+            out = out.withColumn("__spans", F.array(F.struct(F.lit(0).alias("begin"), F.char_length("__text").alias("end"))))
+        return masked_by_spans(out.drop(self.messages), tok, "__text", "__spans", on_missing)
+
 
 @dataclass(frozen=True)
 class SupervisedFormat:

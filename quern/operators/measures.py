@@ -15,6 +15,31 @@ def corpus_sizes(df: DataFrame, group: str, tokens: str, length: int = 4096) ->
     return sums.withColumn("seqs", seqs).withColumn("truncated", F.try_divide(F.col("tokens") - seqs * length, seqs * length))
 
 
+def corpus_statistics(sizes: DataFrame, group: str, weights: dict[str, float] | None = None, length: int = 4096, sequences: str = "seqs") -> DataFrame:
+    """sizes (group, docs, tokens, sequences) with truncation or padding, and with weights: weight, normalized, and tokens an epoch of the mixture.
+
+    What sequences don't hold of the tokens is truncation, what they hold besides is padding, as shares of what they hold. A group without
+    a weight, or with none above zero, has no epoch. Tokens an epoch: those of the whole mixture until the group is used up.
+    """
+    held = F.col(sequences) * length
+    padding = 1 - F.try_divide(F.col("tokens"), held)
+    out = sizes.withColumn("truncation", F.when(padding < 0, -padding)).withColumn("padding", F.when(padding >= 0, padding))
+    if weights is None:
+        return out
+    total = sum(weights.values())
+    table = sizes.sparkSession.createDataFrame([(k, float(w), w / total) for k, w in weights.items()], f"{group} string, weight double, normalized double")
+    # a row a source of the mixture
+    out = out.join(F.broadcast(table), group, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).withColumn("normalized", F.coalesce("normalized", F.lit(0.0)))
+    return out.withColumn("tokens_per_epoch", F.try_divide(held, F.nullif(F.col("normalized"), F.lit(0.0))))
+
+
+def statistic_names(statistics: DataFrame, group: str, prefix: str = "data/stats/train") -> DataFrame:
+    """(name, value) of corpus_statistics(), nulls left out."""
+    values = [c for c in statistics.columns if c != group]
+    each = F.array(*(F.struct(F.concat_ws("/", F.lit(prefix), group, F.lit(c)).alias("name"), F.col(c).cast("double").alias("value")) for c in values))
+    return statistics.select(F.inline(each)).where("value is not null")
+
+
 def weighted_mean(value: str, weight: str):
     """The mergeable running mean; zero where nothing has weight."""
     return F.coalesce(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)), F.lit(0.0))
@@ -68,6 +93,17 @@ def averages(df: DataFrame, metric: str, value: str, n: str) -> DataFrame:
     return df.groupBy(metric).agg(F.avg(value).alias("macro"), (F.sum(F.col(value) * F.col(n)) / F.sum(n)).alias("micro"))
 
 
+def task_averages(results: DataFrame, counts: DataFrame, task: str = "task", metric: str = "metric", value: str = "value", n: str = "n") -> DataFrame:
+    """(metric, macro, micro, tasks) of results (task, metric, value), weighted by counts (task, n).
+
+    Left out are metrics that tell an error ("stderr" in the name) or an alias, tasks without a count, which are averages
+    themselves, and tasks without the metric. A metric that no task is left for has no row; micro is null where n adds up to nothing.
+    """
+    kept = results.where(~F.contains(F.col(metric), F.lit("stderr")) & (F.col(metric) != "alias") & F.col(value).isNotNull())
+    each = kept.join(counts.where(F.col(n).isNotNull()).select(task, n), task)
+    return each.groupBy(metric).agg(F.avg(value).alias("macro"), F.try_divide(F.sum(F.col(value) * F.col(n)), F.sum(n)).alias("micro"), F.count("*").alias("tasks"))
+
+
 def run_positions(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """df with run (number of the run of equal values within key) and run_pos (position in it)."""
     line = Window.partitionBy(key).orderBy(order)

@@ -29,6 +29,12 @@ def map_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInPandas(rows, schema)
 
 
+def map_batches_keyed(df: DataFrame, function: Callable[[pd.DataFrame, pd.Series], pd.DataFrame], schema: StructType | str, seed: int, idx: str = "idx", size: int = 128) -> DataFrame:
+    """map_batches() with a key for each row, from the seed and its index, so that what function draws doesn't depend on how rows are dealt."""
+    keyed = row_keys(df, seed, idx, "__key")
+    return map_batches(keyed, lambda batch: function(batch.drop(columns="__key"), batch["__key"]), schema, size)
+
+
 @dataclass
 class Chain:
     """Transforms in order, run as one plan; projections between batch functions are merged by the optimizer."""

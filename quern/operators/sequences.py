@@ -2,22 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.indexing import exclusive_sums
+#: Rows of a block: what one task has in memory at once.
+ROWS = 1024
 
 
-def concat_and_chunk(df: DataFrame, length: int, ids: str = "ids", idx: str = "idx") -> DataFrame:
+def _placed(df: DataFrame, ids: str, idx: str, rows: int) -> DataFrame:
+    """(__block, __i, __ids, __from): rows dealt by block of `rows` neighbours, with the tokens before their block.
+
+    Both what is counted and what is cut reads the same shuffle, so that ids are made and moved once.
+    """
+    dealt = df.select(F.floor(F.col(idx) / rows).alias("__block"), F.col(idx).alias("__i"), F.col(ids).alias("__ids")).repartition("__block")
+    # the last index is asked for so that the shuffle has the columns of the other side's, and is shared
+    totals = dealt.groupBy("__block").agg(F.sum(F.size("__ids")).alias("__t"), F.max("__i").alias("__last")).withColumn("__up", F.floor(F.col("__block") / 4096))
+    upper = totals.groupBy("__up").agg(F.sum("__t").alias("u"))
+    # a row for every 4096 blocks
+    above = upper.select("__up", (F.sum("u").over(Window.orderBy("__up")) - F.col("u")).alias("__above"))
+    inside = F.sum("__t").over(Window.partitionBy("__up").orderBy("__block")) - F.col("__t")
+    before = totals.withColumn("__inside", inside).join(above, "__up").select("__block", "__last", (F.col("__above") + F.col("__inside")).alias("__from"))
+    return dealt.join(before, "__block").where(F.col("__i") <= F.col("__last")).drop("__last")
+
+
+def concat_and_chunk(df: DataFrame, length: int, ids: str = "ids", idx: str = "idx", rows: int = ROWS) -> DataFrame:
     """(seq, tokens): sequence i holds tokens [i * length, (i + 1) * length) of all rows in order; the tail goes.
 
-    Each row sends one slice to every sequence that it overlaps, so arrays move and not single tokens.
+    A block of neighbouring rows gives all the sequences that lie within it; only what it has of the first and of the last one, which
+    it shares with its neighbours, is shuffled again and joined.
     """
-    placed = exclusive_sums(df.select(idx, ids).withColumn("__n", F.size(ids).cast("long")), "__n", "__from", idx)
-    first, last = F.floor(F.col("__from") / length), F.floor((F.col("__from") + F.col("__n") - 1) / length)
-    parts = placed.where("__n > 0").withColumn("seq", F.explode(F.sequence(first, last)))
-    at = F.greatest(F.col("seq") * length, F.col("__from"))
-    end = F.least((F.col("seq") + 1) * length, F.col("__from") + F.col("__n"))
-    parts = parts.select("seq", F.struct(at.alias("at"), F.slice(ids, (at - F.col("__from") + 1).cast("int"), (end - at).cast("int")).alias("part")).alias("p"))
-    whole = parts.groupBy("seq").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"])).alias("tokens"))
-    return whole.where(F.size("tokens") == length)
+
+    def flat(pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
+        own = [np.asarray(x, np.int32) for x in pdf.sort_values("__i")["__ids"] if x is not None and len(x)]
+        return int(pdf["__from"].iloc[0]), np.concatenate(own) if own else np.zeros(0, np.int32)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, tokens = flat(pdf)
+        first = -start % length
+        n = max(0, (len(tokens) - first) // length)
+        cut = tokens[first : first + n * length].reshape(n, length)
+        return pd.DataFrame({"seq": (start + first) // length + np.arange(n), "tokens": list(cut)})
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, tokens = flat(pdf)
+        first = min(-start % length, len(tokens))
+        rest = max(first, len(tokens) - (start + len(tokens)) % length)
+        parts = [(start, tokens[:first]), (start + rest, tokens[rest:])]
+        return pd.DataFrame([(at // length, at, x) for at, x in parts if len(x)], columns=["seq", "at", "part"])
+
+    blocks = _placed(df, ids, idx, rows).groupBy("__block")
+    shared = blocks.applyInPandas(ends, "seq long, at long, part array<int>")
+    joined = shared.groupBy("seq").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"])).alias("tokens"))
+    return blocks.applyInPandas(whole, "seq long, tokens array<int>").union(joined.where(F.size("tokens") == length))

@@ -7,6 +7,8 @@ import itertools
 import json
 import re
 import wave
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from os.path import commonprefix
 
 import numpy as np
@@ -17,6 +19,9 @@ from pyspark.sql.types import StructType
 
 from quern.operators.formats import single_turn
 
+#: Files that are looked into at once.
+_LOOKING = 16
+
 _RANGE = re.compile(r"\{(-?\d+)\.\.(-?\d+)\}")
 _FORMATS = {"jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "parquet": "parquet", "txt": "text"}
 
@@ -32,17 +37,16 @@ def expand(pattern: str) -> list[str]:
     return ["".join(x) for x in itertools.product(*choices)]
 
 
-def sniff(name: str, head: str = "") -> str:
-    """The format by the last two extensions; .json holds lines of objects, or one value, by its beginning."""
+def sniff(name: str, first_line: str = "") -> str:
+    """The format by the last two extensions; .json holds lines of objects if its first line is one, whole, else one value. What follows that line doesn't matter."""
     for part in reversed(name.rsplit("/", 1)[-1].split(".")[-2:]):
         kind = _FORMATS.get(part.lower())
-        if kind == "json" and head.lstrip().startswith("{"):
-            first, _, rest = head.lstrip().partition("\n")
+        if kind == "json" and first_line.lstrip().startswith("{"):
             try:
-                json.loads(first)
+                json.loads(first_line.lstrip().split("\n", 1)[0])
             except ValueError:
                 return "json"
-            return "jsonl" if rest.strip() else "json"
+            return "jsonl"
         if kind:
             return kind
     raise ValueError(f"unknown format: {name}")
@@ -50,6 +54,8 @@ def sniff(name: str, head: str = "") -> str:
 
 def shard_names(paths: list[str]) -> dict[str, str]:
     """Name of each shard: the path without the common beginning, dots as underscores; equal names raise."""
+    if not paths:
+        return {}
     start = len(commonprefix([p.rsplit("/", 1)[0] + "/" for p in paths]).rsplit("/", 1)[0]) + 1 if len(paths) > 1 else len(paths[0].rsplit("/", 1)[0]) + 1
     names = {}
     for p in paths:
@@ -61,16 +67,18 @@ def shard_names(paths: list[str]) -> dict[str, str]:
 
 
 def _listed(spark: SparkSession, path: str) -> list[str]:
-    """Full paths of the files that a pattern of the file system names; a folder's files come in its place."""
+    """Full paths of the files that a pattern of the file system names; a folder's files, at any depth, come in its place."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    for status in fs.globStatus(where) or []:
-        name = status.getPath().getName()
-        if name.startswith(("_", ".")):
+    found, left = [], list(fs.globStatus(where) or [])
+    while left:
+        status = left.pop()
+        if status.getPath().getName().startswith(("_", ".")):
             continue
-        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-        found += [x.getPath().toString() for x in inside if not x.getPath().getName().startswith(("_", "."))]
+        if status.isDirectory():
+            left += fs.listStatus(status.getPath())
+        else:
+            found.append(status.getPath().toString())
     return sorted(found)
 
 
@@ -85,33 +93,82 @@ def files(spark: SparkSession, pattern: str) -> list[str]:
     return out
 
 
-def head_of(spark: SparkSession, path: str, size: int = 4096) -> str:
-    """The beginning of a file, decompressed if its name says so."""
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file that isn't blank, however long, decompressed if its name says so; of a file that begins with [ that alone."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     conf = spark._jsc.hadoopConfiguration()
     codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
     stream = where.getFileSystem(conf).open(where)
     stream = codec.createInputStream(stream) if codec else stream
+    begun = b""
     try:
-        return bytes(stream.readNBytes(size)).decode("utf-8", "replace")
+        while chunk := bytes(stream.readNBytes(1 << 16)):
+            begun = (begun + chunk).removeprefix(b"\xef\xbb\xbf").lstrip()
+            if begun[:1] == b"[":
+                return "["
+            if b"\n" in begun:
+                break
+        return begun.split(b"\n", 1)[0].decode("utf-8", "replace")
     finally:
         stream.close()
 
 
-def read(spark: SparkSession, pattern: str, kind: str | None = None, columns: list[str] | None = None, schema: StructType | str | None = None) -> DataFrame:
-    """Rows of all files, with columns pushed into the scan; a missing column raises."""
-    paths = expand(pattern)
-    if kind is None:
-        first = files(spark, paths[0])[0]
-        kind = sniff(first, head_of(spark, first) if ".json" in first.lower() else "")
+def kinds_of(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Files by format, each by its own name and, where that leaves a choice, its own first line; several are looked into at once."""
+
+    def kind(path: str) -> str:
+        named = sniff(path)
+        return sniff(path, first_line(spark, path)) if named == "json" else named
+
+    out: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(_LOOKING) as pool:
+        for path, found in zip(paths, pool.map(kind, paths), strict=True):
+            out.setdefault(found, []).append(path)
+    return out
+
+
+def _read(spark: SparkSession, paths: list[str], kind: str, schema: StructType | str | None = None) -> DataFrame:
     reader = spark.read if schema is None or kind == "text" else spark.read.schema(schema)
     if kind == "parquet":
-        df = reader.parquet(*paths)
-    elif kind == "text":
-        df = spark.read.text(paths).select(F.concat("value", F.lit("\n")).alias("text"))
+        return reader.parquet(*paths)
+    if kind == "text":
+        return spark.read.text(paths).select(F.concat("value", F.lit("\n")).alias("text"))
+    return reader.option("multiLine", kind == "json").json(paths)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def read(spark: SparkSession, pattern: str, kind: str | None = None, columns: list[str] | None = None, schema: StructType | str | None = None) -> DataFrame:
+    """Rows of all files, with columns pushed into the scan; a missing column raises.
+
+    Every file is read by its own format; where there are several, columns meet by name, and are null where a format lacks them.
+    """
+    if kind is not None:
+        df = _read(spark, expand(pattern), kind, schema)
+        return df if columns is None else df.select(*columns)
+    kinds = kinds_of(spark, files(spark, pattern))
+    if len(kinds) == 1:
+        parts = [_read(spark, expand(pattern), next(iter(kinds)), schema)]
     else:
-        df = reader.option("multiLine", kind == "json").json(paths)
-    return df if columns is None else df.select(*columns)
+        parts = [_read(spark, [_escaped(p) for p in paths], k, schema) for k, paths in sorted(kinds.items())]
+    return _union(parts if columns is None else [p.select(*columns) for p in parts])
+
+
+def read_sharded(spark: SparkSession, pattern: str, schema: StructType | str | None = None) -> DataFrame:
+    """read(), with the name and the number of each row's file as shard and shard_idx."""
+    found = files(spark, pattern)
+    names = shard_names(found)
+    return _union([with_shards(_read(spark, [_escaped(p) for p in paths], k, schema), names) for k, paths in sorted(kinds_of(spark, found).items())])
+
+
+def _escaped(path: str) -> str:
+    """A path that stands for itself where patterns are understood."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def read_jsonl(spark: SparkSession, pattern: str, **options) -> DataFrame:
@@ -142,7 +199,11 @@ def read_supervised(spark: SparkSession, pattern: str, prompt: str = "prompt", r
 
 def read_chat(spark: SparkSession, pattern: str, messages: str = "messages", role: str = "role", content: str = "content", user: str = "user", assistant: str = "assistant") -> DataFrame:
     """messages: array of (role, content), with the names of roles that the formats expect; other columns stay."""
-    df = read(spark, pattern)
+    return with_roles(read(spark, pattern), messages, role, content, user, assistant)
+
+
+def with_roles(df: DataFrame, messages: str = "messages", role: str = "role", content: str = "content", user: str = "user", assistant: str = "assistant") -> DataFrame:
+    """df with messages of (role, content), whose roles have the names that the formats expect."""
     plain = F.transform(messages, lambda m: F.struct(F.when(m[role] == user, "user").when(m[role] == assistant, "assistant").otherwise(m[role]).alias("role"), m[content].alias("content")))
     return df.withColumn("messages", plain)
 
@@ -154,13 +215,36 @@ def read_chat_single_turn(spark: SparkSession, pattern: str, **names) -> DataFra
 
 def read_audio(spark: SparkSession, pattern: str) -> DataFrame:
     """path, rate, samples (first channel, -1 to 1) of 16-bit PCM wave files; other bytes give null samples."""
-
-    def rows(batches):
+    content = spark.read.format("binaryFile").load(expand(pattern)).select("path", "content")
+    return content.withColumn("__s", _sounds("content")).select("path", "__s.rate", "__s.samples")
+
+
+def read_audio_text(spark: SparkSession, pattern: str, audio: str = "audio", text: str = "sentence", files_at: str | None = None) -> DataFrame:
+    """text, rate, samples of records whose audio is a path, or a struct of path, or of array and sampling_rate.
+
+    Paths name wave files, below files_at if given; they are joined to the records by their names, so each file is read once.
+    """
+    records = read(spark, pattern)
+    kind = records.schema[audio].dataType
+    if isinstance(kind, StructType) and "array" in kind.fieldNames():
+        return records.select(F.col(text).alias("text"), F.col(f"{audio}.sampling_rate").cast("int").alias("rate"), F.col(f"{audio}.array").cast("array<float>").alias("samples"))
+    place = F.col(f"{audio}.path") if isinstance(kind, StructType) else F.col(audio)
+    place = F.concat(F.lit(f"{files_at.rstrip('/')}/"), place) if files_at else place
+    folder = files_at or pattern.rsplit("/", 1)[0]
+    sounds = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(folder)
+    named = sounds.select(_normal(F.col("path")).alias("__path"), "content")
+    wanted = records.select(F.col(text).alias("text"), _normal(place).alias("__path"))
+    return wanted.join(named, "__path", "left").withColumn("__s", _sounds("content")).select("text", "__s.rate", "__s.samples")
+
+
+def _sounds(content: str) -> Column:
+    @F.pandas_udf("rate int, samples array<float>")
+    def sounds(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [_wave(bytes(x)) for x in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "rate": pd.array([r for r, _ in found], "Int32"), "samples": pd.Series([x for _, x in found], dtype=object)})
+            found = [(None, None) if x is None else _wave(bytes(x)) for x in batch]
+            yield pd.DataFrame({"rate": pd.array([r for r, _ in found], "Int32"), "samples": pd.Series([x for _, x in found], dtype=object)})
 
-    return spark.read.format("binaryFile").load(expand(pattern)).select("path", "content").mapInPandas(rows, "path string, rate int, samples array<float>")
+    return sounds(content)
 
 
 def _wave(content: bytes) -> tuple[int | None, np.ndarray | None]:
@@ -174,12 +258,6 @@ def _wave(content: bytes) -> tuple[int | None, np.ndarray | None]:
         return None, None
 
 
-def resampled(samples: np.ndarray, rate: int, wanted: int) -> np.ndarray:
-    """Samples at another rate, linearly between neighbours."""
-    n = int(len(samples) * wanted / rate)
-    return np.interp(np.arange(n) * rate / wanted, np.arange(len(samples)), samples).astype(np.float32)
-
-
 def synthetic_tokens(spark: SparkSession, n: int, length: int, vocabulary: int, seed: int = 0) -> DataFrame:
     """idx and `length` ids each, drawn from a hash of seed, row and position."""
     ids = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda k: F.pmod(F.xxhash64(F.lit(seed), "id", k), F.lit(vocabulary)).cast("int"))

@@ -5,7 +5,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import tokens
+from quern.functions import audio, tokens
 from quern.operators import shuffling
 from quern.sources import readers, store
 from quern.streaming import growing
@@ -61,6 +61,32 @@ def test_json_by_content_and_equal_base_names(spark, tmp_path):
         readers.files(spark, f"{tmp_path}/none*")
 
 
+def test_no_row_is_lost_by_long_lines_or_mixed_formats(spark, tmp_path):
+    line = lambda n, size=3: json.dumps({"n": n, "text": "x" * size})
+    (tmp_path / "long").mkdir()
+    (tmp_path / "long" / "a.json").write_text("\n".join([line(0, 200_000), *(line(k) for k in range(1, 10))]))
+    assert sorted(r.n for r in readers.read(spark, f"{tmp_path}/long/*.json").collect()) == list(range(10))
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    (mixed / "a.json").write_text(line(0))
+    (mixed / "b.json").write_text("\n\n" + "\n".join(line(k) for k in range(1, 6)))
+    (mixed / "c.json").write_text("[" + line(6) + ",\n" + line(7) + "]")
+    (mixed / "d.json").write_text(json.dumps({"n": 8, "text": "y"}, indent=1))
+    (mixed / "e [1].jsonl").write_text(line(9))
+    with gzip.open(mixed / "f.json.gz", "wt") as f:
+        f.write(line(10, 100_000) + "\n" + line(11))
+    (mixed / "empty.json").write_text("")
+    spark.createDataFrame([(12, 1.5), (13, None)], "n long, score double").coalesce(1).write.parquet(f"{mixed}/g.parquet")
+    got = readers.read(spark, f"{mixed}/*")
+    assert sorted(r.n for r in got.collect()) == list(range(14)) and set(got.columns) >= {"n", "text", "score"}
+    assert sorted(r.n for r in readers.read(spark, str(mixed), columns=["n"]).collect()) == list(range(14))
+    sharded = readers.read_sharded(spark, f"{mixed}/*")
+    assert {r.shard: r["count"] for r in sharded.groupBy("shard").count().collect() if r.shard.startswith(("b", "e"))} == {"b_json": 5, "e [1]_jsonl": 1}
+    assert sharded.count() == 14 and readers.shard_names([]) == {}
+    with pytest.raises(Exception, match="score"):
+        readers.read(spark, f"{mixed}/*", columns=["score"])
+
+
 def test_other_sources(spark, tmp_path):
     import wave
 
@@ -74,7 +100,7 @@ def test_other_sources(spark, tmp_path):
     (tmp_path / "b.wav").write_bytes(b"nothing")
     got = {r.path[-5:]: (r.rate, r.samples) for r in readers.read_audio(spark, f"{tmp_path}/*.wav").collect()}
     assert got == {"a.wav": (8000, [0.0, 0.5, -1.0]), "b.wav": (None, None)}
-    assert readers.resampled(np.array([0, 1, 2, 3], np.float32), 2, 4).tolist() == [0, 0.5, 1, 1.5, 2, 2.5, 3, 3]
+    assert audio.resampled(np.array([0, 1, 2, 3], np.float32), 2, 4).tolist() == [0, 0.5, 1, 1.5, 2, 2.5, 3, 3]
     (tmp_path / "hub" / "en").mkdir(parents=True)
     (tmp_path / "hub" / "en" / "train-0.jsonl").write_text('{"q": "x", "a": "y"}')
     assert readers.read_hub(spark, f"{tmp_path}/hub", "en").count() == 1 and readers.read_hub(spark, f"{tmp_path}/hub", "en", "validation") is None
