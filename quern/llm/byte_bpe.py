@@ -1,11 +1,11 @@
 """Byte-level BPE by a file of ranks: distinct words are folded by higher-order functions over a literal table.
 
 Texts are cut into words by a pattern; a word that is a token itself is done, any other starts as its bytes and is merged
-step by step, the pair of the lowest rank first and of those the leftmost. A task numbers the distinct words of about
-BATCH_BYTES of text and keeps the texts as numbers; a row then holds these words once, and the fold runs over them
-in the JVM, without a shuffle. A token is one character of a string there (FIRST plus its id), so that a pair is a substring of two and
-a merge an overlay. The literal table has, dealt to buckets by XXH64, the token of every pair that makes one, and the
-bytes of every token. Decoding concatenates the bytes of the ids.
+step by step, the pair of the lowest rank first and of those the leftmost. A task numbers its distinct words as they come and
+keeps the texts as numbers; for about BATCH_CHARS of text a row holds the words that are new, and the fold runs over them
+in the JVM, without a shuffle. So a word is folded once a task (once in KEPT words, after which a task begins anew). A token is one
+character of a string there (FIRST plus its id), so that a pair is a substring of two and a merge an overlay. The literal
+table has, dealt to buckets by XXH64, the token of every pair that makes one. Decoding concatenates the bytes of the ids.
 
 The fold takes time with the square of a word's length: words of over LONG bytes are merged by a heap instead, to the same
 ids. Null and empty texts have no ids. Repeated rows and rows without an id take part; an empty table gives an empty result. Columns
@@ -20,6 +20,7 @@ import heapq
 import json
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,11 @@ FIRST = 0x10000
 #: Buckets of the literal table, a power of two.
 BUCKETS = 1 << 16
 LONG = 256
-BATCH_BYTES = 32 << 20
+BATCH_CHARS = 4 << 20
+#: Words that a task remembers.
+KEPT = 1_000_000
+#: Parts of the input that a task takes where there are enough for all: the more it reads, the fewer words are folded twice.
+PARTS_A_TASK = 3
 _DONE = " "
 
 
@@ -97,7 +102,6 @@ class _Table:
             buckets[xxhash.xxh64_intdigest(key.encode(), 42) % BUCKETS][key] = value
 
         for token, rank in ranks.items():
-            put(one(rank), token.decode("latin-1"))
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
@@ -108,7 +112,7 @@ class _Table:
 
     @staticmethod
     def found(table: Column, key: Column) -> Column:
-        return F.try_element_at(F.get(table, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")), key)
+        return F.try_element_at(F.get(table, F.xxhash64(key).bitwiseAND(BUCKETS - 1)), key)
 
     def folded(self, table: Column, word: Column) -> Column:
         """The tokens of a word, a character each."""
@@ -125,74 +129,69 @@ class _Table:
             return F.when(F.startswith(state, F.lit(_DONE)) | (F.char_length(state) < 2), state).otherwise(_let(pairs, merge))
 
         singles = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), self.bytes_, self.singles)
-        return F.ltrim(F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), singles, step))
-
-    def unfolded(self, table: Column, tokens: Column) -> Column:
-        """The bytes of a word's tokens."""
-        return F.encode(F.array_join(F.transform(F.split(tokens, ""), lambda t: self.found(table, t)), ""), "ISO-8859-1")
+        return F.ltrim(F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), singles, step))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], pattern: str, ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """A row for about BATCH_BYTES of text: its ids, each text's words as numbers, the distinct words and which of them are to be folded."""
+    """A row for about BATCH_CHARS of text: its ids, each text's words as numbers, and the words that are new, from the number `first` on.
+
+    fold has the new words that are to be folded; `first` is zero where numbers begin anew.
+    """
     find = regex.compile(pattern).findall
     number: defaultdict[str, int] = defaultdict()
     number.default_factory = number.__len__
     ids: list = []
     numbers: list[np.ndarray] = []
-    size, kind = 0, None
+    size, told, kind = 0, 0, None
+    text = pa.list_(pa.string())
 
     def row() -> pa.RecordBatch:
-        words = list(number)
-        coded = [w.encode("utf-8", "surrogatepass") for w in words]
-        fold = [w if len(b) <= LONG and b not in ranks else None for w, b in zip(words, coded, strict=True)]
+        words = list(islice(number, told, None))
+        coded = (w.encode("utf-8", "surrogatepass") for w in words)
+        fold = [w if 1 < len(b) <= LONG and b not in ranks else None for w, b in zip(words, coded, strict=True)]
         sizes = np.array([len(x) for x in numbers], np.int64)
-        text = pa.list_(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(kind)), pa.array([sizes.tobytes()]), pa.array([np.concatenate(numbers).tobytes()]), pa.array([words], text), pa.array([fold], text)], ["ids", "sizes", "numbers", "words", "fold"])
+        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(kind)), pa.array([told], pa.int64()), pa.array([sizes.tobytes()]), pa.array([np.concatenate(numbers).tobytes()]), pa.array([[None if f else w for w, f in zip(words, fold, strict=True)]], text), pa.array([fold], text)], ["ids", "first", "sizes", "numbers", "words", "fold"])
 
     for batch in batches:
         kind = batch.schema.field("id").type
-        for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            found = find(text)
+        for doc_id, body in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+            body = body.as_py()
+            found = find(body)
             ids.append(doc_id)
             numbers.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
-            size += len(text)
-            if size > BATCH_BYTES:
+            size += len(body)
+            if size > BATCH_CHARS:
                 yield row()
-                number.clear()
-                ids, numbers, size = [], [], 0
+                if len(number) > KEPT:
+                    number.clear()
+                ids, numbers, size, told = [], [], 0, len(number)
     if ids:
         yield row()
 
 
 def _coded(df: DataFrame, path: str, pattern: str, text: str, doc_id: str) -> tuple[DataFrame, T.DataType, dict[bytes, int]]:
-    """The rows of _numbered with the folded words' tokens and, from these, their bytes; the type of the ids; the ranks."""
+    """The rows of _numbered with the folded words' tokens; the type of the ids; the ranks."""
     ranks = ranks_of(path)
     table = _Table(ranks)
     docs = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    parts = docs.rdd.getNumPartitions()
+    docs = docs.coalesce(max(parts // PARTS_A_TASK, min(parts, 2 * df.sparkSession.sparkContext.defaultParallelism), 1))
     kind = docs.schema["id"].dataType
     words = T.ArrayType(T.StringType())
-    schema = T.StructType().add("ids", T.ArrayType(kind)).add("sizes", T.BinaryType()).add("numbers", T.BinaryType()).add("words", words).add("fold", words)
+    schema = T.StructType().add("ids", T.ArrayType(kind)).add("first", T.LongType()).add("sizes", T.BinaryType()).add("numbers", T.BinaryType()).add("words", words).add("fold", words)
     rows = docs.mapInArrow(lambda batches: _numbered(batches, pattern, ranks), schema)
     tokens = _let(table.literal, lambda t: F.transform("fold", lambda w: F.when(w.isNotNull(), table.folded(t, w))))
-    coded = rows.withColumn("tokens", tokens).drop("fold")
-    whole = _let(table.literal, lambda t: F.transform("tokens", lambda x: F.when(x.isNotNull(), table.unfolded(t, x))))
-    return coded.withColumn("bytes", whole), kind, ranks
+    return rows.withColumn("tokens", tokens).drop("fold"), kind, ranks
 
 
-def _texts(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[tuple[pa.Array, list[list[int]], list[bytes], list[np.ndarray]]]:
-    """For each row of _coded: the texts' ids, the words' token ids and bytes, and the words of each text by number."""
-    pieces = {rank: token for token, rank in ranks.items()}
+def _texts(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[tuple[pa.Array, int, list[list[int]], list[np.ndarray]]]:
+    """For each row of _coded, in the order of the task's rows: the texts' ids, the number of the first new word, the token ids of new words, and the words of each text."""
     for batch in batches:
         for k in range(batch.num_rows):
-            word, tokens, whole = (batch.column(name)[k].as_py() for name in ("words", "tokens", "bytes"))
-            for at, code in enumerate(tokens):
-                if code is None:
-                    tokens[at] = merged(word[at].encode("utf-8", "surrogatepass"), ranks)
-                    whole[at] = b"".join(map(pieces.__getitem__, tokens[at]))
-                else:
-                    tokens[at] = [ord(c) - FIRST for c in code]
+            first, words, tokens = (batch.column(name)[k].as_py() for name in ("first", "words", "tokens"))
+            found = [[ord(c) - FIRST for c in code] if word is None else merged(word.encode("utf-8", "surrogatepass"), ranks) for word, code in zip(words, tokens, strict=True)]
             sizes, numbers = (np.frombuffer(batch.column(name)[k].as_py(), kind) for name, kind in (("sizes", np.int64), ("numbers", np.int32)))
-            yield batch.column("ids")[k].values, tokens, whole, np.split(numbers, np.cumsum(sizes)[:-1])
+            yield batch.column("ids")[k].values, first, found, np.split(numbers, np.cumsum(sizes)[:-1])
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -200,14 +199,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", doc_id: s
     rows, kind, ranks = _coded(df, path, pattern, text, doc_id)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tokens, _, texts in _texts(batches, ranks):
-            sizes = np.array([len(x) for x in tokens], np.int64)
-            flat = np.fromiter((t for x in tokens for t in x), np.int32, int(sizes.sum()))
-            starts = np.cumsum(sizes) - sizes
-            found = []
-            for words in texts:
-                ends = np.cumsum(sizes[words])
-                found.append(flat[np.repeat(starts[words] - (ends - sizes[words]), sizes[words]) + np.arange(ends[-1] if len(ends) else 0)])
+        known: list[np.ndarray] = []
+        for ids, first, new, texts in _texts(batches, ranks):
+            del known[first:]
+            known += [np.array(x, np.int32) for x in new]
+            none = np.zeros(0, np.int32)
+            found = [np.concatenate([none, *map(known.__getitem__, words.tolist())]) for words in texts]
             yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int32()))], ["doc_id", "token_ids"])
 
     return rows.mapInArrow(out, T.StructType().add("doc_id", kind).add("token_ids", T.ArrayType(T.IntegerType())))
@@ -229,15 +226,21 @@ def digest(df: DataFrame, path: str, pattern: str, text: str = "text", doc_id: s
     rows, kind, ranks = _coded(df, path, pattern, text, doc_id)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tokens, whole, texts in _texts(batches, ranks):
-            sizes = np.array([len(x) for x in tokens], np.int64)
-            joined = [",".join(map(str, x)).encode() for x in tokens]
-            counts, listed, decoded = [], [], []
+        pieces = {rank: token for token, rank in ranks.items()}
+        listed: list[bytes] = []
+        decoded: list[bytes] = []
+        sizes = np.zeros(0, np.int32)
+        for ids, first, new, texts in _texts(batches, ranks):
+            del listed[first:], decoded[first:]
+            listed += [",".join(map(str, x)).encode() for x in new]
+            decoded += [b"".join(map(pieces.__getitem__, x)) for x in new]
+            sizes = np.concatenate([sizes[:first], np.array([len(x) for x in new], np.int32)])
+            counts, of_ids, of_bytes = [], [], []
             for words in texts:
                 own = words.tolist()
                 counts.append(int(sizes[words].sum()))
-                listed.append(hashlib.sha256(b",".join(map(joined.__getitem__, own))).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(whole.__getitem__, own))).hexdigest())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(listed), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                of_ids.append(hashlib.sha256(b",".join(map(listed.__getitem__, own))).hexdigest())
+                of_bytes.append(hashlib.sha256(b"".join(map(decoded.__getitem__, own))).hexdigest())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(out, T.StructType().add("doc_id", kind).add("n_tokens", T.LongType()).add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType()))

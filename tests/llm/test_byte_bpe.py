@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -37,18 +38,26 @@ def test_ids_equal_the_librarys(spark, library):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in sums) == sorted(summed(r[0], r[1]) for r in rows)
 
 
-def test_small_batches_and_empty_table(spark, library):
+def test_small_batches_and_empty_table(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"text number {i} " * 20) for i in range(40)], "doc_id long, text string").coalesce(1)
     ranks = byte_bpe.ranks_of(PATH)
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_pandas(df.withColumnRenamed("doc_id", "id").toPandas())
-    before, byte_bpe.BATCH_BYTES = byte_bpe.BATCH_BYTES, 1000
-    try:
+    monkeypatch.setattr(byte_bpe, "BATCH_CHARS", 1000)
+    for kept in (10, 1_000_000):
+        monkeypatch.setattr(byte_bpe, "KEPT", kept)
         cut = list(byte_bpe._numbered(iter([batch]), PATTERN, ranks))
-    finally:
-        byte_bpe.BATCH_BYTES = before
-    assert len(cut) > 5 and [i for b in cut for i in b.column("ids")[0].as_py()] == list(range(40))
+        assert len(cut) > 5 and [i for b in cut for i in b.column("ids")[0].as_py()] == list(range(40))
+        # the numbers of all rows, looked up in the words told so far, give the texts again
+        words, texts = [], []
+        for b in cut:
+            first = b.column("first")[0].as_py()
+            assert first == len(words) or (kept == 10 and first == 0)
+            words[first:] = [w or f for w, f in zip(b.column("words")[0].as_py(), b.column("fold")[0].as_py())]
+            sizes, numbers = np.frombuffer(b.column("sizes")[0].as_py(), np.int64), np.frombuffer(b.column("numbers")[0].as_py(), np.int32)
+            texts += ["".join(words[n] for n in own) for own in np.split(numbers, np.cumsum(sizes)[:-1])]
+        assert texts == batch.column("text").to_pylist()
     assert byte_bpe.digest(df.where("false"), PATH, PATTERN).count() == 0
     assert byte_bpe.encode(df.where("false"), PATH, PATTERN).count() == 0
 
