@@ -10,11 +10,12 @@ def test_pipeline(spark, tmp_path):
     rng = random.Random(6)
     prose = lambda: " ".join("".join(rng.choices("abcdeghilmnorstu", k=rng.randrange(2, 8))) for _ in range(120))
     item = prose()[:180]
-    base, near = prose(), None
+    base = prose()
     near = base.split()
-    near[60] = "changed"
+    near[40], near[80] = "changed", "again"
+    near = " ".join(near)  # 10 of 116 shingles differ on each side: a similarity of 0.84
     secret = prose() + " token=abcdefabcdefabcdef0123 end"
-    rows = [(1, base), (2, base), (3, base), (3, base), (4, prose() + " " + item + " " + prose()), (5, secret), (6, "too short"), (7, ""), (8, None), (9, "the the the " * 60), (10, prose()), (None, prose()), (12, "### %%% " * 100)]
+    rows = [(1, base), (2, base), (3, base), (3, base), (13, near), (4, prose() + " " + item + " " + prose()), (5, secret), (6, "too short"), (7, ""), (8, None), (9, "the the the " * 60), (10, prose()), (None, prose()), (12, "### %%% " * 100)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

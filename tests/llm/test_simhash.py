@@ -84,3 +84,27 @@ def test_first_of_each_by_five_words(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
+
+
+def test_near_copies_down_to_the_similarity_go(spark):
+    rng = random.Random(8)
+    common = ["the", "of", "and", "to", "in", "a", "is"] * 6
+    word = lambda: rng.choice(common) if rng.random() < 0.3 else "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9)))
+    rows, pairs = [], {}
+    for k in range(240):
+        own = [word() for _ in range(rng.choice((60, 120, 200, 400)))]
+        near = list(own)
+        changes = max(1, int(len(own) * rng.choice((0.004, 0.01, 0.018, 0.021))))
+        for at in rng.sample(range(4, len(own) - 4), changes):
+            near[at] = word() + "x"
+        a, b = (set(zip(*(w[i:] for i in range(5)))) for w in (own, near))
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs[1000 + k] = len(a & b) / len(a | b)
+        rows += [(k, " ".join(own)), (1000 + k, " ".join(near))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, wide string").repartition(5)
+    kept = [r.doc_id for r in simhash.first_of_each(df).collect()]
+    assert len(kept) == len(set(kept)) and set(range(240)) <= set(kept)
+    gone = [pairs[d] for d in pairs if d not in kept]
+    hard = [s for s in pairs.values() if s < 0.87]
+    assert len(hard) > 30 and sum(s < 0.87 for s in gone) >= 0.9 * len(hard)
+    assert len(gone) >= 0.95 * len(pairs) and all(1000 + k in kept for k in range(240) if 1000 + k not in pairs)
