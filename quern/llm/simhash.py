@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import components, maybe_among, stage, unstage
-from quern.llm.passages import shingles
+from quern.llm.passages import forget_words, shingles
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -180,6 +180,7 @@ def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             # 32 bits are enough within one pair
             yield pd.Series([np.unique(shingles(t or "").astype(np.uint32)).view(np.int32) for t in batch], dtype=object)
+        forget_words()
 
     wanted = texts.where(maybe_among(nodes, "node")).join(nodes, "node", "left_semi")
     own = stage(wanted.select("node", marks("text").alias("marks")), "marks")
