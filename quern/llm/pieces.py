@@ -30,8 +30,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_CHARS_AT_ONCE = 1 << 21
-_UNITS_KEPT = 400_000
+_CHARS_AT_ONCE = 1 << 19
+_UNITS_KEPT = 250_000
 
 
 def load_model(path: str = DEFAULT_MODEL) -> dict:
