@@ -2,9 +2,9 @@
 
 A rule is a condition on a text's measures that rejects it. On a bounded random sample every rule's cost (time
 of evaluating it alone, less that of a job that reads the sample only) and selectivity (share of rows rejected)
-are estimated; rules are then chained in descending order of rejections per cost in one CASE expression. A measure
-stands inside the branch of the rule that asks for it, so rules after the first that holds cost nothing; only
-measures that the caller keeps are computed for every row. A rule may have a guard, a cheaper condition without
+are estimated; rules are then chained in descending order of rejections per cost in nested CASE expressions. A measure
+is bound inside the branch of the first rule that asks for it and serves those after it, so rules after the first that holds
+cost nothing and no measure is computed twice; only measures that the caller keeps are computed for every row. A rule may have a guard, a cheaper condition without
 which it cannot hold. Order and guards change the time only: the verdict is that of the conjunction.
 
 Null and empty texts have no words and fail. Repeated rows are judged one by one, other columns pass
@@ -20,10 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE, text_or_empty, words_of
+from quern.llm.common import SPACE, SPACE_CLASS, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PREFIX = "__quality_"
 
 
@@ -51,20 +50,29 @@ RULES = (
 )
 
 
-def _removed(text: Column, characters: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+def _without(text: Column, characters: str) -> Column:
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
+def _count(text: Column, characters: str) -> Column:
+    """Characters of a class, given as inside of brackets."""
+    return F.regexp_count(text, F.lit(f"[{characters}]")).cast("long")
 
 
 def _shift(name: str, value: Column, by: Column) -> Column:
     return F.call_function(name, value, by)
 
 
-def _window_keys(hashes: Column, n: Column, bits: Column) -> Column:
-    """A number for each 3-word window: its hash, with the low bits replaced by its position."""
-    return F.transform(
-        F.slice(hashes, 1, F.greatest(n - 2, F.lit(0)).cast("int")),
-        lambda h, i: _shift("shiftleft", _shift("shiftright", F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)), bits), bits).bitwiseOR(i.cast("long")),
-    )
+def _windows(words: Column) -> Column:
+    """A hash of each 3-word window."""
+    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+
+
+def _window_keys(windows: Column, bits: Column) -> Column:
+    """A number for each window: its hash, with the low bits replaced by its position."""
+    return F.transform(windows, lambda h, i: _shift("shiftleft", _shift("shiftright", h, bits), bits).bitwiseOR(i.cast("long")))
 
 
 def _repeated_positions(keys: Column, bits: Column) -> Column:
@@ -86,50 +94,94 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _repeat_words(words: Column) -> Column:
-    def of_hashes(hashes: Column) -> Column:
-        n = F.size(hashes).cast("long")
-        bits = F.coalesce(F.length(F.bin(n)), F.lit(1)).cast("int")
-        return _let(F.sort_array(_window_keys(hashes, n, bits)), lambda keys: _let(_repeated_positions(keys, bits), _covered))
+def _repeat_words(windows: Column) -> Column:
+    """Words in windows whose hash is there twice or more."""
 
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
+    def covered(twice: Column) -> Column:
+        bits = F.coalesce(F.length(F.bin(F.size(windows).cast("long"))), F.lit(1)).cast("int")
+        few = F.filter(F.transform(windows, lambda h, i: F.when(F.array_contains(twice, h), i.cast("long"))), lambda p: p.isNotNull())
+        many = _let(F.sort_array(_window_keys(windows, bits)), lambda keys: _repeated_positions(keys, bits))
+        # a few hashes are looked for one by one; where there are more, a sort brings equal ones together
+        return F.when(F.size(twice) == 0, F.lit(0).cast("long")).otherwise(_let(F.when(F.size(twice) <= FEW, few).otherwise(many), _covered))
 
+    repeated = lambda hashes: F.array_distinct(F.filter(hashes, lambda h, i: h == F.get(hashes, i - 1)))
+    return _let(_let(F.sort_array(windows), repeated), covered)
 
-def _same_windows(words: Column) -> Column:
-    """Windows of three words less the distinct ones."""
-    windows = lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
-    return _let(words, lambda ws: _let(windows(ws), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")))
 
+def _trimmed(parts: Column) -> Column:
+    """Parts of a text split at white space, without the empty ones at its ends."""
+    left, right = (F.when(end == "", 1).otherwise(0) for end in (F.get(parts, F.lit(0)), F.get(parts, F.size(parts) - 1)))
+    return F.slice(parts, left + 1, F.greatest(F.size(parts) - left - right, F.lit(0)))
 
-def measure(name: str, text: Column) -> Column:
-    """A measure of a text that isn't null."""
-    words, lines = words_of(text), F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+
+def _repeated(items: Column) -> Column:
+    return (F.size(items) - F.size(F.array_distinct(items))).cast("long")
+
+
+#: What measures are made of, besides the text.
+PARTS = {"n_words": "words", "windows": "words", "n_repeat_words": "windows", "n_same_windows": "windows", "n_lines": "lines", "n_dup_lines": "lines"}
+#: Up to so many repeated hashes are looked for one by one.
+FEW = 16
+
+
+def _made(name: str, text: Column, of: Column | None) -> Column:
+    """A measure, or what several are made of, from a text that isn't null and from its part."""
     made = {
-        "n_words": lambda: F.size(words).cast("long"),
-        "n_repeat_words": lambda: _repeat_words(words),
-        "n_same_windows": lambda: _same_windows(words),
-        "word_chars": lambda: F.length(F.translate(text, SPACE, "")).cast("long"),
-        "n_symbols": lambda: _removed(text, SYMBOLS),
-        "n_capitals": lambda: _removed(text, CAPITALS),
-        "n_exclamations": lambda: _removed(text, "!"),
-        "n_lines": lambda: F.size(lines).cast("long"),
-        "n_dup_lines": lambda: _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+        "words": lambda: _let(F.split(text, SPACE_CLASS), _trimmed),
+        "windows": lambda: _windows(of),
+        "lines": lambda: F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""),
+        "n_words": lambda: F.size(of).cast("long"),
+        "n_repeat_words": lambda: _repeat_words(of),
+        "n_same_windows": lambda: _repeated(of),
+        "word_chars": lambda: F.length(_without(text, SPACE)).cast("long"),
+        "n_symbols": lambda: _count(text, SYMBOLS),
+        "n_capitals": lambda: _count(text, "A-Z"),
+        "n_exclamations": lambda: (F.length(text) - F.length(_without(text, "!"))).cast("long"),
+        "n_lines": lambda: F.size(of).cast("long"),
+        "n_dup_lines": lambda: _repeated(of),
     }
     return made[name]()
 
 
-def _holds(needs: Sequence[str], condition: Callable[[Mapping[str, Column]], Column], text: Column, given: Sequence[str]) -> Column:
-    """The condition over measures: columns of PREFIX for those given, others made in place."""
-    bound = F.struct(*((F.col(PREFIX + x) if x in given else measure(x, text)).alias(x) for x in needs))
-    return _let(bound, lambda m: condition({x: m[x] for x in needs}))
+def _bound(names: Sequence[str], text: Column, known: Mapping[str, Column], body: Callable[[Mapping[str, Column]], Column]) -> Column:
+    """body of known and the measures named; those that aren't known, and what they are made of, are computed once."""
+    name = next((x for x in names if x not in known), None)
+    if name is None:
+        return body(known)
+    part = PARTS.get(name)
+    if part is not None and part not in known:
+        return _bound((part, *names), text, known, body)
+    return _let(_made(name, text, known.get(part)), lambda value: _bound(names, text, {**known, name: value}, body))
 
 
-def rejects(rule: Rule, text: Column, given: Sequence[str] = ()) -> Column:
-    """Whether a rule rejects a text that isn't null. A guard is of use only where the rule's own measures aren't given."""
-    verdict = _holds(rule.needs, rule.reject, text, given)
-    if rule.guard is None or set(rule.needs) <= set(given):
-        return verdict
-    return F.when(_holds(rule.guard_needs, rule.guard, text, given), verdict).otherwise(F.lit(False))
+def measure(name: str, text: Column) -> Column:
+    """A measure of a text that isn't null."""
+    return _bound((name,), text, {}, lambda m: m[name])
+
+
+def _verdict(ordered: Sequence[Rule], text: Column, known: Mapping[str, Column]) -> Column:
+    """The name of the first rule that rejects a text that isn't null; null if none does.
+
+    A measure is bound by the first rule that asks for it, for itself and for all after it. What only follows a
+    guard is bound in the guard's branch.
+    """
+    if not ordered:
+        return F.lit(None).cast("string")
+    rule, rest = ordered[0], ordered[1:]
+    own = F.lit(rule.name)
+    if rule.guard is None or set(rule.needs) <= set(known):
+        return _bound(rule.needs, text, known, lambda m: F.when(rule.reject(m), own).otherwise(_verdict(rest, text, m)))
+
+    def guarded(m: Mapping[str, Column]) -> Column:
+        held = F.when(rule.guard(m), _bound(rule.needs, text, m, rule.reject)).otherwise(F.lit(False))
+        return F.when(held, own).otherwise(_verdict(rest, text, m))
+
+    return _bound(rule.guard_needs, text, known, guarded)
+
+
+def rejects(rule: Rule, text: Column) -> Column:
+    """Whether a rule rejects a text that isn't null."""
+    return _verdict((rule,), text, {}).isNotNull()
 
 
 def _seconds(df: DataFrame, value: Column) -> tuple[float, int]:
@@ -170,13 +222,8 @@ def cascade(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sa
     """
     ordered = [rule for rule, _, _ in order_rules(df, text, rules, sample_rows)]
     t = F.col(PREFIX + "text")
-    out = df.withColumn(PREFIX + "text", text_or_empty(text))
-    for name in keep_measures:
-        out = out.withColumn(PREFIX + name, measure(name, t))
-    first = F.lit(None).cast("string")
-    for rule in reversed(ordered):
-        first = F.when(rejects(rule, t, keep_measures), F.lit(rule.name)).otherwise(first)
-    # filters on the results don't pass a generator; pushed below it, they would repeat the measures' expressions many times over
-    made = F.struct(first.alias("failed_rule"), *(F.col(PREFIX + x).alias(x) for x in keep_measures))
+    made = _bound(keep_measures, t, {}, lambda m: F.struct(_verdict(ordered, t, m).alias("failed_rule"), *(m[x].alias(x) for x in keep_measures)))
     kept = [c for c in df.columns if c != "failed_rule" and c not in keep_measures]
-    return out.select(*kept, F.explode(F.array(made)).alias(PREFIX)).select(*kept, *(F.col(PREFIX)[x].alias(x) for x in ("failed_rule", *keep_measures)))
+    # filters on the results don't pass a generator; pushed below it, they would repeat the measures' expressions many times over
+    out = df.withColumn(PREFIX + "text", text_or_empty(text)).select(*kept, F.explode(F.array(made)).alias(PREFIX))
+    return out.select(*kept, *(F.col(PREFIX)[x].alias(x) for x in ("failed_rule", *keep_measures)))

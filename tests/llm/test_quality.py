@@ -98,6 +98,19 @@ def test_stops_at_the_first_rule_that_holds(spark):
     t = F.col("text")
     verdict = F.when(quality.rejects(rules[0], t), "first").when(quality.rejects(rules[1], t), "never")
     assert docs.select(verdict.alias("v")).first().v == "first"
+    # in the chain, too, where measures of the first serve the second
+    assert docs.select(quality._verdict(rules, t, {}).alias("v")).first().v == "first"
+
+
+def test_repeated_windows_few_and_many(spark):
+    """On both sides of the number of repeated hashes up to which they are looked for one by one."""
+    several = [" ".join(f"a{k} b{k} c{k} x{k}" for k in [*range(n), *range(n // 2)]) for n in (0, 1, 2, 6, 8, 10, 12, 40, 400)]
+    texts = [*several, "a a", "a a a", "a a a a", "a b a b a b", " \x0b a\tb\r\nc  a b c ", "a\u00a0b a\u00a0b a\u00a0b a\u00a0b", *(("q " * n).strip() for n in (2, 3, 17, 18, 200))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    t = F.col("text")
+    for row in rows.select("text", *(quality.measure(x, t).alias(x) for x in ("n_words", "n_repeat_words", "n_same_windows", "word_chars"))).collect():
+        want = brute(row.text)
+        assert all(row[x] == want[x] for x in ("n_words", "n_repeat_words", "n_same_windows", "word_chars")), row.text[:60]
 
 
 def test_edges(spark, docs):
