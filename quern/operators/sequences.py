@@ -14,17 +14,18 @@ ROWS = 1024
 def _placed(df: DataFrame, ids: str, idx: str, rows: int) -> DataFrame:
     """(__block, __i, __ids, __from): rows dealt by block of `rows` neighbours, with the tokens before their block.
 
-    Both what is counted and what is cut reads the same shuffle, so that ids are made and moved once.
+    What is counted and what is cut reads dealt rows that are kept, in memory or on disk, so that ids are made and moved once;
+    the planner doesn't share their shuffle by itself. Counts read one kept column, no ids.
     """
     dealt = df.select(F.floor(F.col(idx) / rows).alias("__block"), F.col(idx).alias("__i"), F.col(ids).alias("__ids")).repartition("__block")
-    # the last index is asked for so that the shuffle has the columns of the other side's, and is shared
-    totals = dealt.groupBy("__block").agg(F.sum(F.size("__ids")).alias("__t"), F.max("__i").alias("__last")).withColumn("__up", F.floor(F.col("__block") / 4096))
+    dealt = dealt.withColumn("__n", F.greatest(F.size("__ids"), F.lit(0)).cast("long")).persist()
+    totals = dealt.groupBy("__block").agg(F.sum("__n").alias("__t")).withColumn("__up", F.floor(F.col("__block") / 4096))
     upper = totals.groupBy("__up").agg(F.sum("__t").alias("u"))
     # a row for every 4096 blocks
     above = upper.select("__up", (F.sum("u").over(Window.orderBy("__up")) - F.col("u")).alias("__above"))
     inside = F.sum("__t").over(Window.partitionBy("__up").orderBy("__block")) - F.col("__t")
-    before = totals.withColumn("__inside", inside).join(above, "__up").select("__block", "__last", (F.col("__above") + F.col("__inside")).alias("__from"))
-    return dealt.join(before, "__block").where(F.col("__i") <= F.col("__last")).drop("__last")
+    before = totals.withColumn("__inside", inside).join(above, "__up").select("__block", (F.col("__above") + F.col("__inside")).alias("__from"))
+    return dealt.drop("__n").join(before, "__block")
 
 
 def concat_and_chunk(df: DataFrame, length: int, ids: str = "ids", idx: str = "idx", rows: int = ROWS) -> DataFrame:
@@ -43,7 +44,7 @@ def concat_and_chunk(df: DataFrame, length: int, ids: str = "ids", idx: str = "i
         first = -start % length
         n = max(0, (len(tokens) - first) // length)
         cut = tokens[first : first + n * length].reshape(n, length)
-        return pd.DataFrame({"seq": (start + first) // length + np.arange(n), "tokens": list(cut)})
+        return pd.DataFrame({"seq": (start + first) // length + np.arange(n), "tokens": pd.Series(list(cut), dtype=object)})
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
         start, tokens = flat(pdf)
