@@ -1,12 +1,16 @@
-"""Attention masks as joins of positions: which keys a query sees, as pairs or as runs of keys."""
+"""Attention masks: which keys a query sees, as pairs or as runs of keys, by joins of positions or within whole sequences."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Windows of up to so many keys are bits of a long.
+BITS = 32
+
 
 @dataclass(frozen=True)
 class Mask:
@@ -59,3 +63,68 @@ def causal_runs(positions: DataFrame, window: int | None = None, seq: str = "seq
     begin = F.min(pos).over(Window.partitionBy(seq, segment))
     first = begin if window is None else F.greatest(begin, F.col(pos) - (window - 1))
     return positions.select(seq, F.col(pos).alias("q"), first.alias("first"), F.col(pos).alias("last"))
+
+
+def _runs_of(keys: Column) -> Column:
+    """Ascending keys as an array of (first, last) of their maximal runs of neighbours."""
+    firsts = F.filter(keys, lambda k, i: (i == 0) | (F.get(keys, i - 1) != k - 1))
+    lasts = F.filter(keys, lambda k, i: (i == F.size(keys) - 1) | (F.get(keys, i + 1) != k + 1))
+    return F.arrays_zip(firsts.alias("first"), lasts.alias("last"))
+
+
+def sequence_runs(seqs: DataFrame, mask: Mask, seq: str = "seq", segments: str = "segments") -> DataFrame:
+    """(seq, q, first, last) of whole sequences, one a row with the segment of each position: the runs() of the pairs() of their positions.
+
+    A sequence's positions are neighbours in one row, so no pair and no position is shuffled, and the only rows made are the
+    runs. A query holds the segments of its window, or of its sequence where there is none. An explicit mask meets queries by
+    its keys, gathered for each q, or for each (seq, q). The keys of a window of up to BITS are the bits of a number.
+    """
+    n = F.size(segments)
+    lowest = lambda q: F.greatest(q - mask.window + 1, F.lit(0)) if mask.window is not None else F.lit(0)
+
+    def highest(q: Column) -> Column:
+        bounds = [n - 1, *([q + mask.offset] if mask.causal else []), *([q] if mask.window is not None else [])]
+        return F.least(*bounds) if len(bounds) > 1 else bounds[0]
+
+    # the segments of the keys that the mask's shape leaves, from the lowest on
+    query = lambda s, q: F.struct(q.alias("q"), s.alias("s"), lowest(q).alias("low"), F.slice(segments, lowest(q) + 1, F.greatest(highest(q) - lowest(q) + 1, F.lit(0))).alias("near"))
+    each = seqs.select(seq, F.explode(F.transform(segments, query)).alias("__q")).select(seq, "__q.*").where(F.size("near") > 0)
+    shaped = mask.explicit
+    if shaped is not None:
+        # the mask's shape leaves few of a query's keys
+        shaped = shaped.where("k >= 0").where(F.col("k") <= F.col("q") + mask.offset if mask.causal else F.lit(True))
+        shaped = shaped.where(F.col("k").between(F.col("q") - mask.window + 1, F.col("q")) if mask.window is not None else F.lit(True))
+        on = [c for c in (seq, "q") if c in shaped.columns]
+    if mask.window is not None and mask.window <= BITS:
+        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+        seen = [F.get("near", F.lit(i)) == F.col("s") if mask.segments else F.size("near") > i for i in range(mask.window)]
+        each = each.withColumn("bits", reduce(Column.bitwiseOR, [F.when(x, bit(F.lit(i))).otherwise(0) for i, x in enumerate(seen)], F.lit(0).cast("long"))).drop("near", "s")
+        if shaped is not None:
+            allowed = shaped.groupBy(*on).agg(F.bit_or(bit(F.col("k") - lowest(F.col("q")))).alias("allowed"))
+            each = each.join(allowed, on).withColumn("bits", F.col("bits").bitwiseAND(F.col("allowed"))).drop("allowed")
+        begins = F.col("bits").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.col("bits"), F.lit(1))))
+        at = F.explode(F.array(*(F.when(begins.bitwiseAND(F.lit(1 << i)) != 0, i).otherwise(-1) for i in range(mask.window))))
+        each = each.select(seq, "q", "low", "bits", at.alias("at")).where("at >= 0")
+        # a run is the ones at the end of its bits, from its first on
+        own = F.call_function("shiftrightunsigned", F.col("bits"), F.col("at"))
+        length = F.bit_count(own.bitwiseXOR(own + 1)) - 1
+        return each.select(seq, "q", (F.col("low") + F.col("at")).alias("first"), (F.col("low") + F.col("at") + length - 1).alias("last"))
+    same = (lambda k: F.get("near", k - F.col("low")) == F.col("s")) if mask.segments else lambda k: F.lit(True)
+    if shaped is None:
+        keys = F.filter(F.transform("near", lambda _, i: i + F.col("low")), same)
+    else:
+        each = each.join(shaped.groupBy(*on).agg(F.sort_array(F.collect_set(F.col("k").cast("int"))).alias("allowed")), on)
+        keys = F.filter("allowed", lambda k: (k < F.col("low") + F.size("near")) & same(k))
+    found = each.select(seq, "q", keys.alias("__k"))
+    return found.select(seq, "q", F.explode(_runs_of(F.col("__k"))).alias("__r")).select(seq, "q", "__r.first", "__r.last")
+
+
+def causal_sequence_runs(seqs: DataFrame, window: int | None = None, seq: str = "seq", segments: str = "segments") -> DataFrame:
+    """(seq, q, first, last): the causal_runs() of whole sequences, one a row; nothing is shuffled."""
+    starts = F.filter(F.transform(segments, lambda s, i: F.when((i == 0) | (F.get(segments, i - 1) != s), i)), lambda i: i.isNotNull())
+    stretched = seqs.select(seq, F.size(segments).alias("__n"), starts.alias("__starts"))
+    length = lambda b, k: F.coalesce(F.get("__starts", k + 1), F.col("__n")) - b
+    begins = F.flatten(F.transform("__starts", lambda b, k: F.array_repeat(b, length(b, k))))
+    each = stretched.select(seq, F.posexplode(begins).alias("q", "__b"))
+    first = F.col("__b") if window is None else F.greatest(F.col("__b"), F.col("q") - (window - 1))
+    return each.select(seq, "q", first.alias("first"), F.col("q").alias("last"))

@@ -114,21 +114,19 @@ r AS (SELECT *, k - row_number() OVER (PARTITION BY seq, q ORDER BY k) AS run FR
 SELECT seq::BIGINT AS seq, q::INT AS q, min(k)::INT AS first, max(k)::INT AS last FROM r GROUP BY seq, q, run""")
 def attention_runs(spark, sf_dir):
     """Runs of keys that a query sees: strictly before it, within a window of 12, of its segment, and of an explicit mask."""
-    seqs = sequences.concat_and_chunk(_tokens(spark, sf_dir, True), LENGTH)
-    each = seqs.select("seq", F.posexplode(arrays.end_segments(F.col("tokens"), END)).alias("pos", "segment"))
+    seqs = sequences.concat_and_chunk(_tokens(spark, sf_dir, True), LENGTH).select("seq", arrays.end_segments(F.col("tokens"), END).alias("segments"))
     # all pairs of positions of one sequence: its length bounds them
     grid = spark.range(LENGTH * LENGTH).select(F.floor(F.col("id") / LENGTH).cast("int").alias("q"), (F.col("id") % LENGTH).cast("int").alias("k"))
     mask = attention.Mask(offset=-1, window=12, explicit=grid.where((F.col("q") + F.col("k")) % 5 != 0))
-    return attention.runs(attention.pairs(each, mask)).select("seq", "q", "first", "last")
+    return attention.sequence_runs(seqs, mask).select("seq", "q", "first", "last")
 
 
 @query(f"""WITH {_TOK}, {_FLAT}, s AS (SELECT seq, pos, coalesce(sum((t = 32000)::INT) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM chunk)
 SELECT q.seq::BIGINT AS seq, q.pos::INT AS q, min(k.pos)::INT AS first, max(k.pos)::INT AS last FROM s q JOIN s k ON q.seq = k.seq AND k.pos <= q.pos AND q.seg = k.seg GROUP BY ALL""")
 def causal_attention_runs(spark, sf_dir):
     """The plain causal mask over segments, one run a query."""
-    seqs = sequences.concat_and_chunk(_tokens(spark, sf_dir, True), LENGTH)
-    each = seqs.select("seq", F.posexplode(arrays.end_segments(F.col("tokens"), END)).alias("pos", "segment"))
-    return attention.causal_runs(each).select("seq", "q", "first", "last")
+    seqs = sequences.concat_and_chunk(_tokens(spark, sf_dir, True), LENGTH).select("seq", arrays.end_segments(F.col("tokens"), END).alias("segments"))
+    return attention.causal_sequence_runs(seqs).select("seq", "q", "first", "last")
 
 
 def _streamed(spark, sf_dir, stream):

@@ -1,9 +1,11 @@
 """What the work of an operator grows with."""
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators import sequences
+from quern.operators import attention, sequences
+from quern.plans import scored
 
 
 def counted(spark, df, column, kind):
@@ -25,3 +27,29 @@ def test_chunks_make_ids_once(spark):
     flat = [t for _, ids in data for t in ids or ()]
     assert got == [(k, flat[8 * k : 8 * k + 8]) for k in range(len(flat) // 8)]
     assert calls.value == len(data)
+
+
+@pytest.mark.parametrize("mask", [dict(), dict(offset=2), dict(offset=-2), dict(window=4), dict(window=3, offset=-1), dict(window=5, causal=False), dict(causal=False, segments=False), dict(window=1), dict(window=2, offset=-4), dict(window=40, offset=-1)])
+def test_attention_of_whole_sequences_equals_that_of_positions_and_shuffles_none(spark, mask):
+    segs = {0: [0, 0, 0, 1, 1, 2, 2, 2, 2, 2, 2], 1: [0] * 9, 2: [], 3: [4]}
+    seqs = spark.createDataFrame(list(segs.items()), "seq long, segments array<int>")
+    table = spark.createDataFrame([(s, p, g) for s, own in segs.items() for p, g in enumerate(own)], "seq long, pos int, segment int")
+    allowed = spark.createDataFrame([(q, k) for q in range(11) for k in range(11) if (q * k) % 3 != 1], "q int, k int")
+    every = lambda df: sorted((r.seq, r.q, r.first, r["last"]) for r in df.collect())
+    for explicit in (None, allowed, spark.createDataFrame([(s, q, k) for s in range(2) for q, k in ((5, 3), (5, 5), (6, 5), (8, 2), (8, 8)) for _ in range(2)], "seq long, q int, k int")):
+        m = attention.Mask(**mask, explicit=explicit)
+        assert every(attention.sequence_runs(seqs, m)) == every(attention.runs(attention.pairs(table, m)))
+    for window in (None, 3):
+        runs = attention.causal_sequence_runs(seqs, window)
+        assert every(runs) == every(attention.causal_runs(table, window))
+        assert "Exchange" not in runs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in attention.sequence_runs(seqs, attention.Mask(**mask))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attention_queries_shuffle_no_pairs(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b c d e " * 20, "en", "x", 200) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("attention_runs", "causal_attention_runs"):
+        plan = scored.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        # no position and no pair is dealt and ordered by its sequence
+        assert "windowspecdefinition(seq" not in plan
