@@ -18,6 +18,8 @@ from quern.functions.tokens import word_hash_ids
 #: Texts over this many characters are cut at white space before they are encoded.
 LONG = 10_000
 PROBE = "hi there"
+#: Tokens that a task has in memory before it hands them on, besides one text's.
+HELD = 250_000
 
 
 @dataclass(frozen=True)
@@ -107,6 +109,19 @@ def of_words(vocabulary: int) -> Tokenizer:
     return Tokenizer("words", vocabulary, lambda: lambda text: both(text)[0], spans=lambda: both)
 
 
+def in_portions(rows: Iterator[tuple[np.ndarray, ...]], tokens: int = HELD) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """Rows of arrays, handed on once their first arrays have `tokens` values in all: memory doesn't depend on how many rows come at once."""
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        held += len(row[0])
+        if held >= tokens:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
 def masked_by_spans(df: DataFrame, tok: Tokenizer, text: str = "text", spans: str = "spans", on_missing: str = "raise") -> DataFrame:
     """df with ids and mask in place of text and spans: 1 for the tokens that have a character within one of the spans.
 
@@ -118,8 +133,8 @@ def masked_by_spans(df: DataFrame, tok: Tokenizer, text: str = "text", spans: st
     @F.pandas_udf("ids array<int>, mask array<int>")
     def both(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         encoder = tok.spans()
-        for texts, wanted in batches:
-            ids, masks = [], []
+
+        def rows(texts: pd.Series, wanted: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for own, marked in zip(texts, wanted, strict=True):
                 found, places = encoder(own or "")
                 at = np.array(places, np.int64).reshape(-1, 2)
@@ -130,9 +145,11 @@ def masked_by_spans(df: DataFrame, tok: Tokenizer, text: str = "text", spans: st
                     if stop > first:
                         change[first] += 1
                         change[stop] -= 1
-                ids.append(found)
-                masks.append((np.cumsum(change)[:-1] > 0).astype(np.int32))
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "mask": pd.Series(masks, dtype=object)})
+                yield np.array(found, np.int32), (np.cumsum(change)[:-1] > 0).astype(np.int32)
+
+        for texts, wanted in batches:
+            for portion in in_portions(rows(texts, wanted)):
+                yield pd.DataFrame({"ids": pd.Series([x for x, _ in portion], dtype=object), "mask": pd.Series([m for _, m in portion], dtype=object)})
 
     others = [c for c in df.columns if c not in (text, spans)]
     out = df.select(*others, both(text, spans).alias("__both")).select(*others, "__both.ids", "__both.mask")
@@ -168,7 +185,8 @@ def encode(df: DataFrame, tok: Tokenizer, text: str = "text", bos: bool = True,
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = tok.make()
         for pieces in batches:
-            yield pd.Series([[*first, *(i for p in own for i in encoder(p)), *last] for own in pieces], dtype=object)
+            for portion in in_portions((np.array([*first, *(i for p in own for i in encoder(p)), *last], np.int32),) for own in pieces):
+                yield pd.Series([x for (x,) in portion], dtype=object)
 
     others = [c for c in df.columns if c != text]
     return df.select(*others, ids(split_long(F.coalesce(F.col(text), F.lit("")), limit)).alias("ids"))

@@ -1,9 +1,11 @@
 """What the work of an operator grows with."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions import tokenizer
 from quern.operators import attention, sequences
 from quern.plans import scored
 
@@ -53,3 +55,24 @@ def test_attention_queries_shuffle_no_pairs(spark, tmp_path):
         plan = scored.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         # no position and no pair is dealt and ordered by its sequence
         assert "windowspecdefinition(seq" not in plan
+
+
+def test_tokens_are_handed_on_before_all_rows_are_read(spark):
+    read = []
+
+    def rows():
+        for k in range(100):
+            read.append(k)
+            yield (np.zeros(10, np.int32),)
+
+    portions = tokenizer.in_portions(rows(), 35)
+    assert len(next(portions)) == 4 and len(read) == 4
+    assert [len(p) for p in portions] == [4] * 24
+    # one Arrow batch of several portions, with texts that are null, empty and larger than one
+    texts = [None, "", "xy", "a" * (tokenizer.HELD + 5), *("é z" * 9000 for _ in range(20)), "end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = {r.i: r.ids for r in tokenizer.encode(df, tokenizer.tokenizer("bytes")).collect()}
+    assert got == {i: [256, *(t or "").encode(), 257] for i, t in enumerate(texts)}
+    marked = df.where("text is not null").withColumn("spans", F.array(F.struct(F.lit(0).alias("begin"), F.lit(1).alias("end"))))
+    masked = tokenizer.masked_by_spans(marked, tokenizer.tokenizer("words", vocabulary=99), on_missing="drop")
+    assert {r.i: (len(r.ids), sum(r["mask"])) for r in masked.collect()} == {i: (len(t.split()), 1) for i, t in enumerate(texts) if t}
