@@ -107,9 +107,11 @@ def greedy_packs_global(df: DataFrame, lengths: dict[str, int], max_segments: in
     of a block ends depends only on where its first one starts, at one of max_segments places: every block answers
     for each of them. Answers of neighbouring blocks compose to an answer of both, so they are composed `fan` at a time, level by
     level, until one is left; the start is then handed down the levels again, and the blocks, told theirs, deal out their packs.
+    Lengths, which are read several times, are kept, and so are the blocks' answers: whatever they are made of is made once.
     """
     names, rows = list(lengths), max(rows, max_segments)
-    placed = df.select(F.col(idx).alias("i"), *names).withColumn("block", F.explode(F.when((F.col("i") % rows < max_segments) & (F.col("i") >= rows), F.array(F.floor(F.col("i") / rows), F.floor(F.col("i") / rows) - 1)).otherwise(F.array(F.floor(F.col("i") / rows)))))
+    own = df.select(F.col(idx).alias("i"), *names).persist()
+    placed = own.withColumn("block", F.explode(F.when((F.col("i") % rows < max_segments) & (F.col("i") >= rows), F.array(F.floor(F.col("i") / rows), F.floor(F.col("i") / rows) - 1)).otherwise(F.array(F.floor(F.col("i") / rows)))))
 
     def ends(pdf: pd.DataFrame) -> tuple[int, list[int]]:
         """For each row the row after the pack that starts there."""
@@ -176,8 +178,8 @@ def greedy_packs_global(df: DataFrame, lengths: dict[str, int], max_segments: in
         return pd.DataFrame({idx: pdf["i"].to_numpy()[entry : entry + len(packs)], "pack": packs})
 
     shape = "block long, leave array<long>, packs array<long>"
-    levels = [placed.groupBy("block").applyInPandas(exits, shape)]
-    blocks = df.agg(F.max(F.col(idx)).alias("last")).first()["last"]
+    levels = [placed.groupBy("block").applyInPandas(exits, shape).persist()]
+    blocks = own.agg(F.max("i").alias("last")).first()["last"]
     blocks = 1 if blocks is None else blocks // rows + 1
     while blocks > fan:
         levels.append(levels[-1].groupBy(F.floor(F.col("block") / fan).alias("__up")).applyInPandas(compose, shape))

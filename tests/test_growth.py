@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import tokenizer
-from quern.operators import attention, sequences
+from quern.operators import attention, packing, sequences
 from quern.plans import scored
 
 
@@ -76,3 +76,13 @@ def test_tokens_are_handed_on_before_all_rows_are_read(spark):
     marked = df.where("text is not null").withColumn("spans", F.array(F.struct(F.lit(0).alias("begin"), F.lit(1).alias("end"))))
     masked = tokenizer.masked_by_spans(marked, tokenizer.tokenizer("words", vocabulary=99), on_missing="drop")
     assert {r.i: (len(r.ids), sum(r["mask"])) for r in masked.collect()} == {i: (len(t.split()), 1) for i, t in enumerate(texts) if t}
+
+
+def test_global_packs_make_lengths_once(spark):
+    df, calls = counted(spark, spark.createDataFrame([(i, i % 9) for i in range(100)], "idx long, n long").repartition(3), "n", T.LongType())
+    got = sorted((r.idx, r.pack) for r in packing.greedy_packs_global(df, {"n": 10}, 4, rows=8, fan=3).collect())
+    want, pack, used, segments = [], -1, 99, 0
+    for i in range(100):
+        pack, used, segments = (pack + 1, i % 9, 1) if used + i % 9 > 10 or segments == 4 else (pack, used + i % 9, segments + 1)
+        want.append((i, pack))
+    assert got == want and calls.value == 100
