@@ -37,14 +37,22 @@ def token_strings(tokens: DataFrame, vocabulary: DataFrame, token: str = "token"
 def compared(a: DataFrame, b: DataFrame, doc: str = "doc_id", pos: str = "pos", token: str = "token", log_prob: str = "log_prob") -> DataFrame:
     """(doc, pos, token, lp1, lp2, diff): two models' log probabilities of the same tokens, aligned by document and position.
 
-    A position that one of them lacks, and one where the tokens differ, raises.
+    A position that one of them lacks, and one where the tokens differ, raises. A document's tokens are gathered in order on each
+    side, so that documents are shuffled and joined, not single tokens, and sums by document, which each have one task, shuffle a row a document.
     """
-    one = a.select(doc, pos, F.col(token).alias("__a"), F.col(log_prob).alias("lp1"))
-    two = b.select(doc, pos, F.col(token).alias("__b"), F.col(log_prob).alias("lp2"))
-    both = one.join(two, [doc, pos], "full")
-    wrong = F.raise_error(F.concat(F.lit("the tables differ at document "), F.col(doc).cast("string"), F.lit(", position "), F.col(pos).cast("string")))
-    checked = F.when(F.col("__a").isNull() | F.col("__b").isNull() | (F.col("__a") != F.col("__b")), wrong.cast(a.schema[token].dataType)).otherwise(F.col("__a"))
-    return both.select(doc, pos, checked.alias(token), "lp1", "lp2", (F.col("lp1") - F.col("lp2")).alias("diff"))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(token).alias("token"), F.col(log_prob).alias("lp")))
+        return df.groupBy(doc).agg(F.sort_array(rows).alias(name))
+
+    # null and absent documents on one side have no rows there
+    both = side(a, "__a").join(side(b, "__b"), doc, "full").select(doc, F.explode(F.arrays_zip(*(F.coalesce(x, F.array()) for x in ("__a", "__b")))).alias("__z"))
+    both = both.select(doc, F.col("__z.0").alias("__a"), F.col("__z.1").alias("__b"))
+    at = F.least("__a.pos", "__b.pos")
+    wrong = F.raise_error(F.concat(F.lit("the tables differ at document "), F.coalesce(F.col(doc).cast("string"), F.lit("null")), F.lit(", position "), F.coalesce(at.cast("string"), F.lit("null"))))
+    same = F.coalesce((F.col("__a.pos") == F.col("__b.pos")) & (F.col("__a.token") == F.col("__b.token")), F.lit(False))
+    checked = F.when(same, F.col("__a.token")).otherwise(wrong.cast(a.schema[token].dataType))
+    return both.select(doc, at.alias(pos), checked.alias(token), F.col("__a.lp").alias("lp1"), F.col("__b.lp").alias("lp2"), (F.col("__a.lp") - F.col("__b.lp")).alias("diff"))
 
 
 def difference_totals(differences: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -68,7 +68,7 @@ def chat_template_text(spark, sf_dir):
 
 def _scored_tokens(spark, sf_dir, modulus: int):
     """A token's log probability under a made-up model: minus its id modulo `modulus`, in 1,024ths, so that sums are exact."""
-    each = _tokens(spark, sf_dir).select("doc_id", F.posexplode("ids").alias("pos", "token"))
+    each = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tokens.word_hash_ids(F.col("text"), VOCABULARY)).alias("pos", "token"))
     return each.withColumn("log_prob", -(F.col("token") % modulus) / 1024.0)
 
 

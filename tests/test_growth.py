@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import tokenizer
-from quern.operators import attention, packing, sequences
+from quern.operators import attention, packing, reports, sequences
 from quern.plans import scored
 
 
@@ -86,3 +86,17 @@ def test_global_packs_make_lengths_once(spark):
         pack, used, segments = (pack + 1, i % 9, 1) if used + i % 9 > 10 or segments == 4 else (pack, used + i % 9, segments + 1)
         want.append((i, pack))
     assert got == want and calls.value == 100
+
+
+def test_compared_tables_meet_by_document(spark):
+    data = [(d, p, d + p, -1.0 * p) for d in range(3) for p in range(4)]
+    shape = "doc_id int, pos int, token int, log_prob double"
+    a, b = spark.createDataFrame(data, shape), spark.createDataFrame(data[::-1], shape).withColumn("log_prob", F.lit(-1.0))
+    out = reports.compared(a, b)
+    assert sorted(tuple(r) for r in out.collect()) == [(*row, -1.0, row[3] + 1.0) for row in data]
+    plan = reports.difference_totals(out)._jdf.queryExecution().executedPlan().toString()
+    assert not any("pos#" in x for x in plan.splitlines() if "Exchange hash" in x)
+    for wrong, where in ((data[:-1], "document 2, position 3"), (data[1:], "document 0, position 0"), ([*data, (7, 5, 1, 0.0)], "document 7, position 5"), ([*data[:-1], (2, 3, 9, 0.0)], "document 2, position 3")):
+        for pair in ((a, spark.createDataFrame(wrong, shape)), (spark.createDataFrame(wrong, shape), a)):
+            with pytest.raises(Exception, match=where):
+                reports.compared(*pair).collect()
