@@ -11,9 +11,12 @@ their windows joined to intervals, which are verified on the shingles themselves
 the other text has so many shingles that the Jaccard similarity reaches SIMILARITY.
 
 Up to NEIGHBOURS + 2 texts of a signature all pairs are met. In larger groups those that share a second signature stand
-together; a link that is neither met there nor with a first is only found under another signature or
-through a common neighbour; the pairs stay linear in the rows whatever the group's size. Signatures that hold a large share of
-a sample of texts are dealt to several tasks by text, each of which meets a text of the sample.
+together, and the pairs met at first stay linear in the rows. Signatures that hold a large share of
+a sample of texts are dealt to several tasks by text, each of which meets a text of the sample. Once the links of these pairs have made
+classes, all pairs of a larger group's windows that are of different classes are met as well, in blocks of BLOCK by BLOCK rows, so that no group's size
+bounds what is linked. Two passages that hold differ in MISSED shingles at most, and one of SPAN shingles has HALF of them on one side of
+its least: pairs are only verified if all but MISSED of such a HALF, and then of SPAN in a row, are near the other's least, each way, by bits of the
+shingles. So classes are those of all pairs; passages are those of the pairs that were met, and texts of one class need not all have met.
 
 Equal texts are one class and are expanded at the end. Null, empty and short texts have no passage. Repeated
 rows, and rows without an id, take part; an empty table gives an empty result. Other columns do no harm.
@@ -23,15 +26,16 @@ Texts are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import components, maybe_among, stage, text_or_empty, unstage, words_of
+from quern.llm.common import bit_map, components, in_bit_map, maybe_among, stage, text_or_empty, unstage, words_of
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -46,6 +50,14 @@ SHARE = 2000
 HOT = 20
 DEALT = 4096
 SIMILARITY = 0.8
+#: Of SPAN shingles in a row around one of them, so many follow it or so many go before it.
+HALF = SPAN // 2
+#: Distinct shingles that the one of two passages may have besides the other's, which is a fifth of their union at most.
+MISSED = int((1 - SIMILARITY) * SPAN + 1e-9)
+#: Rows of a side of a block, the words of 64 bits of a row's shingles, and rows tested at once.
+BLOCK = 1024
+BITS_WORDS = 8
+_STRIP = 64
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 150_000
 _STARTS_AT_ONCE = 4096
@@ -129,8 +141,44 @@ def compact_windows(values: np.ndarray, begins: np.ndarray | None = None, at: np
     return np.array([first, where, last], np.int64).T
 
 
-def _windows(texts: DataFrame) -> DataFrame:
-    """(signature, second, function, node, first, last) of every compact window."""
+def _surroundings(s: np.ndarray, first: np.ndarray, least: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """16 bits each of the shingles that may lie in one passage with each window's least, in their order around it; zero where there is none."""
+    at = least[:, None] + np.arange(1 - SPAN, SPAN)
+    used = (at >= first[:, None]) & (at <= last[:, None])
+    return np.where(used, s[np.where(used, at, 0)] % np.uint64(0xFFFF) + np.uint64(1), np.uint64(0)).astype(np.uint16)
+
+
+def _bits(codes: np.ndarray) -> np.ndarray:
+    """Of rows of codes the HALF before the middle, the HALF after it and all as bits, one after another.
+
+    Where a window has fewer on one side, no passage has HALF of them there, and all bits are set.
+    """
+    out = np.zeros((len(codes), 3 * BITS_WORDS), np.uint64)
+    row = np.arange(len(codes))
+    middle = SPAN - 1
+    parts = (range(middle - HALF, middle), range(middle + 1, middle + 1 + HALF), range(2 * SPAN - 1))
+    for part, places in enumerate(parts):
+        for at in places:
+            code = codes[:, at]
+            word = part * BITS_WORDS + (code >> 6) % BITS_WORDS
+            out[row, word] |= np.where(code > 0, np.uint64(1) << (code & 63).astype(np.uint64), np.uint64(0))
+    for part, farthest in enumerate((middle - HALF, middle + HALF)):
+        out[codes[:, farthest] == 0, part * BITS_WORDS : (part + 1) * BITS_WORDS] = ~np.uint64(0)
+    return out
+
+
+def _most_shared(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Of SPAN codes in a row of one, those that other has: the most, for each row of both."""
+    shared = np.zeros(one.shape, bool)
+    for k in range(other.shape[1]):
+        shared |= one == other[:, k : k + 1]
+    total = np.zeros((len(one), one.shape[1] + 1), np.int16)
+    np.cumsum(shared & (one > 0), axis=1, out=total[:, 1:])
+    return (total[:, SPAN:] - total[:, :-SPAN]).max(1) if len(one) else np.zeros(0, np.int16)
+
+
+def _windows(texts: DataFrame, among=None) -> DataFrame:
+    """(signature, second, function, node, first, last) of every compact window; with among, of the signatures in a bit map, with their surroundings."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (b.iloc[k : k + 200] for b in batches for k in range(0, len(b), 200)):
@@ -151,12 +199,20 @@ def _windows(texts: DataFrame) -> DataFrame:
                     low, at = _least(values)
                 else:
                     low = first_low
+                if among is not None:
+                    kept = in_bit_map(among.value, signature)
+                    first, least, last, signature = first[kept], least[kept], last[kept], signature[kept]
                 row = np.searchsorted(begins, least, side="right") - 1
                 around = np.clip(least - SPAN // 2, begins[row], begins[row] + sizes[row] - SPAN)
                 second = low[around].astype(np.uint32).view(np.int32)
-                yield pd.DataFrame({"signature": signature, "second": second, "function": np.full(len(row), f, np.int32), "node": nodes[row], "first": first - begins[row], "last": last - begins[row]})
+                out = pd.DataFrame({"signature": signature, "second": second, "function": np.full(len(row), f, np.int32), "node": nodes[row], "first": first - begins[row], "last": last - begins[row]})
+                if among is not None:
+                    out["around"] = [x.tobytes() for x in _surroundings(s, first, least, last)]
+                    # windows of a text that repeats itself
+                    out = out.groupby(["signature", "function", "node", "around"], as_index=False, sort=False).agg({"second": "min", "first": "min", "last": "max"})
+                yield out
 
-    return texts.mapInPandas(rows, "signature long, second int, function int, node long, first int, last int")
+    return texts.mapInPandas(rows, "signature long, second int, function int, node long, first int, last int" + (", around binary" if among is not None else ""))
 
 
 def _common(texts: DataFrame) -> DataFrame:
@@ -170,7 +226,10 @@ def _common(texts: DataFrame) -> DataFrame:
 
 
 def _candidates(windows: DataFrame, common: DataFrame) -> DataFrame:
-    """(a, b, a_first, a_last, b_first, b_last): texts that have ENOUGH signatures in common, with their intervals."""
+    """(large, function, a, b, a_first, a_last, b_first, b_last): texts that have ENOUGH signatures in common, with their intervals.
+
+    large is null for these. The other rows are the texts a of larger groups, with the group's signature and function.
+    """
     # common has no more rows than SHARE for all functions together
     dealt = windows.join(F.broadcast(common), ["signature", "function"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node", "function"), F.col("parts")), F.lit(0)).cast("int"))
     keys = ("signature", "function", "part")
@@ -180,14 +239,92 @@ def _candidates(windows: DataFrame, common: DataFrame) -> DataFrame:
     own = dealt.withColumn("before", F.lag(F.struct("second", "node", "first")).over(group))
     own = own.where(~F.col("before").eqNullSafe(F.struct("second", "node", "first"))).drop("before")
     near = own.withColumn("others", F.array(F.coalesce("sampled", F.first(me).over(group)), *(F.lag(me, k).over(group) for k in range(1, NEIGHBOURS + 1))))
-    near = near.where(F.exists("others", lambda o: o["node"] != F.col("node")))
+    # a group is larger if it has a row after those that all meet; one that is dealt is in any case
+    place, after = F.row_number().over(group), lambda k: F.lead(F.lit(1), k).over(group).isNotNull()
+    beyond = [(place > r) & after(NEIGHBOURS + 2 - r) for r in range(NEIGHBOURS + 2)]
+    near = near.withColumn("beyond", reduce(Column.__or__, beyond, F.col("parts").isNotNull() | (place > NEIGHBOURS + 2)))
+    near = near.where(F.exists("others", lambda o: o["node"] != F.col("node")) | F.col("beyond"))
     near = near.withColumn("others", F.array_union("others", F.array(F.first(me).over(run))))
-    met = near.select("function", me.alias("me"), F.explode("others").alias("o")).where("o.node <> me.node")
+    near = near.withColumn("others", F.filter("others", lambda o: o["node"] != F.col("node")))
+    # a row that meets itself stands for its place in the group
+    near = near.withColumn("others", F.when(F.col("beyond"), F.array_append("others", me)).otherwise(F.col("others")))
+    met = near.select("signature", "function", me.alias("me"), F.explode("others").alias("o"))
     bit = lambda f: F.call_function("shiftleft", F.lit(1), f)
     seen = bit(F.col("function")).bitwiseOR(F.when(F.col("o.second") == F.col("me.second"), bit((F.col("function") + 1) % FUNCTIONS)).otherwise(0))
-    met = met.select(seen.alias("seen"), F.greatest("me", "o").alias("x"), F.least("me", "o").alias("y"))
-    pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.bit_or("seen").alias("seen"), F.min("x.first").alias("a_first"), F.max("x.last").alias("a_last"), F.min("y.first").alias("b_first"), F.max("y.last").alias("b_last"))
-    return pairs.where(F.bit_count("seen") >= ENOUGH).drop("seen")
+    single = F.col("o.node") == F.col("me.node")
+    met = met.select(F.when(single, F.col("signature")).alias("large"), F.when(single, F.col("function")).alias("function"), seen.alias("seen"), F.greatest("me", "o").alias("x"), F.least("me", "o").alias("y"))
+    pairs = met.groupBy("large", "function", F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.bit_or("seen").alias("seen"), F.min("x.first").alias("a_first"), F.max("x.last").alias("a_last"), F.min("y.first").alias("b_first"), F.max("y.last").alias("b_last"))
+    return pairs.where(F.col("large").isNotNull() | (F.bit_count("seen") >= ENOUGH)).drop("seen")
+
+
+def _near_each_other(halves: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Whether all but MISSED bits of one of a row's halves are among those around the other's least, with broadcasting."""
+    ok = None
+    for side in range(2):
+        missing = sum(np.bitwise_count(halves[..., side * BITS_WORDS + k] & ~around[..., k]).astype(np.uint16) for k in range(BITS_WORDS))
+        ok = missing <= MISSED if ok is None else ok | (missing <= MISSED)
+    return ok
+
+
+def _block_pairs(codes: np.ndarray, bits: np.ndarray, component: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of mine and of theirs that are of different classes and may have a passage in common."""
+    halves, around = bits[:, : 2 * BITS_WORDS], bits[:, 2 * BITS_WORDS :]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(mine), _STRIP):
+        own = mine[k : k + _STRIP]
+        ok = _near_each_other(halves[own][:, None], around[theirs][None]) & (component[own][:, None] != component[theirs][None])
+        i, j = np.nonzero(ok)
+        i, j = own[i], theirs[j]
+        back = _near_each_other(halves[j], around[i])
+        i, j = i[back], j[back]
+        for at in range(0, len(i), _STRIP * _STRIP):
+            x, y = i[at : at + _STRIP * _STRIP], j[at : at + _STRIP * _STRIP]
+            whole = (_most_shared(codes[x], codes[y]) >= SPAN - MISSED) & (_most_shared(codes[y], codes[x]) >= SPAN - MISSED)
+            left.append(x[whole])
+            right.append(y[whole])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _rest_of_groups(members: DataFrame, classes: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, b, a_first, a_last, b_first, b_last): all pairs of different classes in the groups (signature, function, node) that may hold."""
+    classed = members.join(classes, "node", "left").select("signature", "function", "node", F.coalesce("component", "node").alias("component"))
+    mixed = classed.groupBy("signature", "function").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").drop("low", "high")
+    wanted = stage(classed.join(mixed, ["signature", "function"]), "mixed")
+    windows = _windows(heads.where(maybe_among(wanted.select("node"), "node")), bit_map(wanted, F.col("signature")))
+    # copies that went on are dropped here
+    rows = windows.join(wanted, ["signature", "function", "node"]).groupBy("signature", "function", "node", "around").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("component").alias("component"))
+    rows = stage(rows, "surroundings")
+    unstage(wanted)
+    sizes = rows.groupBy("signature", "function").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    sizes = stage(sizes.select("signature", "function", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), "n"), "sizes")
+    # groups of one block share tasks of about BLOCK rows and more
+    buckets = max(1, sizes.where("parts = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (8 * BLOCK))
+    part = F.pmod(F.xxhash64("node", "around"), F.col("parts")).cast("int")
+    dealt = rows.join(sizes.drop("n"), ["signature", "function"]).withColumn("part", part).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    bucket = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("signature", "function"), F.lit(buckets))).otherwise(-F.pmod(F.xxhash64("signature", "function"), F.lit(1 << 62)) - 1)
+    dealt = dealt.select(bucket.alias("bucket"), F.least("part", "met").alias("p"), F.greatest("part", "met").alias("q"), "signature", "function", "part", "node", "component", "first", "last", "around")
+
+    def meet(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["signature", "function", "node"], ignore_index=True)
+        codes = np.frombuffer(b"".join(block["around"]), np.uint16).reshape(len(block), -1)
+        bits = _bits(codes)
+        component, part = block["component"].to_numpy(np.int64), block["part"].to_numpy(np.int64)
+        keys = block[["signature", "function"]].to_numpy(np.int64)
+        begins = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+        found = []
+        p, q = int(block["p"].iloc[0]), int(block["q"].iloc[0])
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(block)], strict=True):
+            own = np.arange(begin, end)
+            i, j = _block_pairs(codes, bits, component, own[part[own] == p], own[part[own] == q])
+            found.append(np.stack([i, j], 1))
+        pairs = np.concatenate(found)
+        node, first, last = (block[x].to_numpy(np.int64) for x in ("node", "first", "last"))
+        pairs = np.where((node[pairs[:, 0]] > node[pairs[:, 1]])[:, None], pairs, pairs[:, ::-1])
+        a, b = pairs.T
+        return pd.DataFrame({"a": node[a], "b": node[b], "a_first": first[a], "a_last": last[a], "b_first": first[b], "b_last": last[b]})
+
+    met = dealt.groupBy("bucket", "p", "q").applyInPandas(meet, "a long, b long, a_first int, a_last int, b_first int, b_last int")
+    return met.groupBy("a", "b").agg(F.min("a_first").alias("a_first"), F.max("a_last").alias("a_last"), F.min("b_first").alias("b_first"), F.max("b_last").alias("b_last"))
 
 
 def similar_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -208,10 +345,11 @@ def similar_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     bend = np.concatenate([[0], np.cumsum(line[1:] != line[:-1])])
     straight = (total[starts + SPAN] - total[starts] == SPAN) & (bend[starts + SPAN - 1] == bend[starts])
     good, starts = [starts[straight]], starts[~straight]
-    # a count stands for a set where no shingle is met twice
-    twice = np.append(sorted_[1:] == sorted_[:-1], False)[at] & shared
-    odd_a, odd_b = _repeats_within(a), _repeats_within(b)
-    again = np.concatenate([[0], np.cumsum(twice)])
+    if len(starts):
+        # a count stands for a set where no shingle is met twice
+        twice = np.append(sorted_[1:] == sorted_[:-1], False)[at] & shared
+        odd_a, odd_b = _repeats_within(a), _repeats_within(b)
+        again = np.concatenate([[0], np.cumsum(twice)])
     for k in range(0, len(starts), _STARTS_AT_ONCE):
         p = starts[k : k + _STARTS_AT_ONCE]
         index = p[:, None] + np.arange(SPAN)
@@ -221,10 +359,11 @@ def similar_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         begin = np.clip(lines[np.arange(len(p)), s.sum(1) // 2], 0, len(b) - SPAN)
         both = (s & (q >= begin[:, None]) & (q < begin[:, None] + SPAN)).sum(1)
         ok = both >= SIMILARITY * (2 * SPAN - both) - 1e-9
-        for i in np.flatnonzero(odd_a[p] | odd_b[begin] | (again[p + SPAN] > again[p])).tolist():
-            own, other = np.unique(a[p[i] : p[i] + SPAN]), np.unique(b[begin[i] : begin[i] + SPAN])
-            n = len(np.intersect1d(own, other, assume_unique=True))
-            ok[i] = n >= SIMILARITY * (len(own) + len(other) - n) - 1e-9
+        odd = np.flatnonzero(odd_a[p] | odd_b[begin] | (again[p + SPAN] > again[p]))
+        if len(odd):
+            own, other = a[p[odd][:, None] + np.arange(SPAN)], b[begin[odd][:, None] + np.arange(SPAN)]
+            union = _distinct(np.concatenate([own, other], axis=1))
+            ok[odd] = _distinct(own) + _distinct(other) - union >= SIMILARITY * union - 1e-9
         good.append(p[ok])
     good = np.sort(np.concatenate(good))
     if not len(good):
@@ -234,6 +373,12 @@ def similar_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(firsts.tolist(), ends.tolist(), strict=True))
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """The number of distinct values of each row."""
+    rows = np.sort(rows, axis=1)
+    return (rows[:, 1:] != rows[:, :-1]).sum(1) + 1
+
+
 def _repeats_within(x: np.ndarray) -> np.ndarray:
     """For each start of SPAN values whether one of them is met twice."""
     order = np.argsort(x, kind="stable")
@@ -289,7 +434,11 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
     # one text of each kind goes on; where the map fills up, copies go on, too, and are told apart by their node
     heads = texts.where(maybe_among(nodes.select("node", F.col("head").alias("doc_id")), "node", "doc_id")).select("node", "text")
     pairs = stage(_candidates(_windows(heads), _common(heads)), "pairs")
-    links = stage(_verified(pairs, heads), "links")
+    links = stage(_verified(pairs.where("large IS NULL").drop("large", "function"), heads), "links")
+    members = pairs.where("large IS NOT NULL").select(F.col("large").alias("signature"), "function", F.col("a").alias("node"))
+    if not members.isEmpty():
+        rest = stage(_rest_of_groups(members, components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), heads), "rest")
+        links = links.union(stage(_verified(rest, heads), "links"))
     spans = links.select(F.col("a").alias("node"), F.inline("a_spans")).union(links.select("b", F.inline("b_spans")))
     spans = spans.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans"))
     classes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))

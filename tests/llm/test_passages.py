@@ -93,3 +93,54 @@ def test_similar_spans_against_brute_force():
 
 def test_empty_table(spark):
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_groups_lose_no_class(spark):
+    """Variants of one short passage: those that neither a first nor a neighbour shows are linked as well."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(3, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    passage, phrase = text(60), text(12)
+    texts = []
+    for k in range(300):
+        own = list(passage)
+        for at in rng.sample(range(60), rng.randrange(0, 5)):
+            own[at] = word()
+        texts.append(" ".join(text(rng.randrange(0, 40)) + own + text(rng.randrange(0, 40)) + (phrase if k % 2 else [])))
+    texts += [" ".join(text(60) + phrase + text(60)) for _ in range(60)]
+    marks = [passages.shingles(t).astype(np.uint32).view(np.int32) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and (passages.similar_spans(marks[i], marks[j]) or passages.similar_spans(marks[j], marks[i])):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(df).collect()}
+    want = {i: x for i, x in enumerate(label) if label.count(x) > 1}
+    print(len(got), len(want))
+    assert len(want) > 100 and len(set(got.items()) & set(want.items())) >= 0.98 * len(want) and set(got) <= set(want)
+
+
+def test_surroundings_admit_every_pair_that_holds():
+    rng = np.random.default_rng(6)
+    tried = 0
+    for _ in range(200):
+        a = rng.integers(0, 1 << 62, 150).astype(np.uint64)
+        b = np.concatenate([rng.integers(0, 1 << 62, 30).astype(np.uint64), a[40:100], rng.integers(0, 1 << 62, 60).astype(np.uint64)])
+        gone = rng.choice(np.arange(30, 90), rng.integers(0, 16), replace=False)
+        b[gone] = rng.integers(0, 1 << 62, len(gone)).astype(np.uint64)
+        for p in range(40, 100 - passages.SPAN + 1):
+            q = p - 10
+            one, two = a[p : p + passages.SPAN], b[q : q + passages.SPAN]
+            if len(np.intersect1d(one, two)) < 0.8 * len(np.union1d(one, two)) or one.min() != two.min():
+                continue
+            tried += 1
+            rows = []
+            for s, begin in ((a, p), (b, q)):
+                least = begin + int(s[begin : begin + passages.SPAN].argmin())
+                rows.append(passages._surroundings(s, np.array([begin]), np.array([least]), np.array([begin + passages.SPAN - 1])))
+            codes = np.concatenate(rows)
+            found = passages._block_pairs(codes, passages._bits(codes), np.array([1, 2]), np.array([0]), np.array([1]))
+            assert len(found[0]) == 1
+    assert tried > 100
