@@ -19,7 +19,7 @@ table gives an empty result. Ids that are null count as an empty text's.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,6 +185,14 @@ def initial_classes(texts: DataFrame, known: DataFrame) -> dict:
     return {"items": items, "label": label.astype(np.uint8), "pairs": _pair_counts(label, counts)}
 
 
+def _places(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words, as they come, and for each word its place among them."""
+    place: defaultdict[bytes, int] = defaultdict()
+    place.default_factory = place.__len__
+    at = np.fromiter(map(place.__getitem__, words), np.int32, len(words))
+    return list(place), at
+
+
 def _contexts(training: DataFrame, known: DataFrame, first: dict) -> DataFrame:
     """(word_hash, codes): a batch's occurrences of a word that is no item, as pairs of bytes, the classes before and after."""
     # the map only spares rows of rare words
@@ -196,20 +204,20 @@ def _contexts(training: DataFrame, known: DataFrame, first: dict) -> DataFrame:
         count = len(numbers.items)
         end = len(label) - 1
         for batch in batches:
-            words, number = [END], [end]
+            words = [END]
             for text in batch["text"]:
-                own = tokens(text)
-                words += own
-                number += map(numbers.__getitem__, own)
+                words += tokens(text)
                 words.append(END)
-                number.append(end)
-            number = np.array(number, np.int64)
-            classes = label[number]
-            place: dict[bytes, int] = {}
-            others = np.flatnonzero((number >= count) & (number < end))
-            row = np.fromiter((place.setdefault(words[i], len(place)) for i in others.tolist()), np.int64, len(others))
+            # a token is looked up once, all else is done for a batch's distinct words
+            place, at = _places(words)
+            number = np.fromiter((numbers[w] if w else end for w in place), np.int64, len(place))
+            classes = label[number][at]
+            free = (number >= count) & (number < end)
+            place = [w for w, other in zip(place, free.tolist(), strict=True) if other]
+            others = np.flatnonzero(free[at])
+            row = (np.cumsum(free) - 1)[at[others]]
             hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in place), np.uint64, len(place)).view(np.int64)
-            order = np.argsort(row, kind="stable")
+            order = np.argsort(row.astype(np.int32), kind="stable")
             at = others[order]
             codes = np.stack([classes[at - 1], classes[at + 1]], 1).astype(np.uint8)
             ends = np.cumsum(np.bincount(row, minlength=len(place)))
@@ -285,13 +293,22 @@ def _read(texts: DataFrame, answers: DataFrame, first: dict, n: int, v: int) ->
         label, numbers = shared.value["label"], _Numbers(shared.value["items"])
         # count << 8 | class
         known = dict(zip(map(bytes, right["word"]), right["answer"].tolist(), strict=True))
-        found = []
+        words, sizes = [], []
         for text in left["text"]:
-            line = [*tokens(text), END]
-            packed = np.array([known[w] if w in known else int(label[numbers[w]] if w else label[-1]) for w in line], np.int64)
-            count = packed >> 8
-            base = np.log10((count + 1) / (n + 1 * (v + 1))).sum()
-            found.append((len(line), int((count > 0).sum()), float(base), float(np.log10(count + EMISSION).sum()), (packed & 255).astype(np.uint8).tobytes()))
+            before = len(words)
+            words += tokens(text)
+            words.append(END)
+            sizes.append(len(words) - before)
+        place, at = _places(words)
+        packed = np.fromiter((known[w] if w in known else int(label[numbers[w]] if w else label[-1]) for w in place), np.int64, len(place))
+        count = packed >> 8
+        base, emission = np.log10((count + 1) / (n + 1 * (v + 1))), np.log10(count + EMISSION)
+        classes = (packed & 255).astype(np.uint8)
+        found, begin = [], 0
+        for size in sizes:
+            own = at[begin : begin + size]
+            found.append((size, int((count[own] > 0).sum()), float(base[own].sum()), float(emission[own].sum()), classes[own].tobytes()))
+            begin += size
         out = pd.DataFrame(found, columns=["n_tokens", "n_known", "base_score", "emission", "classes"])
         return out.assign(doc_id=left["doc_id"].to_numpy(), held_out=left["held_out"].to_numpy(), train_tokens=n)[schema.names]
 

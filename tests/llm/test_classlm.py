@@ -106,3 +106,8 @@ def test_exchange_ends_where_no_move_helps():
 
 def test_empty_table(spark):
     assert classlm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_are_looked_up_once_a_token():
+    place, at = classlm._places([b"", b"b", b"a", b"b", b""])
+    assert place == [b"", b"b", b"a"] and at.tolist() == [0, 1, 2, 1, 0]
