@@ -257,7 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, identity: Mapping[str, str] | None
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # texts without a label aren't shuffled
     texts = texts.where(maybe_among(marks.select("doc_id"), "doc_id"))
-    training = stage(texts.join(marks, "doc_id").select("doc_id", "text", "label"), "training")
+    # the same plan at every size: a table of marks that is sent to the texts while it is small grows out of that
+    training = stage(texts.join(marks.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "label"), "training")
     unstage(marks)
     classes = {r.label: r["count"] for r in training.groupBy("label").count().collect()}
     toxic, other = classes.get(1, 0), classes.get(0, 0)

@@ -87,3 +87,19 @@ def test_terms_of_the_data_lose_their_weight(spark, monkeypatch):
         weight[penalty] = abs(own("vorlan") - own(model["identity"]["vorlan"]))
         assert own("vilest") > 2
     assert weight[max(weight)] < 0.5 * weight[0.0]
+
+
+def test_marks_join_by_the_same_plan_at_every_size(spark, monkeypatch):
+    """A few marks aren't broadcast: what is shuffled grows in proportion to the texts."""
+    plans = {}
+
+    def staged(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    stage = toxicity.stage
+    monkeypatch.setattr(toxicity, "stage", staged)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(8)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    assert "SortMergeJoin" in plans["training"] and "BroadcastHashJoin" not in plans["training"]
