@@ -55,7 +55,7 @@ _END = 8
 _SLOTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW)], np.uint64)
 _PLAIN = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) | 1 for k in range(SHORT)], np.uint64)
-_WORDS_AT_ONCE = 1 << 19
+_WORDS_AT_ONCE = 1 << 15
 _CACHE_WORDS = 1 << 18
 
 
