@@ -35,9 +35,9 @@ FIRST = 0x10000
 #: Buckets of the literal table, a power of two.
 BUCKETS = 1 << 16
 LONG = 256
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 #: Words that a task remembers.
-KEPT = 1_000_000
+KEPT = 400_000
 #: Parts of the input that a task takes where there are enough for all: the more it reads, the fewer words are folded twice.
 PARTS_A_TASK = 3
 _DONE = " "
