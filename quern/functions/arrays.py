@@ -22,7 +22,9 @@ def end_segments(tokens: Column, end: int) -> Column:
     ends = F.filter(F.transform(tokens, lambda t, i: F.when(t == end, i)), lambda i: i.isNotNull())
     stops = F.concat(ends, F.array(F.size(tokens) - 1))
     runs = F.transform(stops, lambda stop, k: F.array_repeat(k, stop - F.coalesce(F.get(stops, k - 1), F.lit(-1))))
-    return F.flatten(runs)
+    # most sequences have no end, which is seen without a function of each position
+    without = tokens.isNotNull() & ~F.coalesce(F.array_contains(tokens, end), F.lit(False))
+    return F.when(without, F.array_repeat(F.lit(0), F.size(tokens))).otherwise(F.flatten(runs))
 
 
 def attended(segments: Column, window: int) -> Column:

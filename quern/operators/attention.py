@@ -122,6 +122,7 @@ def sequence_runs(seqs: DataFrame, mask: Mask, seq: str = "seq", segments: str =
 def causal_sequence_runs(seqs: DataFrame, window: int | None = None, seq: str = "seq", segments: str = "segments") -> DataFrame:
     """(seq, q, first, last): the causal_runs() of whole sequences, one a row; nothing is shuffled."""
     starts = F.filter(F.transform(segments, lambda s, i: F.when((i == 0) | (F.get(segments, i - 1) != s), i)), lambda i: i.isNotNull())
+    starts = F.when(F.array_min(segments) == F.array_max(segments), F.array(F.lit(0))).otherwise(starts)
     stretched = seqs.select(seq, F.size(segments).alias("__n"), starts.alias("__starts"))
     length = lambda b, k: F.coalesce(F.get("__starts", k + 1), F.col("__n")) - b
     begins = F.flatten(F.transform("__starts", lambda b, k: F.array_repeat(b, length(b, k))))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,25 +35,25 @@ def concat_and_chunk(df: DataFrame, length: int, ids: str = "ids", idx: str = "i
     it shares with its neighbours, is shuffled again and joined.
     """
 
-    def flat(pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
-        own = [np.asarray(x, np.int32) for x in pdf.sort_values("__i")["__ids"] if x is not None and len(x)]
-        return int(pdf["__from"].iloc[0]), np.concatenate(own) if own else np.zeros(0, np.int32)
+    def flat(block: pa.Table) -> tuple[int, np.ndarray]:
+        own = block.select(["__i", "__ids", "__from"]).sort_by("__i")
+        return own["__from"][0].as_py(), own["__ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, tokens = flat(pdf)
+    def whole(block: pa.Table) -> pa.Table:
+        start, tokens = flat(block)
         first = -start % length
         n = max(0, (len(tokens) - first) // length)
-        cut = tokens[first : first + n * length].reshape(n, length)
-        return pd.DataFrame({"seq": (start + first) // length + np.arange(n), "tokens": pd.Series(list(cut), dtype=object)})
+        cut = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * np.int32(length), pa.array(tokens[first : first + n * length], pa.int32()))
+        return pa.table({"seq": (start + first) // length + np.arange(n), "tokens": cut})
 
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, tokens = flat(pdf)
+    def ends(block: pa.Table) -> pa.Table:
+        start, tokens = flat(block)
         first = min(-start % length, len(tokens))
         rest = max(first, len(tokens) - (start + len(tokens)) % length)
-        parts = [(start, tokens[:first]), (start + rest, tokens[rest:])]
-        return pd.DataFrame([(at // length, at, x) for at, x in parts if len(x)], columns=["seq", "at", "part"])
+        parts = [(at, x) for at, x in ((start, tokens[:first]), (start + rest, tokens[rest:])) if len(x)]
+        return pa.table({"seq": pa.array([at // length for at, _ in parts], pa.int64()), "at": pa.array([at for at, _ in parts], pa.int64()), "part": pa.array([x for _, x in parts], pa.list_(pa.int32()))})
 
     blocks = _placed(df, ids, idx, rows).groupBy("__block")
-    shared = blocks.applyInPandas(ends, "seq long, at long, part array<int>")
+    shared = blocks.applyInArrow(ends, "seq long, at long, part array<int>")
     joined = shared.groupBy("seq").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"])).alias("tokens"))
-    return blocks.applyInPandas(whole, "seq long, tokens array<int>").union(joined.where(F.size("tokens") == length))
+    return blocks.applyInArrow(whole, "seq long, tokens array<int>").union(joined.where(F.size("tokens") == length))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions import tokenizer
+from quern.functions import arrays, tokenizer
 from quern.operators import attention, packing, reports, sequences
 from quern.plans import scored
 
@@ -31,6 +31,22 @@ def test_chunks_make_ids_once(spark):
     assert calls.value == len(data)
 
 
+def test_chunks_are_cut_without_an_object_a_row(spark):
+    data = [(i, list(range(i % 9))) for i in range(40)] + [(40, []), (41, None)]
+    seqs = sequences.concat_and_chunk(spark.createDataFrame(data, "idx long, ids array<int>"), 8, rows=7)
+    flat = [t for _, ids in data for t in ids or ()]
+    assert sorted((r.seq, r.tokens) for r in seqs.collect()) == [(k, flat[8 * k : 8 * k + 8]) for k in range(len(flat) // 8)]
+    plan = seqs._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_segments_of_sequences_with_and_without_ends(spark):
+    rows = [[], [9], [1, 2, 3], [9, 9], [1, 9, 2, 9], [1, 9, 2, 3], [9, 1], None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t array<int>").select("i", arrays.end_segments(F.col("t"), 9).alias("s"))
+    want = [None if r is None else [r[:k].count(9) for k in range(len(r))] for r in rows]
+    assert [r.s for r in df.orderBy("i").collect()] == want
+
+
 @pytest.mark.parametrize("mask", [dict(), dict(offset=2), dict(offset=-2), dict(window=4), dict(window=3, offset=-1), dict(window=5, causal=False), dict(causal=False, segments=False), dict(window=1), dict(window=2, offset=-4), dict(window=40, offset=-1)])
 def test_attention_of_whole_sequences_equals_that_of_positions_and_shuffles_none(spark, mask):
     segs = {0: [0, 0, 0, 1, 1, 2, 2, 2, 2, 2, 2], 1: [0] * 9, 2: [], 3: [4]}
