@@ -5,16 +5,36 @@
 3 decontamination: documents that hold a benchmark item go.
 4 secrets: their spans are masked in the text; n_chars follows.
 5 encoding: doc_id and the piece ids of the text.
+
+A stage sets Spark's Arrow batches to ROWS_AT_ONCE rows at most, for itself and what follows in the session.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontam, pieces, quality, secret_scan, simhash
 from quern.llm.common import stage
 
+#: Texts that a Python worker is handed at once: they are held several times, by the executor, in Arrow and as strings.
+ROWS_AT_ONCE = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _few_at_once(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(function)
+    def stage_of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        now = int(spark.conf.get(_BATCH))
+        if not 0 < now <= ROWS_AT_ONCE:
+            spark.conf.set(_BATCH, str(ROWS_AT_ONCE))
+        return function(spark, docs, sf_dir)
+
+    return stage_of
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.cascade(docs).where(F.col("failed_rule").isNull()).select(*docs.columns)
@@ -37,11 +57,14 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("quality", quality_rules),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontaminate),
-    ("secrets", mask_secrets),
-    ("encoding", encode_pieces),
+    (name, _few_at_once(function))
+    for name, function in (
+        ("quality", quality_rules),
+        ("near_dedup", near_dedup),
+        ("decontamination", decontaminate),
+        ("secrets", mask_secrets),
+        ("encoding", encode_pieces),
+    )
 ]
 
 #: Fingerprints, templates and merges have no SQL form; the tests compare with a brute-force version.

@@ -32,3 +32,27 @@ def test_stages_keep_columns_on_empty_tables(spark, tmp_path):
     for _, function in corpus_pipeline.STAGES[:-1]:
         docs = function(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0
+
+
+def test_workers_are_handed_few_texts_at_once(spark, tmp_path):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            sizes.add(len(batch) > corpus_pipeline.ROWS_AT_ONCE)
+            yield batch
+
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'a b' AS text", "'en' AS lang", "'s' AS source", "3L AS n_chars").coalesce(1)
+    try:
+        for given, held in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", given)
+            for _, function in corpus_pipeline.STAGES[2:]:
+                function(spark, docs, str(tmp_path))
+                assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == held
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        corpus_pipeline.STAGES[2][1](spark, docs.mapInPandas(seen, docs.schema), str(tmp_path)).collect()
+        assert sizes.value == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
