@@ -4,6 +4,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from quern.llm import byte_bpe
@@ -75,3 +76,18 @@ def test_null_ids_decode_to_null(spark):
     df = spark.createDataFrame([(1, None), (2, [])], "doc_id long, token_ids array<int>")
     found = {r.doc_id: r.decoded for r in byte_bpe.decode(df, PATH).collect()}
     assert found[1] is None and bytes(found[2]) == b""
+
+
+def test_plain_pattern_finds_the_same_words():
+    rng = random.Random(5)
+    full, plain = regex.compile(PATTERN).findall, byte_bpe.plain_pattern(PATTERN)
+    assert plain is not None
+    find = byte_bpe._finder(PATTERN, plain)
+    # every character of the first plane between two words, those of white space and of marks in a row
+    every = [f"a{chr(c)}{chr(c)} 1{chr(c)}'s" for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    mixed = ["".join(rng.choices("etaé'stlß \n\t\x0b\x1c\x1f\x85\xa0\u2028\u3000\u0301ⅷ٣²日本,.#\U0001f600\U00020000", k=rng.randrange(60))) for _ in range(3000)]
+    for text in [*every, *mixed, *(t or "" for t in TEXTS)]:
+        assert find(text) == full(text)
+    for odd in (r"\p{Lu}+", r"(?i:x)", r"[\S]", r"\w+", "[[a]", r"\d", r"\P{L}"):
+        assert byte_bpe.plain_pattern(odd) is None
+        assert byte_bpe._finder(odd, None)("Xx 1") == regex.compile(odd).findall("Xx 1")
