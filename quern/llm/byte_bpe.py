@@ -3,7 +3,7 @@
 Texts are cut into words by a pattern; a word that is a token itself is done, any other starts as its bytes and is merged
 step by step, the pair of the lowest rank first and of those the leftmost. A task numbers its distinct words as they come and
 keeps the texts as numbers; for about BATCH_CHARS of text a row holds the words that are new, and the fold runs over them
-in the JVM, without a shuffle. So a word is folded once a task (once in KEPT words, after which a task begins anew). A token is one
+in the JVM, without a shuffle. So a word is folded once a task, but that a task forgets the words after its first HELD once it has KEPT. A token is one
 character of a string there (FIRST plus its id), so that a pair is a substring of two and a merge an overlay. The literal
 table has, dealt to buckets by XXH64, the token of every pair that makes one. Decoding concatenates the bytes of the ids.
 
@@ -39,6 +39,8 @@ LONG = 256
 BATCH_CHARS = 1 << 20
 #: Words that a task remembers.
 KEPT = 400_000
+#: Of these, the first ones that it never forgets: words that occur often come early.
+HELD = 200_000
 #: Parts of the input that a task takes where there are enough for all: the more it reads, the fewer words are folded twice.
 PARTS_A_TASK = 3
 _DONE = " "
@@ -179,7 +181,7 @@ class _Table:
 def _numbered(batches: Iterator[pa.RecordBatch], pattern: str, ranks: dict[bytes, int], plain: str | None = None) -> Iterator[pa.RecordBatch]:
     """A row for about BATCH_CHARS of text: its ids, each text's words as numbers, and the words that are new, from the number `first` on.
 
-    fold has the new words that are to be folded; `first` is zero where numbers begin anew.
+    fold has the new words that are to be folded; where a task has forgotten words, numbers go on after those that it holds.
     """
     find = _finder(pattern, plain)
     number: defaultdict[str, int] = defaultdict()
@@ -207,7 +209,9 @@ def _numbered(batches: Iterator[pa.RecordBatch], pattern: str, ranks: dict[bytes
             if size > BATCH_CHARS:
                 yield row()
                 if len(number) > KEPT:
+                    held = list(islice(number, HELD))
                     number.clear()
+                    number.update(zip(held, range(len(held)), strict=True))
                 ids, numbers, size, told = [], [], 0, len(number)
     if ids:
         yield row()
@@ -229,12 +233,12 @@ def _coded(df: DataFrame, path: str, pattern: str, text: str, doc_id: str) -> tu
     return rows.withColumn("tokens", tokens).drop("fold"), kind, ranks
 
 
-def _texts(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[tuple[pa.Array, int, list[list[int]], list[np.ndarray]]]:
-    """For each row of _coded, in the order of the task's rows: the texts' ids, the number of the first new word, the token ids of new words, and the words of each text."""
+def _texts(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[tuple[pa.Array, int, list[str], list[np.ndarray]]]:
+    """For each row of _coded, in the order of the task's rows: the texts' ids, the number of the first new word, the tokens of new words, a character each, and the words of each text."""
     for batch in batches:
         for k in range(batch.num_rows):
             first, words, tokens = (batch.column(name)[k].as_py() for name in ("first", "words", "tokens"))
-            found = [[ord(c) - FIRST for c in code] if word is None else merged(word.encode("utf-8", "surrogatepass"), ranks) for word, code in zip(words, tokens, strict=True)]
+            found = [code if word is None else "".join([chr(FIRST + k) for k in merged(word.encode("utf-8", "surrogatepass"), ranks)]) for word, code in zip(words, tokens, strict=True)]
             sizes, numbers = (np.frombuffer(batch.column(name)[k].as_py(), kind) for name, kind in (("sizes", np.int64), ("numbers", np.int32)))
             yield batch.column("ids")[k].values, first, found, np.split(numbers, np.cumsum(sizes)[:-1])
 
@@ -247,7 +251,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", doc_id: s
         known: list[np.ndarray] = []
         for ids, first, new, texts in _texts(batches, ranks):
             del known[first:]
-            known += [np.array(x, np.int32) for x in new]
+            known += [np.frombuffer(x.encode("utf-32-le"), np.int32) - FIRST for x in new]
             none = np.zeros(0, np.int32)
             found = [np.concatenate([none, *map(known.__getitem__, words.tolist())]) for words in texts]
             yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int32()))], ["doc_id", "token_ids"])
@@ -271,13 +275,14 @@ def digest(df: DataFrame, path: str, pattern: str, text: str = "text", doc_id: s
     rows, kind, ranks = _coded(df, path, pattern, text, doc_id)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {rank: token for token, rank in ranks.items()}
+        pieces = {chr(FIRST + rank): token for token, rank in ranks.items()}
+        names = {chr(FIRST + rank): str(rank).encode() for rank in ranks.values()}
         listed: list[bytes] = []
         decoded: list[bytes] = []
         sizes = np.zeros(0, np.int32)
         for ids, first, new, texts in _texts(batches, ranks):
             del listed[first:], decoded[first:]
-            listed += [",".join(map(str, x)).encode() for x in new]
+            listed += [b",".join(map(names.__getitem__, x)) for x in new]
             decoded += [b"".join(map(pieces.__getitem__, x)) for x in new]
             sizes = np.concatenate([sizes[:first], np.array([len(x) for x in new], np.int32)])
             counts, of_ids, of_bytes = [], [], []

@@ -63,6 +63,28 @@ def test_small_batches_and_empty_table(spark, monkeypatch):
     assert byte_bpe.encode(df.where("false"), PATH, PATTERN).count() == 0
 
 
+def test_a_tasks_first_words_are_folded_once(spark, monkeypatch):
+    texts = [f"etaoinshrd wxyzq{i} qqkzvb{i} " for i in range(300)]
+    ranks = byte_bpe.ranks_of(PATH)
+    import pyarrow as pa
+
+    monkeypatch.setattr(byte_bpe, "BATCH_CHARS", 200)
+    monkeypatch.setattr(byte_bpe, "KEPT", 60)
+    monkeypatch.setattr(byte_bpe, "HELD", 20)
+    cut = list(byte_bpe._numbered(iter([pa.RecordBatch.from_pydict({"id": list(range(300)), "text": texts})]), PATTERN, ranks))
+    told = [w for b in cut for w in b.column("fold")[0].as_py() if w]
+    assert told.count("etaoinshrd") == 1
+    words, found = [], []
+    for b in cut:
+        first = b.column("first")[0].as_py()
+        assert first in (20, len(words))
+        words[first:] = [w or f for w, f in zip(b.column("words")[0].as_py(), b.column("fold")[0].as_py())]
+        assert len(words) < 200
+        sizes, numbers = np.frombuffer(b.column("sizes")[0].as_py(), np.int64), np.frombuffer(b.column("numbers")[0].as_py(), np.int32)
+        found += ["".join(words[n] for n in own) for own in np.split(numbers, np.cumsum(sizes)[:-1])]
+    assert found == texts
+
+
 def test_long_words_by_the_heap(library):
     ranks = byte_bpe.ranks_of(PATH)
     rng = random.Random(5)
