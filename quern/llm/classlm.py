@@ -11,19 +11,21 @@ P(w | v) = P(c(w) | c(v)) P(w | c(w)), with the class transition, counted again
 the class's share and additive emissions; each class keeps one share for all its unknown words, so the
 probabilities of the known words and of the classes' unknown ones sum to one.
 
-Word counts and classes come back to the texts by blocks: texts are dealt to blocks by a hash of their id and text, every
-block asks once for each of its words, and answers and texts of a block meet in one task. Blocks hold about
-BLOCK_BYTES of text. Null and empty texts have the end token only. Repeated rows score alike; an empty
+Word counts and classes come back to the texts by blocks: each partition's texts are dealt to blocks of its own by a hash of their id and
+text and staged with them, so that a block's words are counted where it is read, without a shuffle. Every block asks for each of its words (once more
+where a batch or a split cuts it, which does no harm), and answers and texts of a block meet in one task. Blocks hold about BLOCK_BYTES of text. Null and empty texts have the end token only. Repeated rows score alike; an empty
 table gives an empty result. Ids that are null count as an empty text's.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +52,8 @@ def held_out(doc_id: str):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % HELD_OUT[0] == HELD_OUT[1]
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def tokens(text: str | bytes | None) -> list[bytes]:
+    return (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).lower().split()
 
 
 def form(word: bytes) -> int:
@@ -60,27 +62,31 @@ def form(word: bytes) -> int:
 
 
 def _texts(df: DataFrame, text: str, doc_id: str, blocks: int) -> DataFrame:
-    t = F.col(text).cast("string")
-    return df.select(F.col(doc_id).alias("doc_id"), t.alias("text"), held_out(doc_id).alias("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    """Texts as bytes with their block, one of `blocks` of their partition."""
+    t = F.col(text).cast("string").cast("binary")
+    block = F.spark_partition_id() * blocks + F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    return df.select(F.col(doc_id).alias("doc_id"), t.alias("text"), held_out(doc_id).alias("held_out")).withColumn("block", block)
 
 
 def _block_words(texts: DataFrame) -> DataFrame:
-    """(block, word, n): training occurrences of every word of a block, as each task has them."""
+    """(block, word, n): training occurrences of every word of a block, as each batch has them."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, part in batch.groupby("block"):
+            held, body, own = batch.column("held_out"), batch.column("text"), batch.column("block").to_numpy()
+            # one block after the other, so that a worker holds the words of one
+            for block in np.unique(own).tolist():
                 counts = Counter()
-                for text, out in zip(part["text"], part["held_out"], strict=True):
-                    words = tokens(text)
-                    if out:
+                for k in np.flatnonzero(own == block).tolist():
+                    words = tokens(body[k].as_py())
+                    if held[k].as_py():
                         counts.update(dict.fromkeys([*words, END], 0))
                     else:
                         counts.update(words)
                         counts[END] += 1
-                yield pd.DataFrame({"block": np.full(len(counts), block, np.int32), "word": list(counts), "n": np.fromiter(counts.values(), np.int64, len(counts))})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), block, np.int32)), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["block", "word", "n"])
 
-    return texts.select("text", "held_out", "block").mapInPandas(rows, "block int, word binary, n long")
+    return texts.select("text", "held_out", "block").mapInArrow(rows, "block int, word binary, n long")
 
 
 class _Numbers(dict):
@@ -185,11 +191,11 @@ def initial_classes(texts: DataFrame, known: DataFrame) -> dict:
     return {"items": items, "label": label.astype(np.uint8), "pairs": _pair_counts(label, counts)}
 
 
-def _places(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+def _places(words: Iterable[bytes]) -> tuple[list[bytes], np.ndarray]:
     """The distinct words, as they come, and for each word its place among them."""
     place: defaultdict[bytes, int] = defaultdict()
     place.default_factory = place.__len__
-    at = np.fromiter(map(place.__getitem__, words), np.int32, len(words))
+    at = np.fromiter(map(place.__getitem__, words), np.int32)
     return list(place), at
 
 
@@ -204,12 +210,9 @@ def _contexts(training: DataFrame, known: DataFrame, first: dict) -> DataFrame:
         count = len(numbers.items)
         end = len(label) - 1
         for batch in batches:
-            words = [END]
-            for text in batch["text"]:
-                words += tokens(text)
-                words.append(END)
             # a token is looked up once, all else is done for a batch's distinct words
-            place, at = _places(words)
+            # and only one text's words are held
+            place, at = _places(chain([END], chain.from_iterable([*tokens(text), END] for text in batch["text"])))
             number = np.fromiter((numbers[w] if w else end for w in place), np.int64, len(place))
             classes = label[number][at]
             free = (number >= count) & (number < end)
@@ -336,11 +339,12 @@ def _class_bigrams(read: DataFrame, k: int, end: int) -> np.ndarray:
 
 def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of df."""
+    size, parts = df.select(F.octet_length(F.col(text).cast("string")).alias("size"), F.spark_partition_id().alias("part")).agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct("part")).first()
     if blocks is None:
-        size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
         blocks = max(1, size // BLOCK_BYTES)
-    texts = _texts(df, text, doc_id, blocks)
-    asked = stage(_block_words(texts).groupBy("block", "word").agg(F.sum("n").alias("n")), "block_words")
+    # the blocks are fixed once the table is written
+    texts = stage(_texts(df, text, doc_id, -(-blocks // max(1, parts))), "texts")
+    asked = stage(_block_words(texts), "block_words")
     known = stage(asked.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "words")
     n, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     first = initial_classes(texts, known)
@@ -359,6 +363,7 @@ def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int
     unstage(words)
     read = stage(_read(texts, answers, first, int(n), int(v)), "read")
     unstage(answers)
+    unstage(texts)
     pairs = _class_bigrams(read, k, end)
     step, mass = np.log10(transitions(pairs)), np.log10(pairs.sum(0) + EMISSION * (kinds + 1))
 

@@ -40,6 +40,21 @@ def test_base_scores_against_brute_force(spark, blocks):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_words_of_blocks_are_counted_without_a_shuffle(spark, capsys):
+    table = [(i, f"common word{i % 50} Word{i % 50}") for i in range(400)]
+    texts = classlm.stage(classlm._texts(spark.createDataFrame(table, "doc_id long, text string").repartition(4), "text", "doc_id", 2), "texts")
+    # a partition's texts are in blocks of its own
+    assert texts.withColumn("file", classlm.F.input_file_name()).groupBy("block").agg(classlm.F.count_distinct("file").alias("n")).where("n > 1").count() == 0
+    assert 4 < texts.select("block").distinct().count() <= 8
+    asked = classlm._block_words(texts)
+    asked.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    counts = Counter(w for d, t in table if not out(d) for w in [*classlm.tokens(t), b""])
+    assert {bytes(r.word): r.n for r in asked.groupBy("word").agg(classlm.F.sum("n").alias("n")).where("n > 0").collect()} == counts
+    # common words come once a block, not once for each block in each partition
+    assert asked.where(asked.word == classlm.F.lit(b"common")).count() <= 8
+
+
 def test_classes_against_brute_force(spark, monkeypatch):
     """Every frequent word's class is the likeliest by all its contexts; others keep that of the item or group."""
     monkeypatch.setattr(classlm, "ITEMS", 6)
