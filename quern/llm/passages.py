@@ -561,7 +561,7 @@ def _rest_of_groups(members: DataFrame, classes: DataFrame, heads: DataFrame) ->
     sizes = rows.groupBy("signature", "function").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     sizes = stage(sizes.select("signature", "function", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), "n"), "sizes")
     # groups of one block share tasks of about BLOCK rows and more
-    buckets = max(1, sizes.where("parts = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (4 * BLOCK))
+    buckets = max(1, sizes.where("parts = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK)
     part = F.pmod(F.xxhash64("node", "around"), F.col("parts")).cast("int")
     dealt = rows.join(sizes.drop("n"), ["signature", "function"]).withColumn("part", part).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     bucket = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("signature", "function"), F.lit(buckets))).otherwise(-F.pmod(F.xxhash64("signature", "function"), F.lit(1 << 62)) - 1)

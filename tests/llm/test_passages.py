@@ -144,3 +144,79 @@ def test_surroundings_admit_every_pair_that_holds():
             found = passages._block_pairs(codes, passages._bits(codes), np.array([1, 2]), np.array([0]), np.array([1]))
             assert len(found[0]) == 1
     assert tried > 100
+
+
+def test_rows_of_a_large_group_meet_by_rare_codes(monkeypatch):
+    """Texts that say each word many times, as such groups hold them: no pair that holds is lost, and few of all pairs are tested."""
+    rng = np.random.default_rng(8)
+    joint = lambda v, w: [40_000 + (v * 400 + w) * 4 % 25_000 + k for k in range(4)]
+    texts = []
+    for k in range(500):
+        if k % 10 == 9:
+            before, after = (list(x) for x in texts[k - rng.integers(1, 9)])
+            after[rng.integers(12, len(after))] = int(rng.integers(30_000, 39_000))
+        else:
+            sides = []
+            for _ in range(2):
+                v, side = 1, []
+                while len(side) < 50:
+                    w = int(rng.integers(2, 400))
+                    side += joint(v, w) + [w] * int(rng.integers(8, 16))
+                    v = w
+                sides.append(side)
+            before, after = sides[0][::-1], [1] * int(rng.integers(3, 12)) + sides[1]
+        texts.append((before, after))
+    s = [np.array(before + after, np.uint64) for before, after in texts]
+    at = [len(before) for before, _ in texts]
+    codes = np.concatenate([passages._surroundings(x, np.array([0]), np.array([p]), np.array([len(x) - 1])) for x, p in zip(s, at, strict=True)])
+    near, tested = passages._near_each_other, []
+    monkeypatch.setattr(passages, "_near_each_other", lambda halves, around, *more: tested.append(np.broadcast_shapes(halves.shape[:-1], around.shape[:-1])) or near(halves, around, *more))
+    cut = [x[p - passages.SPAN + 1 : p + passages.SPAN].astype(np.int64) for x, p in zip(s, at, strict=True)]
+    rows = np.arange(len(s))
+    for mine, theirs in ((rows, rows), (rows[:250], rows[250:])):
+        i, j = passages._block_pairs(codes, passages._bits(codes), rows, mine, theirs)
+        found = {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist(), strict=True)}
+        want = {(x, y) for x in mine.tolist() for y in theirs.tolist() if x < y and (set(cut[x][-30:]) & set(cut[y]) or set(cut[x][:30]) & set(cut[y])) and passages.similar_spans(cut[x], cut[y]) and passages.similar_spans(cut[y], cut[x])}
+        assert want <= found
+        if mine is rows:
+            assert len(want) > 20
+    assert sum(int(np.prod(x)) for x in tested) < 0.2 * len(rows) ** 2
+
+
+def test_shingles_are_of_the_words_hashes():
+    import pyarrow as pa
+    import xxhash
+
+    rng = random.Random(3)
+    texts = ["", " ", "one two three four", "a b c d e", "x" * 40 + " Long " + "é" * 33 + " d e f\n"]
+    texts += ["".join(rng.choice("aBé\t\n\x0b  \x85xyz中") for _ in range(rng.randrange(200))) for _ in range(300)]
+    texts += [" ".join("Ab" * (k // 2) + "c" * (k % 2) for k in range(1, 36))]
+    want = []
+    for text in texts:
+        h = [xxhash.xxh64_intdigest(w) for w in text.encode().lower().split()]
+        own = []
+        for k in range(len(h) - passages.SHINGLE + 1):
+            x = 0
+            for value in h[k : k + passages.SHINGLE]:
+                x = (x * int(passages._FACTOR) + value) % (1 << 64)
+            own.append(x)
+        want.append(passages._mixed(np.array(own, np.uint64)).tolist())
+        assert passages.shingles(text).tolist() == want[-1]
+    got = list(passages.shingles_of(pa.array(["cut off", *texts])[1:]))
+    assert np.concatenate([x[2] for x in got]).tolist() == sum(want, []) and np.concatenate([x[3] for x in got]).tolist() == [len(x) for x in want]
+
+
+def test_pairs_at_once_give_the_spans_of_each():
+    rng = np.random.default_rng(13)
+    pairs = []
+    for k in range(60):
+        a = rng.integers(0, 1 << 31 if k % 3 else 12, rng.integers(1, 300)).astype(np.int32)
+        b = np.concatenate([rng.integers(0, 1 << 31, rng.integers(0, 30)).astype(np.int32), a[rng.integers(0, 20) :]])
+        gone = rng.choice(len(b), rng.integers(0, 1 + len(b) // 12), replace=False)
+        b[gone] = rng.integers(0, 1 << 31, len(gone))
+        pairs.append((a, b))
+    (a, a_sizes), (b, b_sizes) = ((np.concatenate([p[x] for p in pairs]), np.array([len(p[x]) for p in pairs])) for x in range(2))
+    got = [[] for _ in pairs]
+    for pair, first, end in zip(*(x.tolist() for x in passages._similar_spans(a, a_sizes, b, b_sizes)), strict=True):
+        got[pair].append((first, end))
+    assert got == [passages.similar_spans(*p) for p in pairs] and sum(map(bool, got)) > 20
