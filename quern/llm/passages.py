@@ -15,8 +15,9 @@ together, and the pairs met at first stay linear in the rows. Signatures that ho
 a sample of texts are dealt to several tasks by text, each of which meets a text of the sample. Once the links of these pairs have made
 classes, all pairs of a larger group's windows that are of different classes are met as well, in blocks of BLOCK by BLOCK rows, so that no group's size
 bounds what is linked. Two passages that hold differ in MISSED shingles at most, and one of SPAN shingles has HALF of them on one side of
-its least: pairs are only verified if all but MISSED of such a HALF, and then of SPAN in a row, are near the other's least, each way, by bits of the
-shingles. So classes are those of all pairs; passages are those of the pairs that were met, and texts of one class need not all have met.
+its least. Fewer may be missed where shingles repeat: a fifth of the distinct ones. So of the shingles that passages beginning near one another
+share, one of the few rarest in the block is near the other's least, and rows meet by these, not each with each. Pairs are only verified if all but so many of such a HALF, and then
+all but MISSED of SPAN in a row, are near the other's least, each way. So classes are those of all pairs; passages are those of the pairs that were met, and texts of one class need not all have met.
 
 Equal texts are one class and are expanded at the end. Null, empty and short texts have no passage. Repeated
 rows, and rows without an id, take part; an empty table gives an empty result. Other columns do no harm.
@@ -33,7 +34,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.llm.common import bit_map, components, in_bit_map, maybe_among, stage, text_or_empty, unstage, words_of
 
